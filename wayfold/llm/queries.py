@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import mixing, sharding, url_filter
+from wayfold.llm import fingerprint, html_text, media, mixing, packing, sharding, url_filter
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,7 +14,11 @@ def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": _over("pages", html_text.op1_html_text),
+    "op3_fingerprint": _over("documents", fingerprint.op3_fingerprint),
+    "op4_packing": _over("documents", packing.op4_packing),
     "op5_url_filter": _over("pages", url_filter.op5_url_filter),
+    "op6_media": _over("documents", media.op6_media),
     "op9_sharding": _over("documents", sharding.op9_sharding),
     "op10_mixing": _over("documents", mixing.op10_mixing),
 }
