@@ -1,0 +1,41 @@
+"""Connected components of an edge table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wayfold.llm.scratch import saved
+
+#: Rounds before giving up with an error; the number needed grows with the logarithm of the longest path.
+MOST_ROUNDS = 60
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Label each node that has an edge with the least node of its component: node, label.
+
+    Edges may repeat, point either way, or join a node to itself; nodes are longs and not null. Each
+    round is two aggregations and two joins over at most as many edges as there were, written to the shared
+    folder, so a lost executor costs a round at most. Nothing is gathered on the driver but a sum.
+    """
+    edges = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    edges = saved(edges.where("lo < hi").distinct(), "edges")
+    before = None
+    for _ in range(MOST_ROUNDS):
+        # Large star: every neighbour above a node moves to the least node it sees there.
+        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        up = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        # Small star: every node points to the least of its neighbours below, and so do they.
+        least = up.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        down = up.join(least, F.col("hi") == F.col("u"))
+        down = down.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").union(least.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
+        edges = saved(down, "edges")
+        state = edges.agg(F.count("*"), F.sum(F.col("lo").cast("decimal(38,0)")), F.sum(F.col("hi").cast("decimal(38,0)")), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
+    return roots.union(edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")))

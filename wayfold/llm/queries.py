@@ -6,19 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import fingerprint, html_text, media, mixing, packing, sharding, url_filter
+from wayfold.llm import fingerprint, html_text, media, mixing, near_dup, packing, secrets, sharding, toxicity, url_filter
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: op(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": _over("pages", html_text.op1_html_text),
+    "op2_secret_scan": _over("documents", secrets.op2_secret_scan),
     "op3_fingerprint": _over("documents", fingerprint.op3_fingerprint),
     "op4_packing": _over("documents", packing.op4_packing),
     "op5_url_filter": _over("pages", url_filter.op5_url_filter),
     "op6_media": _over("documents", media.op6_media),
+    "op7_near_dup": _over("documents", near_dup.op7_near_dup),
+    "op8_toxicity": _toxicity,
     "op9_sharding": _over("documents", sharding.op9_sharding),
     "op10_mixing": _over("documents", mixing.op10_mixing),
 }
