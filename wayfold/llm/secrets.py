@@ -13,6 +13,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm.scratch import saved
+
 #: A candidate: 16 or more characters of a token with a digit among them, or what a secret's name is set to.
 CANDIDATE = (
     r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,64}[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
@@ -91,7 +93,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, start: int
     """
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     i = F.col("id")
-    word = lambda k: F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64(i, F.lit(f"w{k}")), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    word = lambda k: F.element_at(F.split(F.lit(" ".join(DICTIONARY)), " "), (F.pmod(F.xxhash64(i, F.lit(f"w{k}")), F.lit(len(DICTIONARY))) + 1).cast("int"))
     pick = lambda k, *xs: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(xs))) + 1).cast("int"))
     size = lambda k, a, b: (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(b - a + 1)) + a).cast("int")
     hexes = _chars(num + "abcdef", pick("h", 32, 40, 64).cast("int"), i)
@@ -127,7 +129,8 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
     """Train the forest on labelled findings (a bounded table); return its trees as nested (feature, threshold, left, right) or shares of secrets."""
     names = list(feature_columns(F.lit(""), F.lit(""), F.lit(""), F.lit("")))
     rows = findings.select("label", *[c.alias(n) for n, c in feature_columns(F.col("token"), F.col("before"), F.col("after"), F.col("path")).items()])
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label").coalesce(2)
+    # The learner goes over its rows several times.
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(saved(rows, "findings")).select("features", "label").coalesce(2)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, minInstancesPerNode=5, featureSubsetStrategy="onethird").fit(vectors)
 
     def walk(node):

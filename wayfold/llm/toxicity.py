@@ -207,7 +207,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str]
 
     A word's evidence is the number of different documents it is in, near copies counted once (by
     the least hash of their five-word sequences), as a likelihood ratio against the share of toxic
-    documents; it must outweigh what the best of all words could reach by chance.
+    documents; it must outweigh what the best of all words would reach by chance in one corpus of twenty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str]
     base = toxic / (toxic + clean)
     share = (F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1.0)
     gain = F.col("t") * F.log(share / base) + F.col("c") * F.log((1 - share) / (1 - base))
-    chance = F.lit(math.log(max(counts.count(), 1)) + math.log(100.0))
+    chance = F.lit(math.log(max(counts.count(), 1)) + math.log(20.0))
     best = counts.where((share > 0.6) & (gain > chance)).orderBy(gain.desc(), "word").limit(most).collect()
     terms = [r["word"] for r in best]
     if not terms:
