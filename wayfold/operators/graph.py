@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wayfold.sources.scratch import stored
 
 MOST_ROUNDS = 200
+#: Parts that the edges of one node are spread over in a join.
+HUB_SALTS = 16
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -16,25 +18,43 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.groupBy("lo", "hi").agg(F.min("w").alias("w"), F.bool_or("fast").alias("fast"), F.min("line").alias("line"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Label each node of undirected edges (lo, hi) with the least node of its component: node, label.
+def _least_near(pairs: DataFrame, node: str, other: str) -> DataFrame:
+    """Return each pair with m, the least of its node and all the node's others.
 
-    Labels spread along edges and then along the labels themselves, which halves the way left to go.
+    A hub's pairs are spread over salts for the join, and the hub's least value is sent to each.
     """
-    both = edges.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(edges.select(F.col("hi").alias("a"), F.col("lo").alias("b"))).distinct()
-    both = stored(both, "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    least = pairs.groupBy(node).agg(F.min(other).alias("m")).withColumn("m", F.least("m", node))
+    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
+    return pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(HUB_SALTS)).cast("int")).join(least, [node, "_salt"]).drop("_salt")
+
+
+def components(edges: DataFrame, a: str = "lo", b: str = "hi") -> DataFrame:
+    """Label each node that has an edge with the least node of its component: node, label.
+
+    Large and small stars in turn. Edges may repeat, point either way or join a node to itself; nodes
+    are longs and not null. A round is two aggregations and joins over no more edges than there were,
+    stored in the shared folder, so a lost executor costs a round at most. The driver sees sums only.
+    """
+    edges = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    edges = stored(edges.where("lo < hi").distinct(), "edges")
+    before = None
     for _ in range(MOST_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        up = new.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = new.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = stored(new, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+        # Large star: every neighbour above a node moves to the least node it sees there.
+        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        up = _least_near(both, "u", "v").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        # Small star: a node and its neighbours below point to the least of them.
+        down = _least_near(up, "hi", "lo")
+        near = down.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi")
+        edges = stored(near.union(down.select(F.col("m").alias("lo"), "hi")).distinct(), "edges")
+        sums = [F.sum(c.cast("decimal(38,0)")) for c in (F.col("lo"), F.col("hi"), F.xxhash64("lo", "hi"))]
+        state = edges.agg(F.count("*"), *sums).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
+    return roots.union(edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")))
 
 
 def shortest_paths(edges: DataFrame, origins: DataFrame, most: float | None = None) -> DataFrame:
