@@ -109,3 +109,19 @@ def gcj02_to_wgs84(lng: Column, lat: Column, lat_y_sign: int = 1) -> tuple[Colum
     w_lng, w_lat = lng * 2 - g_lng, lat * 2 - g_lat
     g_lng, g_lat = wgs84_to_gcj02(w_lng, w_lat, lat_y_sign)
     return w_lng + lng - g_lng, w_lat + lat - g_lat
+
+
+def rail_side(dist: Column, cross: Column, outside: Column, span_from: Column, span_to: Column) -> Column:
+    """Side of a rail line a sight is on: unknown beyond the ends, both within 0.3 km or where it spans over 10 km of line."""
+    wide = F.coalesce(F.abs(span_to - span_from) > 10, F.lit(False))
+    return F.when(outside, "unknown").when((js_round(dist, 2) <= 0.3) | wide, "both").when(cross > 0, "left").otherwise("right")
+
+
+def in_approach(along: Column, span_to: Column, here: Column, lead: float = 5.0, trail: float = 2.0) -> Column:
+    """Tell whether a place on the line is inside a sight's notice window."""
+    return here.between(along - lead, F.coalesce(span_to, along) + trail)
+
+
+def weather_cell(x: Column, size: float) -> Column:
+    """Number of the grid line nearest to a coordinate."""
+    return F.floor(x / size + 0.5).cast("long")

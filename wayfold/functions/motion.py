@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed values, by train class: top speed km/h, acceleration and braking m/s2, delay growth min/h, base spread min, spread growth, recovery cap min.
 PROFILES = {
@@ -113,3 +114,25 @@ def cruise_altitude_m(km: Column) -> Column:
 
 def flight_minutes(km: Column) -> Column:
     return F.when(km <= 0, 0).otherwise(F.floor(km / 820 * 60 + 25 + 0.5)).cast("long")
+
+
+def blended_progress(plan: Column, fix: Column, age_s: Column, accuracy_m: Column, off_km: Column) -> Column:
+    """Progress of a trip: the plan's alone where a fix is missing, old, rough or off the line, else 65 % the fix's."""
+    usable = fix.isNotNull() & (F.coalesce(age_s, F.lit(1e9)) <= 120) & (F.coalesce(accuracy_m, F.lit(1e9)) <= 300)
+    gate_km = F.least(F.greatest(3 * F.greatest(accuracy_m, F.lit(1.0)) + 500, F.lit(800.0)), F.lit(5000.0)) / 1000
+    return F.when(usable & (off_km <= gate_km), fix * 0.65 + plan * 0.35).otherwise(plan)
+
+
+def planned_km(ride: str, clock: Column, timetable: DataFrame, rides: DataFrame) -> DataFrame:
+    """Place of each ride by its timetable, in a straight line between calls: rides has ride and clock, timetable ride, at and km, in ascending order of at.
+
+    Before the first call it is at the first, after the last at the last. A window over both tables' rows finds the calls around each clock.
+    """
+    call = timetable.select(ride, F.col("at").cast("double").alias("_t"), F.struct(F.col("at").cast("double").alias("t"), "km").alias("_c"), F.lit(None).cast("long").alias("_id"), F.lit(0).alias("_kind"))
+    ask = rides.select(ride, clock.cast("double").alias("_t"), F.lit(None).cast("struct<t:double,km:double>").alias("_c"), F.col("id").cast("long").alias("_id"), F.lit(1).alias("_kind"))
+    rows = call.unionByName(ask)
+    w = Window.partitionBy(ride).orderBy("_t", "_kind")
+    rows = rows.withColumns({"_a": F.last("_c", ignorenulls=True).over(w), "_b": F.first("_c", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("_kind = 1")
+    span = F.col("_b.t") - F.col("_a.t")
+    km = F.when(F.col("_a").isNull(), F.col("_b.km")).when(F.col("_b").isNull() | (span <= 0), F.col("_a.km")).otherwise(F.col("_a.km") + (F.col("_b.km") - F.col("_a.km")) * (F.col("_t") - F.col("_a.t")) / span)
+    return rows.select(F.col("_id").alias("id"), km.alias("km"))
