@@ -21,6 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.scratch import bounded_batches
+
 #: Cells of a subtable in the stored fingerprint; three subtables of 8 cells settle about 18 differing paragraphs.
 CELLS = 8
 TABLES = 3
@@ -170,6 +172,7 @@ def op3_fingerprint(documents: DataFrame, buckets: int | None = None) -> DataFra
     column is a sketch of fixed size; the likeness columns come from sketches that grow until they peel.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(docs, "doc_id", buckets).select("_bucket", "_place", "doc_id", "text")

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.scratch import bounded_batches
+
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
@@ -207,6 +209,7 @@ def extract(pages: DataFrame, labelled: tuple[str, ...] = LABELLED, html_col: st
     handled one by one and repeated rows alike; columns named text or n_chars are replaced.
     """
     weights = learn_weights(list(labelled))
+    bounded_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
 
     @F.pandas_udf("string")

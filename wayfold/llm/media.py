@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.scratch import new_folder, saved
+from wayfold.llm.scratch import bounded_batches, new_folder, saved
 
 WIDTH = 64
 BLOCK = 512
@@ -119,6 +119,7 @@ def store_texts(df: DataFrame, root: str, id_col: str = "doc_id", text_col: str
     Null texts count as empty. Running the plan writes shards, so store the rows before using them twice.
     The memory of a task is one batch and the digests of one shard.
     """
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = ShardWriter(root)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import components
-from wayfold.llm.scratch import saved
+from wayfold.llm.scratch import bounded_batches, saved
 
 WORDS = 5
 SLOTS, CHUNKS, CHUNK_SLOTS, MOST_DIFFERING = 64, 7, 5, 24
@@ -280,6 +280,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     """
     if not 70 <= percent <= 100:
         raise ValueError("percent must be from 70 to 100")
+    bounded_batches(documents.sparkSession)
     rows = saved(signed(documents), "signed")
     nodes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = saved(nodes, "nodes")

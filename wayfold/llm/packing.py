@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.scratch import saved
+from wayfold.llm.scratch import bounded_batches, saved
 
 CAPACITY = 2048
 #: The end-of-text marker of the vocabulary; a text that holds it gets its id, as the tokenizers library does.
@@ -54,6 +54,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """Encode every whole text, add id 0, and cut: doc_id, piece, start, length, ids_crc32. Null texts count as empty."""
     path = vocabulary or default_vocabulary()
+    bounded_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

@@ -1,38 +1,23 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables of this subpackage, and the size of the batches that go to Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from wayfold.sources.scratch import new_folder, shared_root
+from wayfold.sources.scratch import stored as saved
 
+__all__ = ["bounded_batches", "new_folder", "saved", "shared_root"]
 
-def shared_root(spark: SparkSession) -> str:
-    """Return the folder named by spark.checkpoint.dir; set one only where it is unset (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+#: Rows and bytes of an Arrow batch, at most: whole texts make rows large, and a task holds some batches at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """Return a fresh path under the shared folder, deleted when the driver's JVM ends in order."""
-    path = f"{shared_root(spark).rstrip('/')}/wayfold-{uuid.uuid4().hex}-{name}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage and keeps costly columns from being computed twice; unlike cached
-    blocks, the files outlive the executors that wrote them.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to those above; lower ones stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    now = spark.conf.get(size).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)

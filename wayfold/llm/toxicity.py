@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.scratch import saved
+from wayfold.llm.scratch import bounded_batches, saved
 
 #: Labelled rows that the lexicon and the model are fitted on, at most; the ones with the least hash of doc_id.
 FIT_ROWS = 10_000
@@ -268,6 +268,7 @@ def _features(rows: DataFrame, terms: list[str], known: frozenset[str], keep: st
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     """Fit lexicon and weights on labelled rows that are not held out. Without labels of both kinds nothing is toxic."""
+    bounded_batches(documents.sparkSession)
     rows = saved(training_rows(documents, labels, most), "toxic-train")
     terms, known = learn_lexicon(rows)
     found = _features(rows.select(F.col("toxic").cast("long").alias("toxic"), "text"), terms, known, "toxic").collect()
