@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.components import components
 from wayfold.llm.scratch import bounded_batches, saved
+from wayfold.operators.graph import components
 
 WORDS = 5
 SLOTS, CHUNKS, CHUNK_SLOTS, MOST_DIFFERING = 64, 7, 5, 24
@@ -291,7 +291,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     candidates = keys.join(shared, "key").join(nodes.select("node", "sig"), "node").select("key", "blocks", "node", "sig")
     dealt = block_pairs(candidates, "key", "blocks", "node").select("key", "_i", "_j", "_block", "node", "sig")
     near = dealt.mapInArrow(lambda batches: _streamed(batches, _near_signatures), "a long, b long")
-    families = components(near)
+    families = components(near, "a", "b")
 
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("long")
@@ -300,7 +300,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     dealt = block_pairs(sets, "family", "blocks", "node").select("family", "_i", "_j", "_block", "node", "shingles")
     handle = _confirmed(percent)
     links = dealt.mapInArrow(lambda batches: _streamed(batches, handle), "a long, b long")
-    labels = components(links)
+    labels = components(links, "a", "b")
 
     by_digest = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
