@@ -92,13 +92,35 @@ def test_signature_join_finds_all_pairs_within_its_bound():
         assert any(sum(c * 5 + i in wrong for i in range(5)) <= 1 for c in range(near_dup.CHUNKS))
 
 
+def test_connected_loses_no_link_across_blocks(spark):
+    """Chains, where nearly no row is near the pivot: every link between blocks must be found; a star needs the first step alone."""
+    rng = random.Random(5)
+    ids = list(range(200))
+    chain = ids[:]
+    rng.shuffle(chain)
+    place = {n: (i if i < 120 else i + 1) for i, n in enumerate(chain)}  # one gap: two chains
+    rows = [(1, 0, 200, 9, n, place[n]) for n in ids] + [(2, 1000, 40, 3, 1000 + i, 0) for i in range(40)] + [(3, 2000, 2, 1, 2000, 0), (3, 2000, 2, 1, 2001, 5)]
+    members = spark.createDataFrame([r[:5] for r in rows], "group long, pivot long, rows long, blocks long, node long")
+    data = spark.createDataFrame([(r[4], r[5].to_bytes(8, "little")) for r in rows], "node long, data binary")
+
+    def compare(data, role):
+        at = [int.from_bytes(d, "little") for d in data]
+        pairs = [(i, j) for i in range(len(at)) for j in range(i) if abs(at[i] - at[j]) <= 1]
+        return [(i, j) for i, j in pairs if not role.any() or role[i] != role[j]]
+
+    edges = near_dup.connected(members, lambda m: m.join(data, "node"), compare, "t")
+    got = dict(map(tuple, components(edges, "a", "b").collect()))
+    low = {n: min(m for m in ids if (place[m] < 120) == (place[n] < 120)) for n in ids}
+    assert got == low | {1000 + i: 1000 for i in range(40)}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 60) * 1000, rng.randint(0, 60) * 1000) for _ in range(50)] + [(-5, 7), (7, 7)]
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
     up = {x: x for e in edges for x in e}
     for _ in range(200):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     assert got == {x: r for x, r in up.items() if any(x in e and e[0] != e[1] for e in edges)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0

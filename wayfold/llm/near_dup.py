@@ -9,7 +9,10 @@ two documents agree about as often as their sets are similar. Documents with equ
 2. In every key's group signatures are compared, and a spanning forest of the pairs with at most 24 of
    64 differing slots goes on; components of these are families.
 3. Within a family, full sets are compared until all links are known or implied, and the components of the confirmed links
-   are the result. Groups larger than a block are dealt out as pairs of blocks, each a task's work; no pair is left out.
+   are the result.
+
+Groups larger than a block are compared block by block against the group's pivot first; only rows that
+did not connect to it there meet the other blocks (see `connected`). No link is left out.
 """
 
 from __future__ import annotations
@@ -148,16 +151,6 @@ def chunk_keys():
     return F.array(*keys)
 
 
-def block_pairs(rows: DataFrame, group: str, blocks: str, node: str) -> DataFrame:
-    """Deal each group out as pairs of blocks: adds _i and _j with _i <= _j, and _block, the row's own; a row goes to `blocks` of the pairs."""
-    own = rows.withColumn("_block", F.pmod(F.xxhash64(node, F.lit(3)), F.col(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))
-    dealt = own.withColumn("_other", other)
-    dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, group, "_i", "_j").sortWithinPartitions(group, "_i", "_j", node)
-
-
 class Union:
     """Sets of row numbers that are known to be connected."""
 
@@ -176,59 +169,113 @@ class Union:
         return x != y
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], handle: Callable[[list[tuple], bool], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
-    """Hand over each group of rows (group, _i, _j, _block, node, ...) that follow each other; yield its edges. One group is held at a time."""
-    key, rows, edges = None, [], []
-
-    def done() -> None:
-        if len(rows) > 1:
-            edges.extend(handle(rows, key[1] == key[2]))
-
+def _streamed(batches: Iterator[pa.RecordBatch], keys: int, handle: Callable[[tuple, list[tuple]], list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """Hand over each run of rows that share their first `keys` columns; yield what comes back: group, a, b. One run is held at a time."""
+    key, rows, out = None, [], []
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if row[:3] != key:
-                done()
-                key, rows = row[:3], []
-            rows.append(row[3:])
-        if len(edges) > 10_000:
-            yield _edges(edges)
-            edges = []
-    done()
-    yield _edges(edges)
-
-
-def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*edges, strict=True) if edges else ((), ())
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _near_signatures(rows: list[tuple], one_block: bool) -> list[tuple[int, int]]:
-    """Return a spanning forest of the rows' pairs with near signatures. rows: (_block, node, sig)."""
-    sig = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u2").reshape(len(rows), SLOTS)
-    known, out = Union(len(rows)), []
-    for i in range(len(rows) - 1):
-        near = np.nonzero((sig[i + 1 :] != sig[i]).sum(1) <= MOST_DIFFERING)[0] + i + 1
-        for j in near.tolist():
+            if row[:keys] != key:
+                if rows:
+                    out += handle(key, rows)
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+        if len(out) > 10_000:
+            yield _found(out)
+            out = []
+    if rows:
+        out += handle(key, rows)
+    yield _found(out)
+
+
+def _found(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) or [[]] * 3
+    return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["group", "a", "b"])
+
+
+def _forest(compare: Callable[[list[bytes], np.ndarray], list[tuple[int, int]]], rows: list[tuple], role: np.ndarray) -> list[tuple[int, int]]:
+    nodes = [r[0] for r in rows]
+    return [(nodes[i], nodes[j]) for i, j in compare([r[-1] for r in rows], role) if nodes[i] != nodes[j]]
+
+
+def connected(members: DataFrame, with_data: Callable[[DataFrame], DataFrame], compare: Callable[[list[bytes], np.ndarray], list[tuple[int, int]]], name: str) -> DataFrame:
+    """Return a, b: pairs of nodes that connect all that comparing every two rows of each group would connect.
+
+    members: group, pivot (the group's least node), rows, blocks, node. with_data adds `data` to them.
+    compare(data, role) returns a spanning forest of the rows' links, of those with different roles only if there are two roles.
+
+    1. A block of a group is one task's work, with a copy of the pivot in it. What connects to the
+       pivot in each block is connected throughout, so its pairs across blocks are implied: work and rows
+       are linear in a group, however large, as far as its rows are near its pivot.
+    2. The rest, rows that did not connect to the pivot in their block, meet all blocks of the group, a
+       task per pair of blocks, so no link is lost. Groups of one block have no rest.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), (F.col(c) - 1).cast("int"))
+    dealt = with_data(members).withColumn("part", F.explode(F.when(F.col("node") == F.col("pivot"), upto("blocks")).otherwise(F.array(own))))
+    dealt = dealt.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "node").select("group", "part", "blocks", "pivot", "node", "data")
+
+    def first(key: tuple, rows: list[tuple]) -> list[tuple]:
+        group, _, blocks, pivot = key
+        edges = _forest(compare, rows, np.zeros(len(rows), np.int8))
+        out = [(group, a, b) for a, b in edges]
+        if blocks > 1:
+            nodes = sorted({r[0] for r in rows})
+            at = {n: i for i, n in enumerate(nodes)}
+            known = Union(len(nodes))
+            for a, b in edges:
+                known.join(at[a], at[b])
+            out += [(group, n, n) for n in nodes if known.find(at[n]) != known.find(at[pivot])]
+        return out
+
+    found = saved(dealt.mapInArrow(lambda batches: _streamed(batches, 4, first), "group long, a long, b long"), name)
+    edges = found.where("a <> b").select("a", "b")
+    rest = found.where("a = b").select("group", F.col("a").alias("node")).distinct()
+    if rest.isEmpty():
+        return edges
+    left = rest.groupBy("group").agg(F.count("*").alias("_n"))
+    again = members.join(left, "group").join(rest.withColumn("rest", F.lit(1).cast("long")), ["group", "node"], "left")
+    again = again.select("group", "node", "blocks", F.ceil(F.col("blocks") * F.col("_n") / F.col("rows")).cast("long").alias("rest_blocks"), F.coalesce("rest", F.lit(0).cast("long")).alias("rest"))
+    other = F.pmod(F.xxhash64("node", F.lit(5)), F.col("rest_blocks")).cast("int")
+    place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    as_all = F.transform(upto("rest_blocks"), lambda i: place(i, own, 0))
+    as_rest = F.transform(F.when(F.col("rest") == 1, upto("blocks")).otherwise(F.array().cast("array<int>")), lambda j: place(other, j, 1))
+    dealt = with_data(again).withColumn("at", F.explode(F.concat(as_all, as_rest))).select("group", "at.i", "at.j", "node", "at.role", "data")
+    dealt = dealt.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "node", "role")
+
+    def across(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return [(key[0], a, b) for a, b in _forest(compare, rows, np.array([r[1] for r in rows], np.int8))]
+
+    return edges.union(dealt.mapInArrow(lambda batches: _streamed(batches, 3, across), "group long, a long, b long").select("a", "b"))
+
+
+def near_signatures(data: list[bytes], role: np.ndarray) -> list[tuple[int, int]]:
+    """Return a spanning forest of the pairs whose signatures differ in at most MOST_DIFFERING slots."""
+    sig = np.frombuffer(b"".join(data), dtype="<u2").reshape(len(data), SLOTS)
+    known, out, mixed = Union(len(data)), [], role.any()
+    for i in range(len(data) - 1):
+        near = (sig[i + 1 :] != sig[i]).sum(1) <= MOST_DIFFERING
+        if mixed:
+            near &= role[i + 1 :] != role[i]
+        for j in (np.nonzero(near)[0] + i + 1).tolist():
             if known.join(i, j):
-                out.append((rows[i][1], rows[j][1]))
+                out.append((i, j))
     return out
 
 
-def _confirmed(percent: int) -> Callable[[list[tuple], bool], list[tuple[int, int]]]:
-    def handle(rows: list[tuple], one_block: bool) -> list[tuple[int, int]]:
-        """Return a spanning forest of the rows' links, found on full sets. rows: (_block, node, set).
+def similar_sets(percent: int) -> Callable[[list[bytes], np.ndarray], list[tuple[int, int]]]:
+    """Return a comparison that finds a spanning forest of the links of full sets; pairs already connected are implied."""
 
-        Pairs already connected in this task are implied. Pairs of one block are left to the task of that block alone.
-        """
-        rows.sort(key=lambda r: (len(r[2]), r[1]))
-        sets = [np.frombuffer(r[2], dtype=_U) for r in rows]
-        sizes = np.array([len(s) for s in sets])
-        block = np.array([r[0] for r in rows])
+    def compare(data: list[bytes], role: np.ndarray) -> list[tuple[int, int]]:
+        order = sorted(range(len(data)), key=lambda k: len(data[k]))
+        sets = [np.frombuffer(data[k], dtype=_U) for k in order]
+        sizes, roles = np.array([len(s) for s in sets]), role[order]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         number = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        known, out = Union(len(rows)), []
+        known, out, mixed = Union(len(sets)), [], role.any()
         mark = np.zeros(number.max() + 1, dtype=np.int32)
-        for i in range(len(rows) - 1):
+        for i in range(len(sets) - 1):
             # Sorted by size, so only a run of larger sets can be similar enough.
             end = int(np.searchsorted(sizes * percent, 100 * sizes[i], side="right"))
             if end <= i + 1:
@@ -238,36 +285,36 @@ def _confirmed(percent: int) -> Callable[[list[tuple], bool], list[tuple[int, in
             both = np.add.reduceat(mark[number[bounds[i + 1] : bounds[end]]], bounds[i + 1 : end] - bounds[i + 1])
             mark[own] = 0
             hit = 100 * both >= percent * (sizes[i] + sizes[i + 1 : end] - both)
-            if not one_block:
-                hit &= block[i + 1 : end] != block[i]
+            if mixed:
+                hit &= roles[i + 1 : end] != roles[i]
             for j in (np.nonzero(hit)[0] + i + 1).tolist():
                 if known.join(i, j):
-                    out.append((rows[i][1], rows[j][1]))
+                    out.append((order[i], order[j]))
         return out
 
-    return handle
+    return compare
 
 
 def _member_sets(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """Return family, blocks, node and set for the members, their whole texts hashed anew; a task gives a repeated row once."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").select("family", "blocks", "node", "text")
+    """Add `data`, the shingle set, to members (long columns, node among them), whole texts hashed anew; a batch gives a repeated row once."""
+    names = members.columns
+    rows = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").select(*names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = set()
-            for start, texts in _slices(batch.column(3)):
+            for start, texts in _slices(batch.column(len(names))):
                 sets = shingle_sets(texts)
-                nodes = batch.column(2).slice(start, len(sets)).to_pylist()
                 keep = []
-                for k, (node, s) in enumerate(zip(nodes, sets, strict=True)):
+                for k, (node, s) in enumerate(zip(batch.column(names.index("node")).slice(start, len(sets)).to_pylist(), sets, strict=True)):
                     mark = (node, hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     if len(s) and mark not in seen:
                         seen.add(mark)
                         keep.append(k)
                 at = pa.array([start + k for k in keep], pa.int64())
-                yield pa.record_batch([*[batch.column(c).take(at) for c in range(3)], pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["family", "blocks", "node", "shingles"])
+                yield pa.record_batch([*[batch.column(c).take(at) for c in range(len(names))], pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=[*names, "data"])
 
-    return rows.mapInArrow(run, "family long, blocks long, node long, shingles binary")
+    return rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in names) + ", data binary")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -285,21 +332,16 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     nodes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = saved(nodes, "nodes")
 
-    keys = nodes.select("node", F.explode(chunk_keys()).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = shared.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("long").alias("blocks"))
-    candidates = keys.join(shared, "key").join(nodes.select("node", "sig"), "node").select("key", "blocks", "node", "sig")
-    dealt = block_pairs(candidates, "key", "blocks", "node").select("key", "_i", "_j", "_block", "node", "sig")
-    near = dealt.mapInArrow(lambda batches: _streamed(batches, _near_signatures), "a long, b long")
-    families = components(near, "a", "b")
+    keys = nodes.select("node", F.explode(chunk_keys()).alias("group"))
+    shared = keys.groupBy("group").agg(F.count("*").alias("rows"), F.min("node").alias("pivot")).where("rows > 1")
+    shared = shared.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("long"))
+    with_sig = lambda members: members.join(nodes.select("node", F.col("sig").alias("data")), "node")
+    families = components(connected(keys.join(shared, "group"), with_sig, near_signatures, "near"), "a", "b")
 
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("long")
-    members = families.join(sizes.select("label", blocks.alias("blocks")), "label").select("node", F.col("label").alias("family"), "blocks")
-    sets = _member_sets(documents, members)
-    dealt = block_pairs(sets, "family", "blocks", "node").select("family", "_i", "_j", "_block", "node", "shingles")
-    handle = _confirmed(percent)
-    links = dealt.mapInArrow(lambda batches: _streamed(batches, handle), "a long, b long")
+    members = families.join(sizes.select("label", "rows", blocks.alias("blocks")), "label").select(F.col("label").alias("group"), F.col("label").alias("pivot"), "rows", "blocks", "node")
+    links = connected(members, lambda m: _member_sets(documents, m), similar_sets(percent), "links")
     labels = components(links, "a", "b")
 
     by_digest = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
