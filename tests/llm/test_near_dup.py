@@ -108,7 +108,7 @@ def test_connected_loses_no_link_across_blocks(spark):
         pairs = [(i, j) for i in range(len(at)) for j in range(i) if abs(at[i] - at[j]) <= 1]
         return [(i, j) for i, j in pairs if not role.any() or role[i] != role[j]]
 
-    edges = near_dup.connected(members, lambda m: m.join(data, "node"), compare, "t")
+    edges = near_dup.connected(members.join(data, "node"), compare, "t")
     got = dict(map(tuple, components(edges, "a", "b").collect()))
     low = {n: min(m for m in ids if (place[m] < 120) == (place[n] < 120)) for n in ids}
     assert got == low | {1000 + i: 1000 for i in range(40)}

@@ -197,10 +197,10 @@ def _forest(compare: Callable[[list[bytes], np.ndarray], list[tuple[int, int]]],
     return [(nodes[i], nodes[j]) for i, j in compare([r[-1] for r in rows], role) if nodes[i] != nodes[j]]
 
 
-def connected(members: DataFrame, with_data: Callable[[DataFrame], DataFrame], compare: Callable[[list[bytes], np.ndarray], list[tuple[int, int]]], name: str) -> DataFrame:
+def connected(members: DataFrame, compare: Callable[[list[bytes], np.ndarray], list[tuple[int, int]]], name: str) -> DataFrame:
     """Return a, b: pairs of nodes that connect all that comparing every two rows of each group would connect.
 
-    members: group, pivot (the group's least node), rows, blocks, node. with_data adds `data` to them.
+    members: group, pivot (the group's least node), rows, blocks, node, data; read up to three times.
     compare(data, role) returns a spanning forest of the rows' links, of those with different roles only if there are two roles.
 
     1. A block of a group is one task's work, with a copy of the pivot in it. What connects to the
@@ -213,7 +213,7 @@ def connected(members: DataFrame, with_data: Callable[[DataFrame], DataFrame], c
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     upto = lambda c: F.sequence(F.lit(0), (F.col(c) - 1).cast("int"))
-    dealt = with_data(members).withColumn("part", F.explode(F.when(F.col("node") == F.col("pivot"), upto("blocks")).otherwise(F.array(own))))
+    dealt = members.withColumn("part", F.explode(F.when(F.col("node") == F.col("pivot"), upto("blocks")).otherwise(F.array(own))))
     dealt = dealt.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "node").select("group", "part", "blocks", "pivot", "node", "data")
 
     def first(key: tuple, rows: list[tuple]) -> list[tuple]:
@@ -235,13 +235,13 @@ def connected(members: DataFrame, with_data: Callable[[DataFrame], DataFrame], c
     if rest.isEmpty():
         return edges
     left = rest.groupBy("group").agg(F.count("*").alias("_n"))
-    again = members.join(left, "group").join(rest.withColumn("rest", F.lit(1).cast("long")), ["group", "node"], "left")
+    again = members.drop("data").join(left, "group").join(rest.withColumn("rest", F.lit(1).cast("long")), ["group", "node"], "left")
     again = again.select("group", "node", "blocks", F.ceil(F.col("blocks") * F.col("_n") / F.col("rows")).cast("long").alias("rest_blocks"), F.coalesce("rest", F.lit(0).cast("long")).alias("rest"))
     other = F.pmod(F.xxhash64("node", F.lit(5)), F.col("rest_blocks")).cast("int")
     place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     as_all = F.transform(upto("rest_blocks"), lambda i: place(i, own, 0))
     as_rest = F.transform(F.when(F.col("rest") == 1, upto("blocks")).otherwise(F.array().cast("array<int>")), lambda j: place(other, j, 1))
-    dealt = with_data(again).withColumn("at", F.explode(F.concat(as_all, as_rest))).select("group", "at.i", "at.j", "node", "at.role", "data")
+    dealt = members.select("group", "node", "data").join(again, ["group", "node"]).withColumn("at", F.explode(F.concat(as_all, as_rest))).select("group", "at.i", "at.j", "node", "at.role", "data")
     dealt = dealt.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "node", "role")
 
     def across(key: tuple, rows: list[tuple]) -> list[tuple]:
@@ -335,14 +335,15 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     keys = nodes.select("node", F.explode(chunk_keys()).alias("group"))
     shared = keys.groupBy("group").agg(F.count("*").alias("rows"), F.min("node").alias("pivot")).where("rows > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("long"))
-    with_sig = lambda members: members.join(nodes.select("node", F.col("sig").alias("data")), "node")
-    families = components(connected(keys.join(shared, "group"), with_sig, near_signatures, "near"), "a", "b")
+    shared = saved(keys.join(shared, "group"), "keys")
+    signed_keys = shared.join(nodes.select("node", F.col("sig").alias("data")), "node")
+    families = components(connected(signed_keys, near_signatures, "near"), "a", "b")
 
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("long")
     members = families.join(sizes.select("label", "rows", blocks.alias("blocks")), "label").select(F.col("label").alias("group"), F.col("label").alias("pivot"), "rows", "blocks", "node")
-    links = connected(members, lambda m: _member_sets(documents, m), similar_sets(percent), "links")
-    labels = components(links, "a", "b")
+    sets = saved(_member_sets(documents, members), "sets")
+    labels = components(connected(sets, similar_sets(percent), "links"), "a", "b")
 
     by_digest = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
