@@ -58,7 +58,7 @@ def delays(spark, d):
 
 def arrivals(spark, d):
     """Arrival estimates: plan blended with measured speed, half widths and confidence."""
-    e = table(spark, d, "events").where("user_id % 2 = 0").select("event_id", F.col("value"), (F.col("event_id") % 300 / 60).alias("plan_h"), (F.col("event_id") % 7 * 60).cast("double").alias("gap"))
+    e = table(spark, d, "events").select("event_id", F.col("value"), (F.col("event_id") % 300 / 60).alias("plan_h"), (F.col("event_id") % 7 * 60).cast("double").alias("gap"))
     wgt = F.exp(-F.col("plan_h") / motion.TAU_H)
     sigma = motion.eta_sigma(F.lit(1.0), F.lit(0.35), F.col("plan_h"), F.lit(150.0), F.col("value"), F.col("gap"))
     return rounded(e.select("event_id", (wgt * F.col("value") * 10 + (1 - wgt) * 120).alias("shift_s"), sigma.alias("sigma_min"), motion.confidence(sigma).alias("confidence")), 4)
@@ -70,7 +70,7 @@ def isotonic(spark, d):
 
 
 def time_filled(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 4 <> 0").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("x"), F.floor(epoch_ms("o_orderdate") / 1000).alias("t"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("x"), F.floor(epoch_ms("o_orderdate") / 1000).alias("t"))
     return rounded(trips.fill_by_time(o, "o_custkey", "o_orderkey", "x", "t").select("o_orderkey", "filled"), 6)
 
 
@@ -108,7 +108,7 @@ def minute_counts(spark, d):
 
 def radar(spark, d):
     """The two nearest highlights ahead of each position within a look-ahead that grows with speed."""
-    p = table(spark, d, "events").where("event_id % 5 = 0").select("event_id", ((F.col("event_id") * 53) % 300).cast("double").alias("km"), (F.col("value") * 1.3).alias("kmh"))
+    p = table(spark, d, "events").select("event_id", ((F.col("event_id") * 53) % 300).cast("double").alias("km"), (F.col("value") * 1.3).alias("kmh"))
     h = table(spark, d, "nation").select(F.col("n_name").alias("highlight"), ((F.col("n_nationkey") * 41) % 300).cast("double").alias("at_km"), (F.col("n_nationkey") % 2 == 0).alias("worth"), (F.col("n_nationkey") % 3 == 0).alias("park"))
     j = p.join(F.broadcast(h)).withColumn("ahead", F.col("at_km") - F.col("km") + F.when(F.col("at_km") < F.col("km"), 300.0).otherwise(0.0))  # a route's few highlights
     band = motion.speed_band(F.col("kmh"))
@@ -167,7 +167,7 @@ def graph_components(spark, d):
 
 def graph_paths(spark, d):
     e = _edges(spark, d)
-    return graph.shortest_paths(e, e.where("lo % 5 = 0").select(F.col("lo").alias("node")), 25.0)
+    return graph.shortest_paths(e, e.select(F.col("lo").alias("node")), 25.0)
 
 
 def simplified(spark, d):
@@ -180,7 +180,7 @@ def crowd_thinned(spark, d):
 
 
 def position_fusion(spark, d):
-    e = table(spark, d, "events").where("user_id % 5 = 0")
+    e = table(spark, d, "events")
     t = F.floor(epoch_ms("ts") / 1000).cast("double")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     fixes = e.select(F.col("user_id").alias("trip"), t.alias("t"), F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).otherwise((F.row_number().over(w) * 900).cast("double")).alias("z"), F.col("value").alias("accuracy"), (F.col("event_id") % 1000).cast("double").alias("off"))
@@ -244,13 +244,13 @@ n AS (SELECT *, last_value(CASE WHEN delta IS NOT NULL THEN {'km': km, 'delta':
  first_value(CASE WHEN delta IS NOT NULL THEN {'km': km, 'delta': delta} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY km, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM e),
 p AS (SELECT *, (km - a.km) * 36 AS ps FROM n)
 SELECT event_id, round(CASE WHEN a IS NULL THEN coalesce(b.delta, 0) WHEN b IS NULL THEN greatest(-300, least(a.delta + 0.4 * 60 * ps / 3600, least(a.delta + 0.5 * ps, 10800))) WHEN b.km > a.km THEN a.delta + (b.delta - a.delta) * (km - a.km) / (b.km - a.km) ELSE a.delta END, 7) AS delay_s FROM p""",
-    "arrivals": """WITH e AS (SELECT event_id, value, event_id % 300 / 60 AS h, event_id % 7 * 60 AS gap FROM events WHERE user_id % 2 = 0),
+    "arrivals": """WITH e AS (SELECT event_id, value, event_id % 300 / 60 AS h, event_id % 7 * 60 AS gap FROM events),
 s AS (SELECT *, exp(-h / 0.42) AS w, sqrt(pow(1.0 + 0.35 * sqrt(h), 2) + pow(150.0 / greatest(value, 5) / 60, 2) + pow(gap / 60 * 0.15, 2)) AS sg FROM e)
 SELECT event_id, round(w * value * 10 + (1 - w) * 120, 4) AS shift_s, round(sg, 4) AS sigma_min, CASE WHEN sg <= 3 THEN 'high' WHEN sg <= 10 THEN 'mid' ELSE 'low' END AS confidence FROM s""",
     "isotonic": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS x, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 ELSE 1 END AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 m AS (SELECT a.c, a.n AS i, b.n AS j, sum(s.x * s.w) / sum(s.w) AS avg FROM o a JOIN o b ON a.c = b.c AND b.n >= a.n JOIN o s ON s.c = a.c AND s.n BETWEEN a.n AND b.n GROUP BY 1, 2, 3),
 f AS (SELECT o.k, m.i, min(m.avg) AS lo FROM o JOIN m ON m.c = o.c AND m.i <= o.n AND m.j >= o.n GROUP BY 1, 2) SELECT k AS o_orderkey, round(max(lo), 6) AS fitted FROM f GROUP BY 1""",
-    "time_filled": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS x, epoch(o_orderdate) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 4 <> 0),
+    "time_filled": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS x, epoch(o_orderdate) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 b AS (SELECT o.*, (SELECT max(n) FROM o p WHERE p.c = o.c AND p.n < o.n AND p.x IS NOT NULL) AS i, (SELECT min(n) FROM o p WHERE p.c = o.c AND p.n > o.n AND p.x IS NOT NULL) AS j FROM o)
 SELECT b.k AS o_orderkey, round(coalesce(b.x, CASE WHEN p.n IS NOT NULL AND q.n IS NOT NULL THEN p.x + (q.x - p.x) * CASE WHEN q.t <> p.t THEN (b.t - p.t) / (q.t - p.t) ELSE (b.n - p.n) / (q.n - p.n) END ELSE coalesce(p.x, q.x, 0) END), 6) AS filled
 FROM b LEFT JOIN o p ON p.c = b.c AND p.n = b.i LEFT JOIN o q ON q.c = b.c AND q.n = b.j""",
@@ -263,7 +263,7 @@ i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id R
 j AS (SELECT e.event_id, h.sample, abs(h.h * 3600 - e.s) AS gap, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(h.h * 3600 - e.s), h.h) AS nr FROM e JOIN h ON h.h BETWEEN e.s // 3600 - 1 AND e.s // 3600 + 2 AND abs(h.h * 3600 - e.s) <= 2700)
 SELECT e.event_id, j.sample, j.gap FROM e LEFT JOIN j ON j.event_id = e.event_id AND j.nr = 1""",
     "minute_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "radar": """WITH p AS (SELECT event_id, (event_id * 53 % 300)::DOUBLE AS km, value * 1.3 AS kmh FROM events WHERE event_id % 5 = 0), h AS (SELECT n_name AS highlight, (n_nationkey * 41 % 300)::DOUBLE AS at_km, n_nationkey % 2 = 0 AS worth, n_nationkey % 3 = 0 AS park FROM nation),
+    "radar": """WITH p AS (SELECT event_id, (event_id * 53 % 300)::DOUBLE AS km, value * 1.3 AS kmh FROM events), h AS (SELECT n_name AS highlight, (n_nationkey * 41 % 300)::DOUBLE AS at_km, n_nationkey % 2 = 0 AS worth, n_nationkey % 3 = 0 AS park FROM nation),
 j AS (SELECT *, CASE WHEN at_km < km THEN at_km - km + 300 ELSE at_km - km END AS ahead FROM p CROSS JOIN h), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY ahead, highlight) AS INTEGER) AS nr FROM j WHERE ahead <= least(15, greatest(3, kmh * 0.05)) AND CASE WHEN kmh > 80 THEN worth WHEN kmh < 40 THEN park ELSE worth OR park END)
 SELECT event_id, nr, highlight, ahead FROM k WHERE nr <= 2""",
     "sky_scores": f"""WITH {_SKY} SELECT event_id, {_I.format('g')} AS glow, {_I.format('s')} AS star, {_I.format('rb')} AS rainbow, {_I.format('m')} AS moon, {_I.format('cs')} AS cloud_sea, {_I.format('ri')} AS rime,
@@ -284,6 +284,6 @@ SELECT line_id, CAST(seg AS INTEGER) AS seg, CAST(CASE WHEN km < 800 THEN 8600 W
     "graph_edges": f"WITH {_EDGE_SQL} SELECT * FROM e",
     "graph_components": f"""WITH RECURSIVE {_EDGE_SQL}, b AS (SELECT lo AS a, hi AS c FROM e UNION SELECT hi, lo FROM e), r(node, seen) AS (SELECT a, a FROM b UNION SELECT b.c, r.seen FROM r JOIN b ON b.a = r.node WHERE r.seen < b.c),
 l AS (SELECT node, min(seen) AS label FROM r GROUP BY 1) SELECT label, count(*) AS size FROM l GROUP BY 1""",
-    "graph_paths": f"""WITH RECURSIVE {_EDGE_SQL}, b AS (SELECT lo AS a, hi AS c, w FROM e UNION ALL SELECT hi, lo, w FROM e), r(origin, node, cost) AS (SELECT DISTINCT lo, lo, 0.0::DOUBLE FROM e WHERE lo % 5 = 0 UNION SELECT r.origin, b.c, r.cost + b.w FROM r JOIN b ON b.a = r.node WHERE r.cost + b.w <= 25)
+    "graph_paths": f"""WITH RECURSIVE {_EDGE_SQL}, b AS (SELECT lo AS a, hi AS c, w FROM e UNION ALL SELECT hi, lo, w FROM e), r(origin, node, cost) AS (SELECT DISTINCT lo, lo, 0.0::DOUBLE FROM e UNION SELECT r.origin, b.c, r.cost + b.w FROM r JOIN b ON b.a = r.node WHERE r.cost + b.w <= 25)
 SELECT origin, node, min(cost) AS cost FROM r GROUP BY 1, 2""",
 }

@@ -52,7 +52,7 @@ def cascade(spark, d):
 
 
 def orphan_chains(spark, d):
-    l = table(spark, d, "lineitem").where("l_suppkey < 30")
+    l = table(spark, d, "lineitem")
     rows = l.select((F.col("l_suppkey") % 10).alias("line"), (F.col("l_linenumber") % 4).cast("int").alias("chain"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("score"))
     rows = rows.groupBy("line", "chain", "id").agg(F.max("score").alias("score"))
     return poi.with_orphans(rows.where("chain = 0"), rows.where("chain > 0"), 60)
@@ -90,13 +90,13 @@ def network_gates(spark, d):
 
 
 def key_issues(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 2000").select(F.concat(F.element_at(F.array(*map(F.lit, "GSQ")), (F.col("l_suppkey") % 3 + 1).cast("int")), (F.col("l_partkey") % 700).cast("string")).alias("key"))
+    l = table(spark, d, "lineitem").select(F.concat(F.element_at(F.array(*map(F.lit, "GSQ")), (F.col("l_suppkey") % 3 + 1).cast("int")), (F.col("l_partkey") % 700).cast("string")).alias("key"))
     return gates.key_issues(l, "key", "^[GSXYC][0-9]{1,4}$")
 
 
 def chapters(spark, d):
     """Stretches of a road between its named nodes that lie 5 km apart or more, the first node of a name counting."""
-    n = table(spark, d, "lineitem").where("l_suppkey < 40").select(F.col("l_suppkey").alias("road"), F.concat(F.lit("n"), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.col("l_extendedprice").alias("m"), "l_orderkey", "l_linenumber")
+    n = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("road"), F.concat(F.lit("n"), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.col("l_extendedprice").alias("m"), "l_orderkey", "l_linenumber")
     first = cat.first_by_priority(n.where("m / 50 <= 1.35 * 1000"), ["road", "name"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("m")])
     w = Window.partitionBy("road").orderBy("km", "name")
     c = first.withColumn("km", F.col("m") / 50).select("road", "name", F.lead("name").over(w).alias("next"), F.col("km").alias("from_km"), F.lead("km").over(w).alias("to_km"))
@@ -105,7 +105,7 @@ def chapters(spark, d):
 
 def chapter_widths(spark, d):
     """Widths of a road's chapters: half equal, half by the root of their length, no narrower than 4 %, adding up to one."""
-    c = table(spark, d, "lineitem").where("l_orderkey <= 4000").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("len"))
+    c = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("len"))
     w = Window.partitionBy("l_orderkey")
     share = 0.5 / F.count("*").over(w) + 0.5 * F.sqrt("len") / F.sum(F.sqrt("len")).over(w)
     c = c.withColumn("share", F.greatest(F.lit(0.04), share))
@@ -162,7 +162,7 @@ def road_paths(spark, d):
     e = l.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"), "l_orderkey").where("b IS NOT NULL AND a <> b")
     cls = F.element_at(F.array(*map(F.lit, ("expressway", "national", "provincial", "county", "village"))), (F.col("l_orderkey") % 5 + 1).cast("int"))
     e = e.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), graph.class_weight(F.lit(10.0), cls).alias("w")).groupBy("lo", "hi").agg(F.min("w").alias("w"))
-    return rounded(graph.shortest_paths(e, e.where("lo % 7 = 0").select(F.col("lo").alias("node")), 45.0), 6)
+    return rounded(graph.shortest_paths(e, e.select(F.col("lo").alias("node")), 45.0), 6)
 
 
 def od_slices(spark, d):
@@ -208,7 +208,7 @@ a AS (SELECT name, count(*) AS n, avg(lng) AS lng, (max(lng) - min(lng)) > 0.05
 SELECT s_name AS name, round(CASE WHEN s_suppkey % 3 = 0 THEN 100.0 WHEN n = 1 OR NOT far THEN a.lng END, 6) AS lng, CASE WHEN s_suppkey % 3 = 0 THEN 30.0 WHEN n = 1 OR NOT far THEN 30.5 END::DOUBLE AS lat,
 CASE WHEN s_suppkey % 3 = 0 THEN 'known' WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'single' WHEN NOT far THEN 'mean' ELSE 'spread' END AS source FROM supplier LEFT JOIN a ON a.name = s_name""",
     "cascade": "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'exact' || s_suppkey WHEN s_suppkey % 3 = 0 THEN 'prefix' WHEN s_suppkey % 5 <> 4 THEN 'nation' END AS city, CASE WHEN s_suppkey % 2 = 0 THEN 'exact' WHEN s_suppkey % 3 = 0 THEN 'prefix' WHEN s_suppkey % 5 <> 4 THEN 'nation' END AS resolved_by FROM supplier",
-    "orphan_chains": """WITH r AS (SELECT l_suppkey % 10 AS line, CAST(l_linenumber % 4 AS INTEGER) AS chain, l_partkey AS id, max(l_quantity) AS score FROM lineitem WHERE l_suppkey < 30 GROUP BY ALL), m AS (SELECT * FROM r WHERE chain = 0),
+    "orphan_chains": """WITH r AS (SELECT l_suppkey % 10 AS line, CAST(l_linenumber % 4 AS INTEGER) AS chain, l_partkey AS id, max(l_quantity) AS score FROM lineitem GROUP BY ALL), m AS (SELECT * FROM r WHERE chain = 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY line, id ORDER BY chain) AS nr FROM r WHERE chain > 0 AND (line, id) NOT IN (SELECT (line, id) FROM m)), f AS (SELECT line, chain, id, score FROM o WHERE nr = 1),
 c AS (SELECT line, greatest(6, ceil(60 / count(DISTINCT chain))) AS quota FROM f GROUP BY 1), k AS (SELECT f.*, quota, row_number() OVER (PARTITION BY line, chain ORDER BY score DESC, id) AS nr FROM f JOIN c USING (line))
 SELECT * FROM m UNION ALL SELECT line, chain, id, score FROM k WHERE nr <= quota""",
@@ -223,11 +223,11 @@ SELECT CASE WHEN chord < 0.5 THEN 'ok' WHEN len > 2.2 * chord AND len - chord >
     "network_gates": """WITH r AS (SELECT o_orderpriority AS class, o_orderkey % 10 <> 0 AS m, o_totalprice > 50000 AS g, o_orderkey % 4001 = 0 AS bad, o_totalprice / 500000 AS e FROM orders),
 p AS (SELECT class, round(count(*) FILTER (WHERE m AND g) / greatest(count(*) FILTER (WHERE m), 1), 4) AS coverage, count(*) FILTER (WHERE bad) AS corrupt, round(count(*) FILTER (WHERE e <= 0.25) / count(*), 4) AS good_share FROM r GROUP BY 1)
 SELECT *, CASE WHEN corrupt > 0 THEN 'corrupt' WHEN coverage < 0.5 THEN 'coverage' WHEN good_share < 0.75 THEN 'grade' ELSE 'ok' END AS gate FROM p""",
-    "key_issues": """WITH k AS (SELECT substr('GSQ', CAST(l_suppkey % 3 + 1 AS INTEGER), 1) || (l_partkey % 700) AS key FROM lineitem WHERE l_orderkey < 2000)
+    "key_issues": """WITH k AS (SELECT substr('GSQ', CAST(l_suppkey % 3 + 1 AS INTEGER), 1) || (l_partkey % 700) AS key FROM lineitem)
 SELECT key, 'duplicate' AS issue FROM k GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT key, 'format' FROM k WHERE NOT regexp_full_match(key, '[GSXYC][0-9]{1,4}')""",
-    "chapters": """WITH n AS (SELECT l_suppkey AS road, 'n' || (l_partkey % 50) AS name, l_extendedprice AS m, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS nr FROM lineitem WHERE l_suppkey < 40 AND l_extendedprice / 50 <= 1350),
+    "chapters": """WITH n AS (SELECT l_suppkey AS road, 'n' || (l_partkey % 50) AS name, l_extendedprice AS m, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS nr FROM lineitem WHERE l_extendedprice / 50 <= 1350),
 c AS (SELECT road, name, lead(name) OVER w AS next, m / 50 AS from_km, lead(m / 50) OVER w AS to_km FROM n WHERE nr = 1 WINDOW w AS (PARTITION BY road ORDER BY m / 50, name)) SELECT road, name, next, round(from_km, 6) AS from_km, round(to_km, 6) AS to_km FROM c WHERE to_km - from_km >= 5""",
-    "chapter_widths": """WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS len, greatest(0.04, 0.5 / count(*) OVER w + 0.5 * sqrt(l_quantity) / sum(sqrt(l_quantity)) OVER w) AS share FROM lineitem WHERE l_orderkey <= 4000 WINDOW w AS (PARTITION BY l_orderkey))
+    "chapter_widths": """WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS len, greatest(0.04, 0.5 / count(*) OVER w + 0.5 * sqrt(l_quantity) / sum(sqrt(l_quantity)) OVER w) AS share FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))
 SELECT l_orderkey, l_linenumber, len, round(share / sum(share) OVER (PARTITION BY l_orderkey), 6) AS width FROM c""",
     "clock_durations": "SELECT o_orderkey, greatest(0, o_orderkey % 3 * 1440 + o_orderkey * 53 % 1440 - o_orderkey * 37 % 1440) AS minutes FROM orders",
     "board_intersection": """WITH o AS (SELECT o_custkey, o_orderpriority AS p, epoch_ms(o_orderdate) // 86400000 AS day FROM orders)
@@ -238,7 +238,7 @@ j AS (SELECT *, fmod(fmod((peak - 947182440000.0) / 86400000.0, 29.530588853) +
 SELECT week, shower, y, CAST(floor(least(100.0, zhr / 150 * 100) * (1 - (1 - cos(2 * pi() * age / 29.530588853)) / 2 * 0.75) + 0.5) AS INTEGER) AS score FROM j""",
     "road_paths": """WITH RECURSIVE e0 AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_orderkey FROM lineitem WHERE l_quantity >= 48),
 e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, min(10.0::DOUBLE * [1.0, 1.15, 1.35, 1.6, 1.9][l_orderkey % 5 + 1]::DOUBLE) AS w FROM e0 WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2), b AS (SELECT lo AS a, hi AS c, w FROM e UNION ALL SELECT hi, lo, w FROM e),
-r(origin, node, cost) AS (SELECT DISTINCT lo, lo, 0.0::DOUBLE FROM e WHERE lo % 7 = 0 UNION SELECT r.origin, b.c, r.cost + b.w FROM r JOIN b ON b.a = r.node WHERE r.cost + b.w <= 45) SELECT origin, node, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2""",
+r(origin, node, cost) AS (SELECT DISTINCT lo, lo, 0.0::DOUBLE FROM e UNION SELECT r.origin, b.c, r.cost + b.w FROM r JOIN b ON b.a = r.node WHERE r.cost + b.w <= 45) SELECT origin, node, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2""",
     "od_slices": with_tables(["lines"], f"""{_LSEGS}, z AS (SELECT line_id, max(cum_b) AS total FROM segs GROUP BY 1), k AS (SELECT line_id, unnest([total / 3, total * 2 / 3]) AS km FROM z),
 j AS (SELECT k.line_id, km, s.*, CASE WHEN cum_b > cum_a THEN (km - cum_a) / (cum_b - cum_a) ELSE 0 END AS t FROM k JOIN segs s ON k.line_id = s.line_id AND km >= cum_a AND (km < cum_b OR (last AND km <= cum_b)))
 SELECT line_id, round(km, 4) AS km, round(a_lng + (b_lng - a_lng) * t, 4) AS lng, round(a_lat + (b_lat - a_lat) * t, 4) AS lat FROM j UNION ALL SELECT c.line_id, round(cum_km, 4), round(lng, 4), round(lat, 4) FROM cum c JOIN z ON z.line_id = c.line_id AND cum_km > total / 3 AND cum_km < total * 2 / 3"""),
