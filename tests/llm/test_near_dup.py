@@ -124,3 +124,37 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     assert got == {x: r for x, r in up.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def just_similar(seed):
+    """Two texts of 180 shingles that share 160: 160 / 200 is 0.80."""
+    rng = random.Random(seed)
+    base = [f"{rng.randrange(10**6)}w" for _ in range(184)]
+    other = list(base)
+    for at in (20, 60, 100, 140):
+        other[at] = f"{rng.randrange(10**6)}v"
+    return " ".join(base), " ".join(other)
+
+
+def test_isolated_pairs_at_the_limit_are_linked(spark):
+    """Of the first 24,000 seeds, those that 7 chunks over 35 of 64 slots and a distance of 24 missed."""
+    seeds = [2448, 3993, 6381, 8429, 9980, 12704, 14920, 19063, 19897, 19938, 22337]
+    rows = [(2 * i + k, t) for i, seed in enumerate(seeds) for k, t in enumerate(just_similar(seed))]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {d: d - d % 2 for d, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [70, 75, 80, 85, 90, 100])
+def test_keys_cover_the_whole_distance(percent):
+    """Signatures as far apart as are compared, their differences spread evenly over the chunks, share a key."""
+    chunks, most = near_dup.chunk_slots(percent), near_dup.most_differing(percent)
+    assert sorted(i for c in chunks for i in c) == list(range(near_dup.SLOTS)) and len(chunks) * 2 > most
+    differ = 1 - percent / 100
+    rng = np.random.default_rng(percent)
+    assert (rng.binomial(near_dup.SLOTS, differ, 200_000) > most).sum() <= 3
+    spread = sorted(i for i in range(near_dup.SLOTS) for c in chunks if i in c[:2])[:most]
+    assert min(sum(i in spread for i in c) for c in chunks) <= 1
+    a = np.zeros(near_dup.SLOTS, "<u2")
+    b = a.copy()
+    b[spread] = 1
+    assert near_dup.near_signatures(percent)([a.tobytes(), b.tobytes()], np.zeros(2, np.int8)) == [(0, 1)]

@@ -1,13 +1,14 @@
 """Near duplicates: b-bit MinHash signatures, a multi-index Hamming join, and an exact check on full sets.
 
-A document's set is its distinct five-word shingles. Its signature has 64 slots of 16 bits; slots of
+A document's set is its distinct five-word shingles. Its signature has 65 slots of 16 bits; slots of
 two documents agree about as often as their sets are similar. Documents with equal sets become one node.
 
-1. Multi-index: 35 slots are split into 7 chunks of 5. Of two signatures that differ in at most 13 of
-   these slots, some chunk differs in at most one (pigeonhole). Each chunk is keyed with each slot left out in turn, so such
-   pairs share a key. At a similarity of 0.85 no chunk agrees so far with a probability of 3e-6.
-2. In every key's group signatures are compared, and a spanning forest of the pairs with at most 24 of
-   64 differing slots goes on; components of these are families.
+1. Multi-index: all slots are split into chunks, so many that of two signatures within the distance of
+   step 2 some chunk differs in at most one slot (pigeonhole). Each chunk is keyed with each slot left
+   out in turn, so all such pairs share a key.
+2. In every key's group signatures are compared, and a spanning forest of the pairs with at most
+   `most_differing(percent)` differing slots goes on; components of these are families. A pair at the
+   limit itself differs in more slots with a probability of at most LOSS (binomial), the only way to miss it.
 3. Within a family, full sets are compared until all links are known or implied, and the components of the confirmed links
    are the result.
 
@@ -18,6 +19,7 @@ did not connect to it there meet the other blocks (see `connected`). No link is
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,12 +31,33 @@ from wayfold.llm.scratch import bounded_batches, saved
 from wayfold.operators.graph import components
 
 WORDS = 5
-SLOTS, CHUNKS, CHUNK_SLOTS, MOST_DIFFERING = 64, 7, 5, 24
+SLOTS = 65
+#: Probability that a pair just similar enough differs in more slots than are compared.
+LOSS = 1e-6
 #: Rows of a group in one block, and shingles of a family in one block.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Bytes of text hashed at once in a task.
 SLICE_BYTES = 2 << 20
 
+
+def most_differing(percent: int) -> int:
+    """Return the least number of slots that a pair at the limit exceeds with a probability of at most LOSS."""
+    differ, more, most = 1 - percent / 100, 1.0, -1
+    while more > LOSS:
+        most += 1
+        more = sum(math.comb(SLOTS, k) * differ**k * (1 - differ) ** (SLOTS - k) for k in range(most + 1, SLOTS + 1))
+    return most
+
+
+def chunk_slots(percent: int) -> list[list[int]]:
+    """Split the slots into chunks, of which one or more differ in at most one slot where most_differing(percent) slots differ."""
+    chunks = most_differing(percent) // 2 + 1
+    return [list(range(c * SLOTS // chunks, (c + 1) * SLOTS // chunks)) for c in range(chunks)]
+
+
+#: At 85 in 100, where all chunks are alike.
+CHUNKS, CHUNK_SLOTS = len(chunk_slots(85)), len(chunk_slots(85)[0])
+
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -96,7 +119,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> list[bytes | None]:
-    """Return each set's signature: the lowest 16 bits, after mixing, of the least value of each of 64 hash functions."""
+    """Return each set's signature: the lowest 16 bits, after mixing, of the least value of each of 65 hash functions."""
     full = [i for i, s in enumerate(sets) if len(s)]
     out: list[bytes | None] = [None] * len(sets)
     if not full:
@@ -142,12 +165,12 @@ def signed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def chunk_keys():
+def chunk_keys(percent: int):
     """Return an array column of the keys of `sig`: a hash of each chunk with each of its slots left out."""
     keys = []
-    for chunk in range(CHUNKS):
-        slot = [F.substring("sig", 2 * (chunk * CHUNK_SLOTS + i) + 1, 2) for i in range(CHUNK_SLOTS)]
-        keys += [F.xxhash64(F.lit(chunk), F.lit(out), *[s for i, s in enumerate(slot) if i != out]) for out in range(CHUNK_SLOTS)]
+    for chunk, slots in enumerate(chunk_slots(percent)):
+        slot = [F.substring("sig", 2 * i + 1, 2) for i in slots]
+        keys += [F.xxhash64(F.lit(chunk), F.lit(out), *[s for i, s in enumerate(slot) if i != out]) for out in range(len(slots))]
     return F.array(*keys)
 
 
@@ -250,18 +273,23 @@ def connected(members: DataFrame, compare: Callable[[list[bytes], np.ndarray], l
     return edges.union(dealt.mapInArrow(lambda batches: _streamed(batches, 3, across), "group long, a long, b long").select("a", "b"))
 
 
-def near_signatures(data: list[bytes], role: np.ndarray) -> list[tuple[int, int]]:
-    """Return a spanning forest of the pairs whose signatures differ in at most MOST_DIFFERING slots."""
-    sig = np.frombuffer(b"".join(data), dtype="<u2").reshape(len(data), SLOTS)
-    known, out, mixed = Union(len(data)), [], role.any()
-    for i in range(len(data) - 1):
-        near = (sig[i + 1 :] != sig[i]).sum(1) <= MOST_DIFFERING
-        if mixed:
-            near &= role[i + 1 :] != role[i]
-        for j in (np.nonzero(near)[0] + i + 1).tolist():
-            if known.join(i, j):
-                out.append((i, j))
-    return out
+def near_signatures(percent: int) -> Callable[[list[bytes], np.ndarray], list[tuple[int, int]]]:
+    """Return a comparison that finds a spanning forest of the pairs whose signatures differ in at most most_differing(percent) slots."""
+    most = most_differing(percent)
+
+    def compare(data: list[bytes], role: np.ndarray) -> list[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(data), dtype="<u2").reshape(len(data), SLOTS)
+        known, out, mixed = Union(len(data)), [], role.any()
+        for i in range(len(data) - 1):
+            near = (sig[i + 1 :] != sig[i]).sum(1) <= most
+            if mixed:
+                near &= role[i + 1 :] != role[i]
+            for j in (np.nonzero(near)[0] + i + 1).tolist():
+                if known.join(i, j):
+                    out.append((i, j))
+        return out
+
+    return compare
 
 
 def similar_sets(percent: int) -> Callable[[list[bytes], np.ndarray], list[tuple[int, int]]]:
@@ -332,12 +360,12 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     nodes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = saved(nodes, "nodes")
 
-    keys = nodes.select("node", F.explode(chunk_keys()).alias("group"))
+    keys = nodes.select("node", F.explode(chunk_keys(percent)).alias("group"))
     shared = keys.groupBy("group").agg(F.count("*").alias("rows"), F.min("node").alias("pivot")).where("rows > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("long"))
     shared = saved(keys.join(shared, "group"), "keys")
     signed_keys = shared.join(nodes.select("node", F.col("sig").alias("data")), "node")
-    families = components(connected(signed_keys, near_signatures, "near"), "a", "b")
+    families = components(connected(signed_keys, near_signatures(percent), "near"), "a", "b")
 
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("long")
