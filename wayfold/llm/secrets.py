@@ -6,6 +6,7 @@ expression, so that scoring and masking work inside a row: no explode, no shuffl
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -15,10 +16,18 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.scratch import saved
 
-#: A candidate: 16 or more characters of a token with a digit among them, or what a secret's name is set to.
+KNOWN_PREFIX = r"^(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{30,}|eyJ[A-Za-z0-9_\-]{20,}|glpat-[A-Za-z0-9_\-]{16,})"
+
+_RUN, _NO_DIGIT = r"[A-Za-z0-9+/_\-]", r"[A-Za-z+/_\-]"
+#: Inside a run of token characters: the start of a known shape after a separator. Counts are the least ones, so a look ahead is bounded.
+_INNER = r"(?<=[+/_\-])" + re.sub(r"([0-9]+),\}", r"\1}", KNOWN_PREFIX[1:])
+_END = rf"(?:(?!{_RUN})={{0,2}}|(?={_INNER}))"
+#: A candidate: 16 or more characters of a token with a digit among them, of any length; a known shape inside such
+#: a run, after a path or a name, where the run before it ends; or the whole of what a secret's name is set to.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,64}[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-    r"|(?i:(?<=password[ ]{0,2}[:=][ ]{0,2}[\"']?|passwd[ ]{0,2}[:=][ ]{0,2}[\"']?|secret[ ]{0,2}[:=][ ]{0,2}[\"']?))[^\s\"'<>]{8,64}"
+    rf"(?<!{_RUN})(?={_NO_DIGIT}*+[0-9])(?={_RUN}{{16}})(?!(?:{_NO_DIGIT}+|{_RUN}{{1,15}}){_INNER}){_RUN}{{16,}}?{_END}"
+    rf"|(?={_INNER}){_RUN}+?{_END}"
+    r"|(?i:(?<=password[ ]{0,2}[:=][ ]{0,2}[\"']?|passwd[ ]{0,2}[:=][ ]{0,2}[\"']?|secret[ ]{0,2}[:=][ ]{0,2}[\"']?))[^\s\"'<>]{8,}"
 )
 BEFORE, AFTER = 60, 40
 MASK = "[secret]"
@@ -42,7 +51,6 @@ NEAR_SECRET = r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|credential|
 NEAR_OTHER = r"(?i)example|sample|commit|checksum|sha-?\d|md5|uuid|guid|hash|digest|dummy|fake|placeholder|version|revision|etag|build|session.?id|order|tracking|isbn|image|base64,|integrity|permalink|https?:"
 PATH_OTHER = r"(?i)test|spec|fixture|example|sample|doc|vendor|lock|mock|demo|readme"
 PATH_SECRET = r"(?i)\.env|config|setting|credential|deploy|secret|\.ya?ml|\.ini|\.properties"
-KNOWN_PREFIX = r"^(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{30,}|eyJ[A-Za-z0-9_\-]{20,}|glpat-[A-Za-z0-9_\-]{16,})"
 
 TREES, DEPTH, SEED, LABELLED_ROWS = 24, 6, 7, 6_000
 
