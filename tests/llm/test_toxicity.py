@@ -91,3 +91,19 @@ def test_no_labels_and_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in tox.op8_toxicity(docs, empty).collect()} == {0}
     assert tox.op8_toxicity(docs.limit(0), empty).count() == 0
+
+
+def test_no_term_and_no_clean_word_is_left_out(spark):
+    """450 terms, each in all toxic rows, and 2,700 clean words an edit away from one, each in three clean rows."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = sorted({"".join(rng.choice(letters) for _ in range(8)) for _ in range(450)})
+    near = sorted({t[:i] + c + t[i + 1 :] for t in terms for i, c in zip(range(1, 7), rng.sample(letters, 6), strict=True) if t[i] != c} - set(terms))
+    assert len(terms) > 400 and len(near) > 2_000
+    clean = [[] for _ in range(160)]
+    for i, w in enumerate(near):
+        for k in range(3):
+            clean[(i + k) % len(clean)].append(w)
+    rows = [(" ".join(rng.sample(terms, len(terms))), 1) for _ in range(40)] + [(" ".join(rng.sample(words, len(words))), 0) for words in clean]
+    got, known = tox.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int").repartition(4))
+    assert sorted(got) == terms and known == set(near)

@@ -24,8 +24,6 @@ from wayfold.llm.scratch import bounded_batches, saved
 
 #: Labelled rows that the lexicon and the model are fitted on, at most; the ones with the least hash of doc_id.
 FIT_ROWS = 10_000
-#: Terms of the lexicon, at most: the ones that tell toxic documents best.
-LEXICON_TERMS = 400
 THRESHOLD = 0.7
 
 WORD = re.compile(r"[^\W_]+(?:[@$!*'][^\W_]+)*|[@$][^\W_]+")
@@ -202,12 +200,13 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS)
     return rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str], frozenset[str]]:
+def learn_lexicon(rows: DataFrame) -> tuple[list[str], frozenset[str]]:
     """Learn the words of toxic documents, and the clean words that lie within an edit of them.
 
     A word's evidence is the number of different documents it is in, near copies counted once (by
     the least hash of their five-word sequences), as a likelihood ratio against the share of toxic
     documents; it must outweigh what the best of all words would reach by chance in one corpus of twenty.
+    All words that do are terms, and all clean words near them are returned; the rows, FIT_ROWS at most, bound both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +232,11 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str]
     share = (F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1.0)
     gain = F.col("t") * F.log(share / base) + F.col("c") * F.log((1 - share) / (1 - base))
     chance = F.lit(math.log(max(counts.count(), 1)) + math.log(20.0))
-    best = counts.where((share > 0.6) & (gain > chance)).orderBy(gain.desc(), "word").limit(most).collect()
+    best = counts.where((share > 0.6) & (gain > chance)).orderBy(gain.desc(), "word").collect()
     terms = [r["word"] for r in best]
     if not terms:
         return [], frozenset()
-    # Words near a term that clean documents use: a bounded list, as they lie within an edit or two of the terms.
+    # Words near a term that clean documents use, all of them: one left out would count as a misspelt term everywhere.
     trie = Lexicon(terms)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +244,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str]
             keep = [w for w in batch.column(0).to_pylist() if (found := trie.match(w)) and found[1]]
             yield pa.record_batch([pa.array(keep, pa.string())], names=["word"])
 
-    clean_words = counts.where((F.col("c") >= 2) & (F.col("t") <= F.col("c"))).select("word").mapInArrow(near, "word string").limit(5 * most).collect()
+    clean_words = counts.where((F.col("c") >= 2) & (F.col("t") <= F.col("c"))).select("word").mapInArrow(near, "word string").collect()
     return terms, frozenset(r["word"] for r in clean_words)
 
 
