@@ -189,3 +189,38 @@ def test_datum_shift(spark):
     lng, lat = geo.wgs84_to_gcj02(F.col("lng"), F.col("lat"))
     r = g.select(lng.alias("x"), lat.alias("y")).first()
     assert math.hypot(r["x"] - 116.40624, r["y"] - 39.90140) < 1e-4
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs, which no task gathers, come to the components that plain Python finds."""
+    import random
+
+    monkeypatch.setattr(graph, "HUB_EDGES", 5)
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(7, 1000 + i) for i in range(60)] + [(2000, i) for i in range(1000, 1030)] + [(i, i + 1) for i in range(3000, 3040)]
+    up = {n: n for e in edges for n in e}
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        up[max(x, y)] = min(x, y)
+    want = {n: find(n) for e in edges if e[0] != e[1] for n in e}
+    got = graph.components(spark.createDataFrame(edges, "lo long, hi long")).collect()
+    assert {r["node"]: r["label"] for r in got} == want and len(got) == len(want)
+
+
+def test_import_without_training_data_operators(tmp_path):
+    """Without the two folders and the pipeline the entry module still lists every other query and its SQL."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.pyc"))
+    check = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", check], cwd=tmp_path / "copy", check=True, timeout=120)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfold.sources.scratch import stored
 
 MOST_ROUNDS = 200
-#: Parts that the edges of one node are spread over in a join.
-HUB_SALTS = 16
+#: A node with more edges than this is a hub; with many edges the bound rises, so that there are no more hubs than MOST_HUBS.
+HUB_EDGES, MOST_HUBS = 100_000, 1_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -18,39 +19,48 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.groupBy("lo", "hi").agg(F.min("w").alias("w"), F.bool_or("fast").alias("fast"), F.min("line").alias("line"))
 
 
-def _least_near(pairs: DataFrame, node: str, other: str) -> DataFrame:
-    """Return each pair with m, the least of its node and all the node's others.
+def _least_near(pairs: DataFrame, node: str, other: str, hubs: list[int]) -> DataFrame:
+    """Add m, the least of a node and its others, and _nr, 1 on at least one of a node's pairs.
 
-    A hub's pairs are spread over salts for the join, and the hub's least value is sent to each.
+    Hubs, at most MOST_HUBS, stay out of the window: their pairs stay where they are and get their least by a broadcast.
     """
-    least = pairs.groupBy(node).agg(F.min(other).alias("m")).withColumn("m", F.least("m", node))
-    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
-    return pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(HUB_SALTS)).cast("int")).join(least, [node, "_salt"]).drop("_salt")
+    group = Window.partitionBy(node)
+    rest = pairs.where(~F.col(node).isin(hubs)) if hubs else pairs
+    out = rest.withColumns({"m": F.least(node, F.min(other).over(group)), "_nr": F.row_number().over(group.orderBy(other))})
+    if not hubs:
+        return out
+    of_hubs = pairs.where(F.col(node).isin(hubs))
+    least = of_hubs.groupBy(F.col(node).alias("_hub")).agg(F.min(other).alias("m"))
+    return out.unionByName(of_hubs.join(F.broadcast(least), F.col(node) == F.col("_hub")).drop("_hub").withColumns({"m": F.least(node, "m"), "_nr": F.lit(1)}))
 
 
 def components(edges: DataFrame, a: str = "lo", b: str = "hi") -> DataFrame:
     """Label each node that has an edge with the least node of its component: node, label.
 
-    Large and small stars in turn. Edges may repeat, point either way or join a node to itself; nodes
-    are longs and not null. A round is two aggregations and joins over no more edges than there were,
-    stored in the shared folder, so a lost executor costs a round at most. The driver sees sums only.
+    Large and small stars in turn, until every node points straight at one root. Edges may repeat,
+    point either way or join a node to itself; nodes are longs and not null. A round is three
+    shuffles of no more edges than there were plus one per node, without joins, and
+    is stored in the shared folder, so a lost executor costs a round at most. Only nodes with no
+    more than HUB_EDGES edges are handled by a task each; the edges of others, which are few, stay
+    where they are. The driver sees sums and, where there are any, the hubs: at most MOST_HUBS nodes.
     """
     edges = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
     edges = stored(edges.where("lo < hi").distinct(), "edges")
-    before = None
     for _ in range(MOST_ROUNDS):
+        ends = edges.select(F.explode(F.array(F.struct(F.col("lo").alias("node"), F.lit(0).alias("up")), F.struct(F.col("hi").alias("node"), F.lit(1).alias("up")))).alias("e")).select("e.*")
+        nodes = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum("up").alias("ups"))
+        state = nodes.agg(F.sum("n").alias("ends"), F.max("n").alias("most"), F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("n") > F.col("ups")))).alias("open")).first()
+        if not state["open"]:
+            break
+        limit = max(HUB_EDGES, state["ends"] // MOST_HUBS)
+        hubs = [r["node"] for r in nodes.where(F.col("n") > limit).collect()] if state["most"] > limit else []
         # Large star: every neighbour above a node moves to the least node it sees there.
-        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        up = _least_near(both, "u", "v").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        both = edges.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("e")).select("e.*")
+        up = _least_near(both, "u", "v", hubs).where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         # Small star: a node and its neighbours below point to the least of them.
-        down = _least_near(up, "hi", "lo")
-        near = down.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi")
-        edges = stored(near.union(down.select(F.col("m").alias("lo"), "hi")).distinct(), "edges")
-        sums = [F.sum(c.cast("decimal(38,0)")) for c in (F.col("lo"), F.col("hi"), F.xxhash64("lo", "hi"))]
-        state = edges.agg(F.count("*"), *sums).first()
-        if state == before:
-            break
-        before = state
+        down = _least_near(up, "hi", "lo", hubs)
+        to = F.array(F.when(F.col("m") < F.col("lo"), F.col("lo")), F.when(F.col("_nr") == 1, F.col("hi")))
+        edges = stored(down.select(F.col("m").alias("lo"), F.explode(F.array_compact(to)).alias("hi")).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()

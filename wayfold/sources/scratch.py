@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Return the folder named by spark.checkpoint.dir; set one only where it is unset (local runs)."""
+    """Return the folder named by spark.checkpoint.dir; where it is unset, a local run gets one of its own and a cluster raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
