@@ -22,13 +22,19 @@ _RUN, _NO_DIGIT = r"[A-Za-z0-9+/_\-]", r"[A-Za-z+/_\-]"
 #: Inside a run of token characters: the start of a known shape after a separator. Counts are the least ones, so a look ahead is bounded.
 _INNER = r"(?<=[+/_\-])" + re.sub(r"([0-9]+),\}", r"\1}", KNOWN_PREFIX[1:])
 _END = rf"(?:(?!{_RUN})={{0,2}}|(?={_INNER}))"
-#: A candidate: 16 or more characters of a token with a digit among them, of any length; a known shape inside such
-#: a run, after a path or a name, where the run before it ends; or the whole of what a secret's name is set to.
+#: Names that are set to secrets.
+SECRET_NAME = r"(?:pass(?:word|wd|phrase)|pwd|secret|token|credentials?|(?:api|access|auth|private|secret)[_\- ]?key)"
+#: What a secret's name is set to: 8 or more characters up to white space, a quote or an angle bracket, if not quoted without closing punctuation.
+_VALUE = r"[^\s\"'<>]{7,}[^\s\"'<>.,;:!?)\]}]"
+#: A candidate: the whole of what a secret's name is set to, unless that leads to a known shape; 16 or more characters of a
+#: token with a digit among them, of any length; or a known shape inside such a run, after a path or a name, where the run before it ends.
 CANDIDATE = (
-    rf"(?<!{_RUN})(?={_NO_DIGIT}*+[0-9])(?={_RUN}{{16}})(?!(?:{_NO_DIGIT}+|{_RUN}{{1,15}}){_INNER}){_RUN}{{16,}}?{_END}"
+    rf"(?<=[:=>][ ]{{0,2}}[\"']?)(?i:(?<={SECRET_NAME}[\"']?[ ]{{0,2}}[:=]=?>?[ ]{{0,2}}[\"']?))(?![\"' ])(?!{_RUN}*?{_INNER})(?:(?<=[\"'])[^\s\"'<>]{{8,}}|(?<![\"']){_VALUE})"
+    rf"|(?<!{_RUN})(?={_NO_DIGIT}*+[0-9])(?={_RUN}{{16}})(?!(?:{_NO_DIGIT}+|{_RUN}{{1,15}}){_INNER}){_RUN}{{16,}}?{_END}"
     rf"|(?={_INNER}){_RUN}+?{_END}"
-    r"|(?i:(?<=password[ ]{0,2}[:=][ ]{0,2}[\"']?|passwd[ ]{0,2}[:=][ ]{0,2}[\"']?|secret[ ]{0,2}[:=][ ]{0,2}[\"']?))[^\s\"'<>]{8,}"
 )
+#: What every text with a candidate has: a run as long as the shortest known shape, or something set to 8 characters.
+MAY_HOLD = rf"(?<!{_RUN}){_RUN}{{15}}|[:=>][ ]{{0,2}}[\"']?[^\s\"'<>]{{8}}"
 BEFORE, AFTER = 60, 40
 MASK = "[secret]"
 
@@ -110,19 +116,24 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, start: int
     name = pick("n", "token", "secret", "api_key", "API-KEY", "access_token", "password", "auth token", "client_secret", "private key")
     sign = pick("s", ' = "', "=", ": ", ": '", ' := "', " ")
     other = pick("o", "commit", "checksum:", "sha256:", "md5 ", "uuid ", "etag: ", "version ", "build ", "digest = ", "example key ", "revision=", "integrity: sha512-", "order ")
-    secret = pick("k", hexes, hexes, hexes, mixed, mixed, F.concat(F.lit("AKIA"), _chars(up + num, 16, i)), F.concat(F.lit("ghp_"), _chars(low + up + num, 36, i)),
+    chosen = F.concat(_chars(low + up + num, size("c", 4, 12), i), pick("C", "!", "$", "#", "@", "%", "&", "*"), _chars(low + num + up + "!$#@%&*", size("d", 4, 14), F.xxhash64(i, F.lit("t"))))
+    # A chosen password has signs in it.
+    secret = pick("k", hexes, hexes, hexes, mixed, mixed, chosen, _chars(low + num, size("s", 9, 15), i), F.concat(F.lit("AKIA"), _chars(up + num, 16, i)), F.concat(F.lit("ghp_"), _chars(low + up + num, 36, i)),
                   F.concat(F.lit("sk_live_"), _chars(low + up + num, 24, i)), F.concat(_chars(low + up + num + "+/", 43, i), F.lit("=")), F.concat(F.lit("eyJ"), _chars(low + up + num + "_-", size("j", 30, 90), i)))
     # Fixed words of prose often stand right before a bare secret, so a known shape needs no name.
     known = F.rlike(secret, F.lit(KNOWN_PREFIX))
-    lead = F.when(known & (F.pmod(F.xxhash64(i, F.lit("q")), F.lit(3)) == 0), F.concat(prose, F.lit(" "))).otherwise(F.concat(prose, F.lit(" "), name, sign))
+    lead = F.when(known & (F.pmod(F.xxhash64(i, F.lit("q")), F.lit(3)) == 0), F.concat(prose, F.lit(" "))).otherwise(F.concat(prose, F.lit(" "), name, F.when((sign == " ") & ~F.rlike(secret, F.lit(rf"^{_RUN}{{16}}")), "=").otherwise(sign)))
     clock = _chars(num, 2, i)
+    # What prose and code put after a secret's name is words.
+    told = pick("T", F.array_join(F.transform(F.sequence(F.lit(1), size("sp", 4, 7)), lambda k: F.element_at(F.split(F.lit(PAIRS), r"\|"), (F.pmod(F.xxhash64(i, k), F.lit(PAIRS.count("|") + 1)) + 1).cast("int"))), ""), F.concat(word(4), word(5)), F.concat(word(4), F.lit("."), word(5), F.lit("[")), F.concat_ws("-", word(4), word(5)), F.concat(word(4), F.lit("("), word(5)), F.concat_ws(".", word(4), word(5), word(6)), F.concat(F.lit("${"), F.upper(word(4)), F.lit("_"), F.upper(word(5))), F.concat(F.lit("{{"), word(4), F.lit("."), word(5)))
     fake = pick("f", F.concat_ws("-", word(4), word(5), word(6), clock), F.concat_ws("_", word(4), word(5), word(6), clock), F.concat(F.initcap(word(4)), F.initcap(word(5)), F.initcap(word(6)), clock),
                 F.concat_ws("/", word(4), word(5), word(6), clock), _chars(num, size("d", 16, 24), i), F.repeat(F.concat(F.lit("x"), F.lit("0")), 12), F.concat(F.lit("changeme"), _chars(num, 8, i)),
                 F.concat(F.lit("EXAMPLE_KEY_"), _chars(num, 6, i)), F.concat(F.lit("your_"), word(4), F.lit("_token_"), word(5), F.lit("_1234")))
     ids = F.concat_ws("-", *[_chars(num + "abcdef", n, F.xxhash64(i, F.lit(n + j))) for j, n in enumerate((8, 4, 4, 4, 12))])
-    lure = pick("l", fake, fake, fake, hexes, ids, mixed)
+    lure = pick("l", fake, fake, fake, hexes, ids, mixed, told)
+    is_told = F.pmod(F.xxhash64(i, F.lit("l")), F.lit(7)) == 6
     # A digest, an id or a random string is taken for one only beside words that say so; a slug also where a secret's name stands.
-    lure_lead = F.when(F.rlike(lure, F.lit("(?i)change|example|your_|x0x0|-|_|/")) & ~F.rlike(lure, F.lit("^[0-9a-f-]{36}$")), F.concat(prose, F.lit(" "), pick("g", name, other, word(7)), sign)).when(
+    lure_lead = F.when(is_told, F.concat(prose, F.lit(" "), name, sign)).when(F.rlike(lure, F.lit("(?i)change|example|your_|x0x0|-|_|/")) & ~F.rlike(lure, F.lit("^[0-9a-f-]{36}$")), F.concat(prose, F.lit(" "), pick("g", name, other, word(7)), sign)).when(
         F.rlike(lure, F.lit("^[0-9]+$")), F.concat(prose, F.lit(" "))).otherwise(F.concat(prose, F.lit(" "), other))
     is_secret = F.pmod(F.xxhash64(i, F.lit("label")), F.lit(2)) == 0
     neutral = pick("p", "src7", "web", "", "src/app/main.py", "notes.txt")
@@ -133,14 +144,21 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, start: int
     )
 
 
-def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
-    """Train the forest on labelled findings (a bounded table); return its trees as nested (feature, threshold, left, right) or shares of secrets."""
+def fit_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
+    """Fit Spark's random forest on labelled findings, a bounded table; return the model and the features it was fitted on."""
     names = list(feature_columns(F.lit(""), F.lit(""), F.lit(""), F.lit("")))
     rows = findings.select("label", *[c.alias(n) for n, c in feature_columns(F.col("token"), F.col("before"), F.col("after"), F.col("path")).items()])
     # The learner goes over its rows several times.
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(saved(rows, "findings")).select("features", "label").coalesce(2)
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, minInstancesPerNode=5, featureSubsetStrategy="onethird").fit(vectors)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, minInstancesPerNode=5, featureSubsetStrategy="onethird").fit(vectors), vectors
+
+
+def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
+    """Return the trees of a fitted forest, nested as (feature, threshold, left, right) or shares of secrets."""
+    return forest_trees(fit_forest(findings, trees, depth, seed)[0])
+
 
+def forest_trees(model) -> list:
     def walk(node):
         if node.subtreeDepth() == 0:
             stats = list(node.impurityStats().stats())
@@ -166,7 +184,9 @@ def forest_column(trees: list, features: list[Column]) -> Column:
 def candidates(text: Column) -> tuple[Column, Column]:
     """Return a text's candidates and the pieces between them, one more than candidates; both hold the whole text together."""
     text = F.coalesce(text, F.lit(""))
-    return F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1)), F.split(text, CANDIDATE, -1)
+    may = F.rlike(text, F.lit(MAY_HOLD))
+    found = F.when(may, F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return found, F.when(may, F.split(text, CANDIDATE, -1)).otherwise(F.array(text))
 
 
 def scan(documents: DataFrame, trees: list, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -182,7 +202,8 @@ def scan(documents: DataFrame, trees: list, text_col: str = "text", path_col: st
     window = F.transform(
         F.sequence(F.lit(1), n),
         lambda k: F.struct(
-            F.element_at("_tokens", k).alias("token"), F.right(F.element_at("_pieces", k), F.lit(BEFORE)).alias("before"), F.left(F.element_at("_pieces", k + 1), F.lit(AFTER)).alias("after"),
+            F.element_at("_tokens", k).alias("token"), F.right(F.concat_ws("", F.get("_tokens", k - 2), F.right(F.element_at("_pieces", k), F.lit(BEFORE))), F.lit(BEFORE)).alias("before"),
+            F.left(F.concat_ws("", F.left(F.element_at("_pieces", k + 1), F.lit(AFTER)), F.get("_tokens", k)), F.lit(AFTER)).alias("after"),
             F.element_at("_pieces", k).alias("_piece"),
         ),
     )
