@@ -186,3 +186,12 @@ def test_shards_are_tar_files_with_each_payload_once(spark):
     (path,) = Path(root.removeprefix("file://")).glob("*.tar")
     with tarfile.open(path) as tar:
         assert len(tar.getnames()) == 1
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x" * 500_000, "word " * 100_000, "\t \n" * 500_000 + "end <|endoftext|>"])
+def test_ids_of_very_long_runs(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(text, packing.default_vocabulary()) == tok.encode(text, add_special_tokens=False).ids
