@@ -59,7 +59,7 @@ def jump(key, n):
 def test_jump_hash(spark):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), 12345, None] + list(range(50, 400))
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    for n in (1, 8, 9, 37):
+    for n in (1, 8, 9, 32, 33, 37, 10_000):
         got = [r[0] for r in df.select(sharding.jump_hash(F.col("k"), n)).collect()]
         assert got == [jump(k or 0, n) for k in keys]
     with pytest.raises(ValueError):
@@ -80,6 +80,15 @@ def test_sharding(spark):
     assert clash["slot"] == 0
 
 
+def test_keys_of_other_types(spark):
+    rows = [("a", 1.5), ("b", None), (None, 2.0), ("a", 1.5), ("é", 0.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for key in ("k", "x"):
+        out = sharding.shard_rows(df, key, 3).collect()
+        assert len(out) == 5 and all(len({r["shard"] for r in out if r[key] == v}) == 1 for v in {r[key] for r in out})
+        assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out))) for s in range(3))
+
+
 def water(sizes, weights=(5, 2, 1), most=3.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
