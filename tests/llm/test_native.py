@@ -139,3 +139,24 @@ def test_unequal_weights(spark):
     out = mixing.mix(df, mixing.source_targets(df, total=8000), weight_col="w", slices=64).collect()
     heavy = sum(r["copies"] for r in out if r["w"] == 4) / sum(r["copies"] for r in out)
     assert 0.75 < heavy < 0.85 and sum(r["taken"] for r in out) == 8000
+
+
+def test_many_sources(spark, monkeypatch):
+    """Sources in several ranges, and rows joined to them by a shuffle, give the same mix as the broadcast of a few."""
+    rows = [(i, "w " * (1 + i * 7 % 50), None if i % 40 == 39 else f"host{i % 40:03}.example") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = sorted(map(str, mixing.mix_documents(df).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 5)
+    assert sorted(map(str, mixing.mix_documents(df).collect())) == few
+
+
+def test_longer_documents_are_likelier_and_equal_rows_alike(spark):
+    rows = [(i, "s", 4 if i % 2 else 64, None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, x string").withColumn("w", mixing.richness(F.col("size")))
+    out = mixing.mix(df, mixing.source_targets(df, total=20_000), weight_col="w").collect()
+    long, short = (sum(r["copies"] for r in out if r["size"] == n) for n in (64, 4))
+    assert 1.9 < long / short < 2.9 and sum(r["taken"] for r in out) == 20_000  # 7 digits to 3
+    same = spark.createDataFrame([(1, "s", 10)] * 7 + [(2, "s", 5)], "doc_id long, source string, size long")
+    out = mixing.mix(same, mixing.source_targets(same, total=40)).collect()
+    assert len(out) == 8 and len({r["taken"] for r in out if r["doc_id"] == 1}) == 1 and 33 < sum(r["taken"] for r in out) <= 40
