@@ -107,3 +107,21 @@ def test_no_term_and_no_clean_word_is_left_out(spark):
     rows = [(" ".join(rng.sample(terms, len(terms))), 1) for _ in range(40)] + [(" ".join(rng.sample(words, len(words))), 0) for words in clean]
     got, known = tox.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int").repartition(4))
     assert sorted(got) == terms and known == set(near)
+
+
+def test_held_out_labels_of_the_table(spark):
+    """Ranking of the held-out labelled documents of a driver's table: area under the curve, and no clean document over the threshold."""
+    root = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    rows = tox.op8_toxicity(spark.read.parquet(f"{root}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").where("toxic IN (0, 1)").collect()
+    bad, good = ([r["score"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    area = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert area > 0.85 and sum(b >= 0.7 for b in bad) >= 0.75 * len(bad) and sum(g >= 0.7 for g in good) <= 0.01 * len(good)
+
+
+def test_repeated_documents_teach_once(spark):
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    got = sorted(map(tuple, tox.training_rows(docs, labels).collect()))
+    held = {d for d in (1, 2, 3) if zlib.crc32(str(d).encode()) % 3 == 1}
+    assert got == sorted((t, y) for d, t, y in ((1, "a", 1), (2, "", 0)) if d not in held)

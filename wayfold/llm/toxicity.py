@@ -193,11 +193,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """Return text and toxic (0 or 1) of the labelled rows to learn from, at most so many label rows by hash of doc_id."""
+    """Return text and toxic (0 or 1) of the labelled rows to learn from: at most so many label rows by hash of doc_id, each once.
+
+    Rows of documents that share a doc_id give one row, with the least text; null texts count as empty.
+    """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("_id")))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(most)
-    rows = documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    chosen = known.distinct().orderBy(F.xxhash64("_id"), "_id", "toxic").limit(most)
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[list[str], frozenset[str]]:
@@ -288,7 +291,10 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Drop the documents that score the threshold or more; all others stay as they are, with all columns."""
+    """Drop the documents that score the threshold or more; all others stay as they are, with all columns.
+
+    Null and empty texts hold no term and stay, as do rows without doc_id; repeated rows are scored alike.
+    """
     model = fit(documents, labels)
     bias, *weights = (float(w) for w in model.weights)
     terms, known = model.terms, model.known
