@@ -15,22 +15,27 @@ from wayfold.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that score under the toxicity threshold. Null and empty texts, rows without doc_id and repeated rows stay; without usable labels all stay."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least doc_id of each group of documents at a similarity of 0.8 or more. Texts without words and rows without doc_id stay; of rows with one doc_id one stays."""
     return one_of_each(docs, 80)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask the secrets in every text and set n_chars; null and empty texts and all other rows and columns stay as they are."""
     return mask_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take documents whole, none to three times, so that sources come near their target weights; null is a source, texts without words are never taken, equal rows are taken alike."""
     return mixed_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Return the packed pieces of all documents; null and empty texts are one token, the end of a document."""
     return op4_packing(docs)
 
 
