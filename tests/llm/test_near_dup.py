@@ -158,3 +158,41 @@ def test_keys_cover_the_whole_distance(percent):
     b = a.copy()
     b[spread] = 1
     assert near_dup.near_signatures(percent)([a.tobytes(), b.tobytes()], np.zeros(2, np.int8)) == [(0, 1)]
+
+
+def pairs_at(percent, n, seed):
+    """Make n pairs of texts that are just similar enough, and n that just are not."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    out, nr = [], 0
+    while nr < 2 * n:
+        words = [word() for _ in range(rng.randint(60, 200))]
+        other = list(words)
+        # A changed word at either end costs few shingles, so the share can be set finely.
+        cut = 0
+        near = nr < n
+        def share():
+            a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other))
+            return len(a & b), len(a | b)
+        while True:
+            both, either = share()
+            if 100 * both < percent * either:
+                break
+            kept = list(other)
+            other = other[1:] if cut % 2 else other[:-1]
+            cut += 1
+        out.append((" ".join(words), " ".join(kept if near else other)))
+        nr += 1
+    return out
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85])
+def test_recall_of_pairs_at_the_limit(spark, percent):
+    """Of 300 pairs just over the limit all are linked, of 300 just under it none."""
+    pairs = pairs_at(percent, 300, percent)
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+    assert sum(linked[:300]) >= 299 and not any(linked[300:])

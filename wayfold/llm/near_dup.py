@@ -223,7 +223,7 @@ def _forest(compare: Callable[[list[bytes], np.ndarray], list[tuple[int, int]]],
 def connected(members: DataFrame, compare: Callable[[list[bytes], np.ndarray], list[tuple[int, int]]], name: str) -> DataFrame:
     """Return a, b: pairs of nodes that connect all that comparing every two rows of each group would connect.
 
-    members: group, pivot (the group's least node), rows, blocks, node, data; read up to three times.
+    members: group, pivot (the group's least node), rows, blocks, node, data; read up to three times, so a stored table.
     compare(data, role) returns a spanning forest of the rows' links, of those with different roles only if there are two roles.
 
     1. A block of a group is one task's work, with a copy of the pivot in it. What connects to the
@@ -364,7 +364,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     shared = keys.groupBy("group").agg(F.count("*").alias("rows"), F.min("node").alias("pivot")).where("rows > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("long"))
     shared = saved(keys.join(shared, "group"), "keys")
-    signed_keys = shared.join(nodes.select("node", F.col("sig").alias("data")), "node")
+    signed_keys = saved(shared.join(nodes.select("node", F.col("sig").alias("data")), "node"), "signed-keys")
     families = components(connected(signed_keys, near_signatures(percent), "near"), "a", "b")
 
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
