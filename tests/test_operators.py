@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, motion, names
-from wayfold.operators import catalogue, graph, lines, spatial, trips
+from wayfold.operators import catalogue, graph, lines, network, spatial, trips
 from wayfold.sources import readers
 from wayfold.streaming import live
 
@@ -224,3 +224,25 @@ def test_import_without_training_data_operators(tmp_path):
     shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.pyc"))
     check = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", check], cwd=tmp_path / "copy", check=True, timeout=120)
+
+
+def test_lower_percentiles(spark):
+    rows = [("a", float(i * 37 % 101)) for i in range(101)] + [("b", 4.0)] * 5 + [("c", None), ("d", -1.5)]
+    out = catalogue.lower_percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", (0, 50, 100), buckets=7).collect()
+    assert {(r["g"], r["percent"]): r["v"] for r in out} == {("a", 0): 0, ("a", 50): 50, ("a", 100): 100, ("b", 0): 4, ("b", 50): 4, ("b", 100): 4, ("d", 0): -1.5, ("d", 50): -1.5, ("d", 100): -1.5}
+
+
+def test_station_names(spark):
+    pairs = [("嘉兴", "嘉兴南", False), ("杭州南", "杭州东", False), ("上海", "上海虹桥站", True), ("嘉兴站", "嘉兴", True), ("", "嘉兴", False), ("南", "济南", True)]
+    for a, b, want in pairs:
+        assert one(spark, names.same_station(F.lit(a), F.lit(b))) is want, (a, b)
+
+
+def test_network_without_rows(spark):
+    points = spark.createDataFrame([(1, None, None), (2, 100.0, 30.0)], "id long, lng double, lat double")
+    nodes = spark.createDataFrame([(7, 100.01, 30.0, False), (8, 100.02, 30.0, True), (9, 140.0, 30.0, True)], "node long, lng double, lat double, main boolean")
+    got = network.nearest_node(points, nodes).collect()
+    assert [(r["id"], r["node"]) for r in got] == [(2, 8)]  # the main component first, though farther
+    assert network.nearest_node(points, nodes.limit(0)).count() == 0
+    roads = nodes.select(F.col("node").alias("key"), "lng", "lat")
+    assert network.nearest_roads(points, roads).collect()[0]["keys"] == [7, 8]

@@ -74,13 +74,67 @@ def suggest_score(name: Column, query: str) -> Column:
     return F.when(name == query, 100).when(name.startswith(query), 80).when(name.contains(query), 50).otherwise(0)
 
 
+def _station(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, "站$", ""))
+
+
 def same_station(a: Column, b: Column) -> Column:
-    """Tell whether two station names mean one station: equal without the word for station, else one within the other unless their compass suffixes differ."""
-    strip = lambda c: F.regexp_replace(F.trim(c), "站$", "")
-    x, y = strip(a), strip(b)
-    side = lambda c: F.regexp_extract(c, "([东西南北])$", 1)
-    within = (x != "") & (y != "") & (x.contains(y) | y.contains(x))
-    return (x == y) | (within & ~((side(x) != "") & (side(y) != "") & (side(x) != side(y))) & ((side(x) == side(y))))
+    """Tell whether two station names mean one station: equal without the word for station, or one within the other unless only a compass suffix sets them apart."""
+    x, y = _station(a), _station(b)
+    side = "[东西南北]$"
+    stem = lambda c: F.regexp_replace(c, side, "")
+    apart = (stem(x) == stem(y)) & (F.char_length(stem(x)) >= 2) & (x.rlike(side) | y.rlike(side))
+    some = (F.coalesce(x, F.lit("")) != "") & (F.coalesce(y, F.lit("")) != "")
+    return some & ((x == y) | (~apart & (x.contains(y) | y.contains(x))))
+
+
+def same_stop(a: Column, b: Column) -> Column:
+    """Tell whether two names mean one stop of a journey: equal, or without the word for station one starts with the other."""
+    x, y = F.trim(_station(a)), F.trim(_station(b))
+    some = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
+    return some & ((a == b) | ((x != "") & (y != "") & (x.startswith(y) | y.startswith(x))))
+
+
+def station_score(name: Column, pinyin: Column, short: Column, telecode: Column, query: str) -> Column:
+    """Suggestion score of a station: 100 name or code, 80 start of the name, 70 of its spelling, 50 in the name, 40 in the spelling; null if none."""
+    q = query.strip().lower()
+    n, p, s, t = (F.lower(F.coalesce(c, F.lit(""))) for c in (name, pinyin, short, telecode))
+    return F.when((n == q) | (t == q), 100).when(n.startswith(q), 80).when(s.startswith(q) | p.startswith(q), 70).when(n.contains(q), 50).when(p.contains(q) | s.contains(q), 40)
+
+
+def road_sign(ref: Column) -> Column:
+    """Kind of sign of a road number; whatever is no number gets the sign of a national highway."""
+    r = F.upper(F.trim(F.coalesce(ref, F.lit(""))))
+    letter, three = F.substring(r, 1, 1), F.length(r) == 4
+    coded = F.when(letter == "G", F.when(three, "national-highway").otherwise("national-expressway")).when(letter == "S", F.when(three, "provincial-highway").otherwise("provincial-expressway"))
+    coded = coded.when(letter == "X", "county").when(letter == "Y", "township").otherwise("village")
+    return F.when(r.rlike(r"^(?:此生必驾|必驾)\s*\d{2,3}$"), "scenic").when(r.rlike(r"^[GSXYC]\d{1,4}$"), coded).otherwise("national-highway")
+
+
+def spur_reason(honors: Column, level: Column, km: Column) -> Column:
+    """Say why a place far from the route is worth the way; null without an honour or a level."""
+    why = F.when(F.coalesce(F.size(honors), F.lit(0)) > 0, F.array_join(honors, "、")).otherwise(F.when(level != "", level))
+    return F.concat(F.lit("距本次路线 "), F.floor(km + 0.5).cast("string"), F.lit(" km，需专程绕行；"), why, F.lit("，值得为它单独安排时间"))
+
+
+def offset_label(ms: Column) -> Column:
+    """Say a shift of a timetable in whole minutes: on time, late or early."""
+    m = F.floor(ms / 60_000 + 0.5).cast("long")
+    return F.when(m == 0, "准点").when(m > 0, F.concat(F.lit("晚点 "), m.cast("string"), F.lit(" 分钟"))).otherwise(F.concat(F.lit("早点 "), F.abs(m).cast("string"), F.lit(" 分钟")))
+
+
+def stop_anchor(kind: Column, at: Column, arrive: Column, depart: Column, prefer: str = "auto") -> Column:
+    """The time that a stop goes by: of a first stop its own, of a last one its own, else the departure; or what is preferred first."""
+    if prefer == "depart":
+        return F.coalesce(depart, at, arrive)
+    if prefer == "arrive":
+        return F.coalesce(arrive, at, depart)
+    return F.when(kind == "depart", F.coalesce(at, depart, arrive)).when(kind == "arrive", F.coalesce(at, arrive, depart)).otherwise(F.coalesce(depart, arrive, at))
+
+
+def near_arrival(now_ms: Column, anchor_ms: Column, window_ms: int = 45 * 60_000) -> Column:
+    """Tell whether a clock is within 45 minutes of a stop's time; a stop without one is never near."""
+    return F.coalesce(F.abs(now_ms - anchor_ms) <= window_ms, F.lit(False))
 
 
 def flight_number(raw: Column) -> Column:

@@ -146,27 +146,34 @@ def exact_dedupe(spark, d):
 
 
 def shared_boards(spark, d):
-    """Orders as boards of parts: how many other boards share a part, by board, within a day's boards."""
-    b = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("board"), F.col("l_partkey").alias("part")).distinct()
-    other = b.select(F.col("board").alias("also"), "part")
-    return b.join(other, "part").where("board <> also").groupBy("board").agg(F.countDistinct("also").alias("also_in"))
+    """Orders as boards of parts: of each board how many parts other boards have too, and how often, from the boards per part."""
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("board"), F.col("l_partkey").alias("part")).distinct()
+    also = b.groupBy("part").agg((F.count("*") - 1).alias("others"))
+    return b.join(also, "part").groupBy("board").agg(F.count_if(F.col("others") > 0).alias("shared"), F.sum("others").alias("also_in"))
+
+
+def _ends(spark, d):
+    l = table(spark, d, "lineitem")
+    pair = lambda flag: l.where(F.col("l_returnflag") == flag).select("l_partkey", "l_suppkey").distinct()
+    return pair("A"), pair("R")
 
 
 def both_ends(spark, d):
-    """Parts that two suppliers' lines have in common: an intersection by semi join."""
-    l = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
-    return l.where("l_suppkey % 10 = 1").select("l_partkey").distinct().join(l.where("l_suppkey % 10 = 2"), "l_partkey", "left_semi")
+    """Parts of a supplier that came back and were also accepted: an intersection by semi join."""
+    a, r = _ends(spark, d)
+    return a.join(r, ["l_partkey", "l_suppkey"], "left_semi")
 
 
 def only_one_end(spark, d):
-    l = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
-    return l.where("l_suppkey % 10 = 1").select("l_partkey").distinct().join(l.where("l_suppkey % 10 = 2"), "l_partkey", "left_anti")
+    a, r = _ends(spark, d)
+    return a.join(r, ["l_partkey", "l_suppkey"], "left_anti")
 
 
 def eta_errors(spark, d):
     """Mean, median and 90th percentile of absolute errors, without interpolation."""
-    e = table(spark, d, "events").groupBy("event_type").agg(F.collect_list(F.abs(F.col("value") - 50)).alias("v"), F.round(F.avg(F.abs(F.col("value") - 50)), 6).alias("mae"))
-    return e.select("event_type", "mae", cat.element_percentile(F.col("v"), 50).alias("p50"), cat.element_percentile(F.col("v"), 90).alias("p90"))
+    e = table(spark, d, "events").select("event_type", F.abs(F.col("value") - 50).alias("off"))
+    p = cat.lower_percentiles(e, "event_type", "off", (50, 90)).groupBy("event_type").agg(F.max(F.when(F.col("percent") == 50, F.col("off"))).alias("p50"), F.max(F.when(F.col("percent") == 90, F.col("off"))).alias("p90"))
+    return e.groupBy("event_type").agg(F.round(F.avg("off"), 6).alias("mae")).join(p, "event_type")
 
 
 def catalogue_issues(spark, d):
@@ -230,9 +237,9 @@ SELECT l_partkey, first(q ORDER BY prio) FILTER (WHERE q IS NOT NULL) AS quantit
 r AS (SELECT *, row_number() OVER (PARTITION BY day, priority ORDER BY (price IS NOT NULL)::INT + (status IS NOT NULL)::INT + CASE WHEN price > 0 THEN 5 ELSE 0 END DESC, no) AS nr FROM o)
 SELECT day, priority, max(no) FILTER (WHERE nr = 1) AS no, max(price) FILTER (WHERE nr = 1) AS price, max(status) FILTER (WHERE nr = 1) AS status, coalesce(string_agg(no, ',' ORDER BY no) FILTER (WHERE nr > 1), '') AS variants FROM r GROUP BY 1, 2""",
     "exact_dedupe": with_tables(["spots"], "SELECT * EXCLUDE (nr) FROM (SELECT CAST(floor(lng) AS BIGINT) AS x, CAST(floor(lat) AS BIGINT) AS y, id, score, row_number() OVER (PARTITION BY floor(lng), floor(lat) ORDER BY score DESC, id) AS nr FROM spots) WHERE nr = 1"),
-    "shared_boards": "WITH b AS (SELECT DISTINCT l_orderkey AS board, l_partkey AS part FROM lineitem WHERE l_quantity >= 49) SELECT a.board, count(DISTINCT c.board) AS also_in FROM b a JOIN b c ON a.part = c.part AND a.board <> c.board GROUP BY 1",
-    "both_ends": "SELECT l_partkey FROM lineitem WHERE l_suppkey % 10 = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 10 = 2",
-    "only_one_end": "SELECT l_partkey FROM lineitem WHERE l_suppkey % 10 = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_suppkey % 10 = 2",
+    "shared_boards": "WITH b AS (SELECT DISTINCT l_orderkey AS board, l_partkey AS part FROM lineitem), n AS (SELECT part, count(*) - 1 AS others FROM b GROUP BY 1) SELECT board, count(*) FILTER (WHERE others > 0) AS shared, CAST(sum(others) AS BIGINT) AS also_in FROM b JOIN n USING (part) GROUP BY 1",
+    "both_ends": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
+    "only_one_end": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
     "eta_errors": """WITH e AS (SELECT event_type, list_sort(list(abs(value - 50))) AS v, round(avg(abs(value - 50)), 6) AS mae FROM events GROUP BY 1)
 SELECT event_type, mae, v[least(len(v) - 1, CAST(floor(len(v) * 50 / 100) AS BIGINT)) + 1] AS p50, v[least(len(v) - 1, CAST(floor(len(v) * 90 / 100) AS BIGINT)) + 1] AS p90 FROM e""",
     "catalogue_issues": with_tables(["routes"], """i AS (SELECT 'error' AS level, id AS route_id, 'days' AS field, 'days missing or not positive' AS message FROM routes WHERE days IS NULL OR days <= 0

@@ -64,8 +64,8 @@ def coverage(spark, d):
     return poi.coverage(r.select(F.col("anchor_city").alias("city")).distinct(), routes)
 
 
-def _stops(spark, d):
-    p = derived(spark, d, "lines")
+def _stops(spark, d, of="lines"):
+    p = derived(spark, d, of)
     return p.select("line_id", F.col("seq").alias("stop"), (F.col("lng") + F.when(F.col("seq") % 7 == 0, 0.5).otherwise(0.01)).alias("lng"), "lat")
 
 
@@ -74,7 +74,7 @@ def whole_trips(spark, d):
 
 
 def stop_gates(spark, d):
-    return gates.stops_gate(_stops(spark, d), derived(spark, d, "lines"), False)
+    return gates.stops_gate(_stops(spark, d, "tracks"), derived(spark, d, "tracks"), False)
 
 
 def segment_gates(spark, d):
@@ -198,7 +198,14 @@ pl AS (SELECT *, (b_lng - a_lng) * kx AS bx, (b_lat - a_lat) * 110.574 AS bby, (
 nn AS (SELECT *, row_number() OVER (PARTITION BY line_id, stop ORDER BY sqrt(pow(sx - bx * t, 2) + pow(sy - bby * t, 2)), seg) AS nr FROM tt),
 sp AS (SELECT line_id, stop, lng, lat, floor((cum_a + (cum_b - cum_a) * t) * 100 + 0.5) / 100 AS along_km, floor({hav('lng', 'lat', 'a_lng + (b_lng - a_lng) * t', 'a_lat + (b_lat - a_lat) * t')} * 1000 + 0.5) / 1000 AS dist_km FROM nn WHERE nr = 1)"""
 
+_TRACK_STOPS = _STOPS.replace("FROM lines", "FROM tracks")
+
 ORACLES = {
+    "stop_gates": with_tables(["tracks"], f"""{_TRACK_STOPS}, c AS (SELECT *, lag(along_km) OVER w - along_km AS back, {hav('lag(lng) OVER w', 'lag(lat) OVER w', 'lng', 'lat')} AS chord FROM sp WINDOW w AS (PARTITION BY line_id ORDER BY stop)),
+per AS (SELECT line_id, max(dist_km) AS off, max(back - greatest(3.0, chord * 0.1)) AS back, sum(chord) AS chord, arg_min(lng, stop) AS x0, arg_min(lat, stop) AS y0, arg_max(lng, stop) AS x1, arg_max(lat, stop) AS y1 FROM c GROUP BY 1),
+en AS (SELECT line_id, max(cum_b - cum_a) AS jump, max(cum_b) AS length, arg_min(a_lng, seg) AS ax, arg_min(a_lat, seg) AS ay, arg_max(b_lng, seg) AS bx, arg_max(b_lat, seg) AS bby FROM segs GROUP BY 1)
+SELECT line_id, CASE WHEN greatest({hav('ax', 'ay', 'x0', 'y0')}, {hav('bx', 'bby', 'x1', 'y1')}) > 12 THEN 'od_anchor' WHEN off > 10 THEN 'stop_off_path' WHEN back > 0 THEN 'backtrack' WHEN jump > 60 THEN 'jump'
+WHEN chord >= 50 AND (length / chord < 1 OR length / chord > 1.7) THEN 'length_ratio' ELSE 'ok' END AS stage FROM per JOIN en USING (line_id)"""),
     "admitted": with_tables(["spots"], """SELECT id FROM spots WHERE lng BETWEEN 73.5 AND 134.77 AND lat BETWEEN 17.5 AND 53.56 AND NOT (lng BETWEEN 118.2 AND 118.55 AND lat BETWEEN 24.16 AND 24.55) AND NOT (lng BETWEEN 119.85 AND 120.55 AND lat BETWEEN 25.9 AND 26.45)
 AND id % 7 <> 0 AND (id % 2 = 0 OR NOT ((lng BETWEEN 80 AND 88.35 AND lat BETWEEN 26.2 AND 28.15) OR (lng BETWEEN 88.35 AND 92.2 AND lat BETWEEN 26.4 AND 27.72)))"""),
     "poi_groups": with_tables(["spots"], f'{_GROUPS} SELECT id, "group" FROM gr').replace("WITH spots", "WITH RECURSIVE spots", 1),

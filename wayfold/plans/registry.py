@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.plans import catalogue, geometry, journeys, links, places
+from wayfold.plans import catalogue, geometry, journeys, links, network, places
 
-MODULES = (geometry, catalogue, journeys, places, links)
+MODULES = (geometry, catalogue, journeys, places, links, network)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

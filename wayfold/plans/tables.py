@@ -41,8 +41,14 @@ SELECT p_partkey AS id, p_name AS name, CASE p_size % 6 WHEN 0 THEN 'L1' WHEN 1
        CASE WHEN p_partkey % 7 = 0 THEN 'draft' ELSE 'published' END AS status, p_brand AS anchor_city, p_type AS tag, CAST(p_partkey % 9 AS BIGINT) AS poi_count
 FROM part
 """
-SQL_NAMES = {"spots": SPOTS, "points": POINTS, "lines": LINES, "places": PLACES, "routes": ROUTES}
-SOURCES = {"spots": "customer", "points": "supplier", "lines": "supplier", "places": "nation", "routes": "part"}
+#: Short lines of six points each, so that there are as many lines as the data asks for.
+TRACKS = """
+SELECT CAST(floor((c_custkey - 1) / 6) AS BIGINT) AS line_id, c_custkey AS seq, 100.0 + CAST((c_custkey * 7919) % 40000 AS DOUBLE) / 100000.0 AS lng,
+       30.0 + CAST((c_custkey * 104729) % 30000 AS DOUBLE) / 100000.0 AS lat
+FROM customer
+"""
+SQL_NAMES = {"spots": SPOTS, "points": POINTS, "lines": LINES, "places": PLACES, "routes": ROUTES, "tracks": TRACKS}
+SOURCES = {"spots": "customer", "points": "supplier", "lines": "supplier", "places": "nation", "routes": "part", "tracks": "customer"}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
