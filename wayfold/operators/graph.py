@@ -19,6 +19,11 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.groupBy("lo", "hi").agg(F.min("w").alias("w"), F.bool_or("fast").alias("fast"), F.min("line").alias("line"))
 
 
+def nodes(edges: DataFrame) -> DataFrame:
+    """Return each node that has an edge, once."""
+    return edges.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
+
+
 def _least_near(pairs: DataFrame, node: str, other: str, hubs: list[int]) -> DataFrame:
     """Add m, the least of a node and its others, and _nr, 1 on at least one of a node's pairs.
 

@@ -10,7 +10,7 @@ from wayfold.functions import sky
 from wayfold.operators import catalogue as cat
 from wayfold.operators import gates, graph, lines, poi
 from wayfold.plans.geometry import SEGMENTS
-from wayfold.plans.tables import derived, epoch_ms, hav, rounded, table, with_tables
+from wayfold.plans.tables import COSTS, derived, epoch_ms, hav, rounded, table, with_tables
 
 
 def admitted(spark, d):
@@ -156,13 +156,13 @@ def sunrises(spark, d):
 
 
 def road_paths(spark, d):
-    """Costs from a road's first node over edges weighted by class, on the graph of neighbouring parts."""
-    l = table(spark, d, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_partkey", "l_linenumber")
+    """Costs from every fiftieth node, the stated query set, over edges weighted by class, on the graph of neighbouring parts."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     e = l.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"), "l_orderkey").where("b IS NOT NULL AND a <> b")
     cls = F.element_at(F.array(*map(F.lit, ("expressway", "national", "provincial", "county", "village"))), (F.col("l_orderkey") % 5 + 1).cast("int"))
     e = e.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), graph.class_weight(F.lit(10.0), cls).alias("w")).groupBy("lo", "hi").agg(F.min("w").alias("w"))
-    return rounded(graph.shortest_paths(e, e.select(F.col("lo").alias("node")), 45.0), 6)
+    return rounded(graph.shortest_paths(e, graph.nodes(e).where("node % 50 = 0")), 6)
 
 
 def od_slices(spark, d):
@@ -243,9 +243,8 @@ SELECT o_custkey, count(*) AS n FROM o x WHERE p = '1-URGENT' AND EXISTS (SELECT
     "meteors": f"""WITH w AS (SELECT DISTINCT epoch_ms(ts) // 604800000 AS week FROM events), s(shower, m, dd, zhr) AS (VALUES {", ".join(str(x) for x in sky.SHOWERS)}), p AS (SELECT shower, zhr, y, epoch_ms(make_timestamp(y, m, dd, 4, 0, 0.0)) AS peak FROM s, range(1994, 2030) r(y)),
 j AS (SELECT *, fmod(fmod((peak - 947182440000.0) / 86400000.0, 29.530588853) + 29.530588853, 29.530588853) AS age FROM w JOIN p ON peak + 172800000 >= week * 604800000 AND peak - 172800000 <= (week + 1) * 604800000)
 SELECT week, shower, y, CAST(floor(least(100.0, zhr / 150 * 100) * (1 - (1 - cos(2 * pi() * age / 29.530588853)) / 2 * 0.75) + 0.5) AS INTEGER) AS score FROM j""",
-    "road_paths": """WITH RECURSIVE e0 AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_orderkey FROM lineitem WHERE l_quantity >= 48),
-e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, min(10.0::DOUBLE * [1.0, 1.15, 1.35, 1.6, 1.9][l_orderkey % 5 + 1]::DOUBLE) AS w FROM e0 WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2), b AS (SELECT lo AS a, hi AS c, w FROM e UNION ALL SELECT hi, lo, w FROM e),
-r(origin, node, cost) AS (SELECT DISTINCT lo, lo, 0.0::DOUBLE FROM e UNION SELECT r.origin, b.c, r.cost + b.w FROM r JOIN b ON b.a = r.node WHERE r.cost + b.w <= 45) SELECT origin, node, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2""",
+    "road_paths": """WITH RECURSIVE e0 AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_orderkey FROM lineitem),
+e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, min(10.0::DOUBLE * [1.0, 1.15, 1.35, 1.6, 1.9][l_orderkey % 5 + 1]::DOUBLE) AS w FROM e0 WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2), """ + COSTS + " SELECT origin, node, round(cost, 6) AS cost FROM r",
     "od_slices": with_tables(["lines"], f"""{_LSEGS}, z AS (SELECT line_id, max(cum_b) AS total FROM segs GROUP BY 1), k AS (SELECT line_id, unnest([total / 3, total * 2 / 3]) AS km FROM z),
 j AS (SELECT k.line_id, km, s.*, CASE WHEN cum_b > cum_a THEN (km - cum_a) / (cum_b - cum_a) ELSE 0 END AS t FROM k JOIN segs s ON k.line_id = s.line_id AND km >= cum_a AND (km < cum_b OR (last AND km <= cum_b)))
 SELECT line_id, round(km, 4) AS km, round(a_lng + (b_lng - a_lng) * t, 4) AS lng, round(a_lat + (b_lat - a_lat) * t, 4) AS lat FROM j UNION ALL SELECT c.line_id, round(cum_km, 4), round(lng, 4), round(lat, 4) FROM cum c JOIN z ON z.line_id = c.line_id AND cum_km > total / 3 AND cum_km < total * 2 / 3"""),

@@ -64,6 +64,11 @@ def with_tables(names: list[str], sql: str) -> str:
     return f"WITH {ctes}{', ' if not sql.lstrip().startswith('SELECT') else ' '}{sql}"
 
 
+#: SQL for the least cost from every fiftieth node over edges e (lo, hi, w): r (origin, node, cost), one row per pair, replaced as it gets cheaper.
+COSTS = """b AS (SELECT lo AS a, hi AS c, w FROM e UNION ALL SELECT hi, lo, w FROM e), r(origin, node, cost) USING KEY (origin, node) AS (SELECT DISTINCT a, a, 0.0::DOUBLE FROM b WHERE a % 50 = 0
+UNION SELECT r.origin, b.c, min(r.cost + b.w) FROM r JOIN b ON b.a = r.node LEFT JOIN recurring.r k ON k.origin = r.origin AND k.node = b.c WHERE k.cost IS NULL OR r.cost + b.w < k.cost GROUP BY 1, 2)"""
+
+
 def hav(lng1: str, lat1: str, lng2: str, lat2: str) -> str:
     """SQL for the great-circle distance in km."""
     return (
