@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -112,6 +113,47 @@ def test_graph(spark):
     assert graph.components(e.limit(0)).count() == 0
 
 
+def test_routes(spark):
+    """The least node of equally cheap ways back; repeated, unlinked and null pairs, pairs of one node, edges with nulls."""
+    e = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (2, 4, 1.0), (3, 4, 1.0), (4, 5, 0.5), (1, 5, 9.0), (7, 8, 1.0), (1, 5, None), (None, 5, 0.1)], "lo long, hi long, w double")
+    pairs = spark.createDataFrame([(1, 5), (1, 5), (5, 1), (1, 8), (7, 7), (None, 5), (1, None)], "origin long, dest long")
+    got = {}
+    for r in graph.routes(e, pairs).orderBy("origin", "dest", "back").collect():
+        got.setdefault((r["origin"], r["dest"]), []).append((r["node"], r["cost"]))
+    assert got == {(1, 5): [(5, 2.5), (4, 2.0), (2, 1.0), (1, 0.0)], (5, 1): [(1, 2.5), (2, 1.5), (4, 0.5), (5, 0.0)], (7, 7): [(7, 0.0)]}
+    assert graph.routes(e, pairs.limit(0)).count() == 0 == graph.routes(e.limit(0), pairs.where("dest = 5")).count()
+
+
+def test_routes_against_search(spark):
+    """Costs and ways on a random graph, against plain-Python relaxation."""
+    rng = random.Random(5)
+    edges = [(a, b, float(rng.randint(1, 6))) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(110)) if a != b]
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    want = {}
+    for origin in (3, 17, 40):
+        cost, todo = {origin: 0.0}, [origin]
+        while todo:
+            a = todo.pop()
+            for b, w in near.get(a, []):
+                if cost[a] + w < cost.get(b, math.inf):
+                    cost[b] = cost[a] + w
+                    todo.append(b)
+        for dest in range(60):
+            way = [dest] if dest in cost else []
+            while way and way[-1] != origin:
+                way.append(min(b for b, w in near[way[-1]] if b in cost and cost[b] + w == cost[way[-1]]))
+            if way:
+                want[origin, dest] = [(n, cost[n]) for n in way]
+    pairs = spark.createDataFrame([(o, x) for o in (3, 17, 40) for x in range(60)], "origin long, dest long")
+    got = {}
+    for r in graph.routes(spark.createDataFrame(edges, "lo long, hi long, w double"), pairs).orderBy("origin", "dest", "back").collect():
+        got.setdefault((r["origin"], r["dest"]), []).append((r["node"], r["cost"]))
+    assert got == want
+
+
 def test_polygon(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))])
     assert one(spark, spatial.inside_polygon(F.lit(1.0), F.lit(1.0), ring)) and not one(spark, spatial.inside_polygon(F.lit(3.0), F.lit(1.0), ring))

@@ -171,6 +171,13 @@ def graph_paths(spark, d):
     return graph.shortest_paths(e, graph.nodes(e).where("node % 50 = 0"))
 
 
+def multi_stop_route(spark, d):
+    """The nodes between stops that follow each other, at every fiftieth node, from the last one back."""
+    e = _edges(spark, d)
+    stops = graph.nodes(e).where("node % 50 = 0")
+    return graph.routes(e, stops.select(F.col("node").alias("origin"), (F.col("node") + 50).alias("dest")))
+
+
 def simplified(spark, d):
     return trips.simplify(derived(spark, d, "points"), 50_000.0).select("line_id", "seq")
 
@@ -233,7 +240,7 @@ e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, min((abs(a - b) % 17 + 1):
 
 QUERIES = {
     f.__name__: f for f in (sections, section_curve, delays, arrivals, isotonic, time_filled, day_rollover, phases, progress_breaks, nearest_hour, minute_counts, radar, sky_scores, sun_and_moon, night_light, flights,
-                            graph_edges, graph_components, graph_paths, simplified, crowd_thinned, position_fusion, track_points)
+                            graph_edges, graph_components, graph_paths, multi_stop_route, simplified, crowd_thinned, position_fusion, track_points)
 }
 
 ORACLES = {
@@ -285,5 +292,7 @@ SELECT line_id, CAST(seg AS INTEGER) AS seg, CAST(CASE WHEN km < 800 THEN 8600 W
     "graph_edges": f"WITH {_EDGE_SQL} SELECT * FROM e",
     "graph_components": f"""WITH RECURSIVE {_EDGE_SQL}, b AS (SELECT lo AS a, hi AS c FROM e UNION SELECT hi, lo FROM e), r(node, seen) AS (SELECT a, a FROM b UNION SELECT b.c, r.seen FROM r JOIN b ON b.a = r.node WHERE r.seen < b.c),
 l AS (SELECT node, min(seen) AS label FROM r GROUP BY 1) SELECT label, count(*) AS size FROM l GROUP BY 1""",
+    "multi_stop_route": f"""WITH RECURSIVE {_EDGE_SQL}, {COSTS}, k AS (SELECT origin, node, cost FROM r), z(origin, dest, back, node, cost) AS (SELECT origin, node, 0, node, cost FROM k WHERE node = origin + 50
+UNION ALL SELECT z.origin, z.dest, z.back + 1, min(q.node), arg_min(q.cost, q.node) FROM z JOIN b ON b.c = z.node JOIN k q ON q.origin = z.origin AND q.node = b.a AND q.cost + b.w = z.cost WHERE z.node <> z.origin GROUP BY 1, 2, 3) SELECT * FROM z""",
     "graph_paths": f"WITH RECURSIVE {_EDGE_SQL}, {COSTS} SELECT origin, node, cost FROM r",
 }
