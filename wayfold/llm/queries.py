@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import fingerprint, html_text, media, mixing, near_dup, packing, secrets, sharding, toxicity, url_filter
+from wayfold.llm import fingerprint, hard_negatives, html_text, media, mixing, near_dup, packing, piece_bpe, ranked_search, secrets, sharding, toxicity, url_filter
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,10 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.op11_ranked_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": _over("pages", html_text.op1_html_text),
     "op2_secret_scan": _over("documents", secrets.op2_secret_scan),
@@ -28,9 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": _toxicity,
     "op9_sharding": _over("documents", sharding.op9_sharding),
     "op10_mixing": _over("documents", mixing.op10_mixing),
+    "op11_ranked_search": _ranked_search,
+    "op12_piece_tokens": _over("documents", piece_bpe.op12_piece_tokens),
+    "op13_hard_negatives": _over("embeddings", hard_negatives.op13_hard_negatives),
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_ranked_search": ranked_search.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
