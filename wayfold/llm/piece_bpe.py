@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,10 @@ class PieceModel:
             self.surface[i] = bytes([int(library.id_to_piece(i)[3:5], 16)]) if library.is_byte(i) else b"" if library.is_control(i) else library.decode([i]).encode()
         self.silent = np.array([library.is_control(i) for i in range(self.size)])
         self.fronted = {i for p, i in pieces.items() if p.startswith(SPACE)}
-        self.kept: dict[str, np.ndarray] = {}
+        self.kept: dict[str, list[int]] = {}
+        self.said: dict[str, str] = {}
+        self.shown: dict[str, str] = {}
+        self.numerals = [str(i) for i in range(self.size)]
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Return rank and merged id of pairs of symbols; rank NONE where they make no piece."""
@@ -139,7 +143,7 @@ class PieceModel:
             rank[at] = NONE
             before = at[at > 0] - 1
             rank[before[words[before] == words[before + 1]]] = NONE
-            refresh(np.unique(np.r_[at, before]))
+            refresh(np.r_[at, before])
         if not done_words:
             return symbols, words
         symbols, words = np.concatenate(done_symbols), np.concatenate(done_words)
@@ -191,7 +195,7 @@ class PieceModel:
         bounds = [0, *ends.tolist(), len(word)]
         return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _merge_words(self, words: list[str]) -> list[np.ndarray]:
+    def _merge_words(self, words: list[str]) -> list[list[int]]:
         points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
         numbers = np.repeat(np.arange(len(words)), [len(w) for w in words])
         symbols, numbers = self.rounds(self.char[points], numbers)
@@ -204,7 +208,8 @@ class PieceModel:
             filled = self.bytes[np.frombuffer("".join(map(chr, points[unknown].tolist())).encode(), dtype=np.uint8)]
             symbols, numbers = np.repeat(symbols, times), np.repeat(numbers, times)
             symbols[np.repeat(unknown, times)] = filled
-        return np.split(symbols, np.searchsorted(numbers, np.arange(1, len(words))))
+        flat, bounds = symbols.tolist(), np.searchsorted(numbers, np.arange(len(words) + 1)).tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def _merge_runs(self, symbols: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put the pieces of runs in the place of runs of single spaces."""
@@ -220,12 +225,10 @@ class PieceModel:
             keep[start + len(ids) : start + length] = False
         return symbols[keep], numbers[keep]
 
-    def _ids_of(self, words: set[str]) -> dict[str, np.ndarray]:
-        """Return the ids of words, merging those that are not kept from before."""
-        out = {w: self.kept[w] for w in words if w in self.kept}
-        new = [w for w in words if w not in out]
-        parts = {w: self._cut(w) for w in new if len(w) > LONG_WORD}
-        fresh = dict.fromkeys(p for w in new for p in parts.get(w, [w]))
+    def _learn(self, words: set[str]) -> None:
+        """Merge words that are not known yet."""
+        parts = {w: self._cut(w) for w in words if len(w) > LONG_WORD}
+        fresh = dict.fromkeys(p for w in words for p in parts.get(w, [w]))
         todo, size, block = list(fresh), 0, []
         for n, w in enumerate(todo):
             block.append(w)
@@ -233,18 +236,47 @@ class PieceModel:
             if size > FLAT_SYMBOLS or n == len(todo) - 1:
                 fresh.update(zip(block, self._merge_words(block), strict=True))
                 size, block = 0, []
-        out |= {w: np.concatenate([fresh[p] for p in parts[w]]) if w in parts else fresh[w] for w in new}
-        if len(self.kept) + len(fresh) > KEPT_WORDS:
-            self.kept.clear()
-        self.kept |= {w: out[w] for w in new[:KEPT_WORDS] if w not in parts}
-        return out
+        for w in words:
+            self.kept[w] = list(chain.from_iterable(map(fresh.__getitem__, parts[w]))) if w in parts else fresh[w]
+
+    def split(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
+        """Cut texts into words that no piece goes beyond, and learn their ids. Return the words by text and each once; those of earlier calls are forgotten when they get too many."""
+        if len(self.kept) > KEPT_WORDS:
+            for known in (self.kept, self.said, self.shown):
+                known.clear()
+        words = [self.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        each = set(chain.from_iterable(words))
+        self._learn(each.difference(self.kept))
+        return words, each
+
+    def forget_long(self, words: set[str]) -> None:
+        """Forget words of unusual length, so that what is kept is bounded in size too."""
+        for w in [w for w in words if len(w) > LONG_WORD]:
+            for known in (self.kept, self.said, self.shown):
+                known.pop(w, None)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Return the ids of each text, the end id last."""
-        split = [self.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        ids = self._ids_of({w for words in split for w in words})
-        end = np.array([self.end], dtype=np.int64)
-        return [np.concatenate([*(ids[w] for w in words), end]) for words in split]
+        words, each = self.split(texts)
+        out = [np.array([*chain.from_iterable(map(self.kept.__getitem__, part)), self.end], dtype=np.int64) for part in words]
+        self.forget_long(each)
+        return out
+
+    def encode_and_decode(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Return the number of each text's ids, the ids as decimals joined by spaces, and the text that they decode to.
+
+        Bytes of a character never go beyond a word, so words are decoded one by one, each once.
+        """
+        (words, each), out = self.split(texts), []
+        for w in each.difference(self.said):
+            ids = self.kept[w]
+            self.said[w] = " ".join(map(self.numerals.__getitem__, ids))
+            self.shown[w] = b"".join(map(self.surface.__getitem__, ids)).decode(errors="each_byte")
+        for part in words:
+            ids = " ".join([*map(self.said.__getitem__, part), self.numerals[self.end]])
+            out.append((ids.count(" ") + 1, ids, "".join(map(self.shown.__getitem__, part))[1:]))
+        self.forget_long(each)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Return the text of ids: control ids are silent, bytes that are no character become U+FFFD each, the space in front goes."""
@@ -307,10 +339,10 @@ def op12_piece_tokens(documents: DataFrame, model: str | None = None) -> DataFra
         for batch in batches:
             own = piece_model(path)
             counts, ids_sha, text_sha = [], [], []
-            for ids in own.encode([t or "" for t in batch.column(1).to_pylist()]):
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+            for n, ids, text in own.encode_and_decode([t or "" for t in batch.column(1).to_pylist()]):
+                counts.append(n)
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                text_sha.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select(F.col("doc_id"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
