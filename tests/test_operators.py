@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, motion, names
-from wayfold.operators import catalogue, graph, lines, network, spatial, trips
+from wayfold.operators import catalogue, graph, lines, network, routing, spatial, trips
 from wayfold.sources import readers
 from wayfold.streaming import live
 
@@ -118,10 +118,10 @@ def test_routes(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (2, 4, 1.0), (3, 4, 1.0), (4, 5, 0.5), (1, 5, 9.0), (7, 8, 1.0), (1, 5, None), (None, 5, 0.1)], "lo long, hi long, w double")
     pairs = spark.createDataFrame([(1, 5), (1, 5), (5, 1), (1, 8), (7, 7), (None, 5), (1, None)], "origin long, dest long")
     got = {}
-    for r in graph.routes(e, pairs).orderBy("origin", "dest", "back").collect():
+    for r in routing.cheapest_routes(e, pairs).orderBy("origin", "dest", "back").collect():
         got.setdefault((r["origin"], r["dest"]), []).append((r["node"], r["cost"]))
     assert got == {(1, 5): [(5, 2.5), (4, 2.0), (2, 1.0), (1, 0.0)], (5, 1): [(1, 2.5), (2, 1.5), (4, 0.5), (5, 0.0)], (7, 7): [(7, 0.0)]}
-    assert graph.routes(e, pairs.limit(0)).count() == 0 == graph.routes(e.limit(0), pairs.where("dest = 5")).count()
+    assert routing.cheapest_routes(e, pairs.limit(0)).count() == 0 == routing.cheapest_routes(e.limit(0), pairs.where("dest = 5")).count()
 
 
 def test_routes_against_search(spark):
@@ -149,7 +149,7 @@ def test_routes_against_search(spark):
                 want[origin, dest] = [(n, cost[n]) for n in way]
     pairs = spark.createDataFrame([(o, x) for o in (3, 17, 40) for x in range(60)], "origin long, dest long")
     got = {}
-    for r in graph.routes(spark.createDataFrame(edges, "lo long, hi long, w double"), pairs).orderBy("origin", "dest", "back").collect():
+    for r in routing.cheapest_routes(spark.createDataFrame(edges, "lo long, hi long, w double"), pairs).orderBy("origin", "dest", "back").collect():
         got.setdefault((r["origin"], r["dest"]), []).append((r["node"], r["cost"]))
     assert got == want
 

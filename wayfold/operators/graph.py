@@ -82,12 +82,13 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, most: float | None = No
     """Return the least cost from each origin to each node it reaches: origin, node, cost. edges: lo, hi, w (not negative); those with a null are passed over.
 
     All origins go on together; a round relaxes the edges of the nodes that got cheaper in the last
-    one, so it is exact and ends after as many rounds as the longest cheapest path has edges.
+    one, so it is exact and ends after as many rounds as the longest cheapest path has edges, however
+    many. For single destinations routing.routes does less work.
     """
     both = stored(_arcs(edges), "arcs")
     best = stored(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost")).distinct(), "best")
     front = best
-    for _ in range(MOST_ROUNDS):
+    while True:
         step = front.join(both, "node").select("origin", F.col("to").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
         if most is not None:
             step = step.where(F.col("cost") <= most)
@@ -98,33 +99,6 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, most: float | None = No
         best, front = merged.select("origin", "node", "cost"), merged.where("better").select("origin", "node", "cost")
         if front.isEmpty():
             return best
-    raise RuntimeError("paths did not settle")
-
-
-def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Return the nodes of a cheapest path of each pair, a row per node: origin, dest, back, node, cost.
-
-    edges: lo, hi, w (above zero); pairs: origin, dest. `back` counts from the destination, 0 there;
-    cost is that from the origin. Of equally cheap ways back the least node is taken, so reruns agree.
-    A pair of one node is one row; pairs that are not linked, or hold a null, have none; repeated
-    pairs count once. A round goes one node back for all pairs at once and is stored, so no path is
-    one task's and a lost executor costs a round.
-    """
-    arcs = stored(_arcs(edges.where("w > 0")), "arcs")
-    pairs = stored(pairs.select("origin", "dest").dropna().distinct(), "pairs")
-    best = shortest_paths(edges.where("w > 0"), pairs.select(F.col("origin").alias("node")))
-    front = best.withColumnRenamed("node", "dest").join(pairs, ["origin", "dest"]).select("origin", "dest", F.lit(0).alias("back"), F.col("dest").alias("node"), "cost")
-    front = found = stored(front, "route")
-    for back in range(1, MOST_ROUNDS):
-        rest = front.where("node <> origin")
-        if rest.isEmpty():
-            return found
-        step = rest.join(arcs, "node").select("origin", "dest", F.col("to").alias("node"), "w", F.col("cost").alias("_of"))
-        step = step.join(best, ["origin", "node"]).where(F.col("cost") + F.col("w") == F.col("_of"))
-        step = step.groupBy("origin", "dest").agg(F.min(F.struct("node", "cost")).alias("_p"))
-        front = stored(step.select("origin", "dest", F.lit(back).alias("back"), "_p.node", "_p.cost"), "route")
-        found = found.union(front)
-    raise RuntimeError("routes did not come back to their origins")
 
 
 def class_weight(km, road_class):

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wayfold.functions import motion, names, sky
 from wayfold.functions.geo import haversine_km
-from wayfold.operators import graph, lines, trips
+from wayfold.operators import graph, lines, routing, trips
 from wayfold.plans.tables import COSTS, derived, epoch_ms, floored, hav, rounded, table, with_tables
 from wayfold.streaming import live
 
@@ -175,7 +175,8 @@ def multi_stop_route(spark, d):
     """The nodes between stops that follow each other, at every fiftieth node, from the last one back."""
     e = _edges(spark, d)
     stops = graph.nodes(e).where("node % 50 = 0")
-    return graph.routes(e, stops.select(F.col("node").alias("origin"), (F.col("node") + 50).alias("dest")))
+    out = routing.cheapest_routes(e, stops.select(F.col("node").alias("origin"), (F.col("node") + 50).alias("dest")))
+    return out.withColumn("back", F.col("back").cast("int"))
 
 
 def simplified(spark, d):

@@ -47,8 +47,23 @@ SELECT CAST(floor((c_custkey - 1) / 6) AS BIGINT) AS line_id, c_custkey AS seq,
        30.0 + CAST((c_custkey * 104729) % 30000 AS DOUBLE) / 100000.0 AS lat
 FROM customer
 """
-SQL_NAMES = {"spots": SPOTS, "points": POINTS, "lines": LINES, "places": PLACES, "routes": ROUTES, "tracks": TRACKS}
-SOURCES = {"spots": "customer", "points": "supplier", "lines": "supplier", "places": "nation", "routes": "part", "tracks": "customer"}
+#: Ways of three points on small lattices, one lattice a road of forty ways; each ninth way stops short of its last crossing.
+WAYS = """
+SELECT ref, way, i AS seq, CASE WHEN j = 1 THEN -10 - 2 * way WHEN j = 2 AND off THEN -11 - 2 * way ELSE ref * 100 + (x + CAST(j / 2 AS BIGINT) * (1 - d)) * 10 + y + CAST(j / 2 AS BIGINT) * d END AS node,
+       80.0 + CAST((ref * 37) % 3000 AS DOUBLE) / 100.0 + 0.01 * x + 0.005 * j * (1 - d) + CASE WHEN j = 1 THEN 0.0002 * ((way * 13) % 7 - 3) * d WHEN j = 2 AND off THEN -0.002 ELSE 0.0 END AS lng,
+       20.0 + CAST((ref * 91) % 2500 AS DOUBLE) / 100.0 + 0.01 * y + 0.005 * j * d + CASE WHEN j = 1 THEN 0.0002 * ((way * 11) % 7 - 3) * (1 - d) WHEN j = 2 AND off THEN 0.001 ELSE 0.0 END AS lat
+FROM (SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS ref, o_orderkey AS way, i, CASE WHEN o_custkey % 3 = 0 THEN 2 - i ELSE i END AS j, CAST(o_custkey % 5 AS BIGINT) AS x, CAST(floor(o_custkey / 5) AS BIGINT) % 5 AS y, o_orderkey % 2 AS d, o_orderkey % 9 = 4 AS off
+      FROM orders CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) AS v) AS o
+"""
+#: Four stops a trip near crossings of the road with the trip's number; each eleventh lies far off.
+STOPS = """
+SELECT CAST(floor(c_custkey / 4) AS BIGINT) AS trip, c_custkey AS seq, c_name AS name,
+       80.0 + CAST((CAST(floor(c_custkey / 4) AS BIGINT) * 37) % 3000 AS DOUBLE) / 100.0 + 0.01 * ((c_custkey * 7) % 5) + CASE WHEN c_custkey % 11 = 0 THEN 0.213 ELSE 0.0003 * (c_custkey % 5) END AS lng,
+       20.0 + CAST((CAST(floor(c_custkey / 4) AS BIGINT) * 91) % 2500 AS DOUBLE) / 100.0 + 0.01 * ((c_custkey * 3) % 5) + 0.0002 AS lat
+FROM customer
+"""
+SQL_NAMES = {"spots": SPOTS, "points": POINTS, "lines": LINES, "places": PLACES, "routes": ROUTES, "tracks": TRACKS, "ways": WAYS, "stops": STOPS}
+SOURCES = {"spots": "customer", "points": "supplier", "lines": "supplier", "places": "nation", "routes": "part", "tracks": "customer", "ways": "orders", "stops": "customer"}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +76,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_tables(names: list[str], sql: str) -> str:
     """Put the derived tables in front of a SQL query as common table expressions."""
     ctes = ",\n".join(f"{n} AS ({SQL_NAMES[n]})" for n in names)
+    if sql.lstrip().startswith("RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql.lstrip().removeprefix('RECURSIVE ')}"
     return f"WITH {ctes}{', ' if not sql.lstrip().startswith('SELECT') else ' '}{sql}"
 
 
