@@ -12,7 +12,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -45,6 +45,27 @@ def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("each_byte", _each_byte)
 
 
+class Recent:
+    """What is known of words lately met: two generations of bounded size, the older one forgotten but for what is met again."""
+
+    def __init__(self):
+        self.now, self.before = {}, {}
+
+    def known(self, words: set[str], learn: Callable[[list[str]], Iterator[tuple]]) -> dict:
+        """Return a dictionary that holds the words, learning new ones; words of unusual length are not kept."""
+        if len(self.now) > KEPT_WORDS // 2:
+            self.now, self.before = {}, self.now
+        new, long = [], {}
+        for w in words.difference(self.now):
+            if w in self.before:
+                self.now[w] = self.before[w]
+            else:
+                new.append(w)
+        for w, value in learn(new):
+            (self.now if len(w) <= LONG_WORD else long)[w] = value
+        return self.now | long if long else self.now
+
+
 class PieceModel:
     """Pieces and merge ranks of a BPE model with byte fallback, identity normalisation and a space put in front.
 
@@ -92,9 +113,7 @@ class PieceModel:
             self.surface[i] = bytes([int(library.id_to_piece(i)[3:5], 16)]) if library.is_byte(i) else b"" if library.is_control(i) else library.decode([i]).encode()
         self.silent = np.array([library.is_control(i) for i in range(self.size)])
         self.fronted = {i for p, i in pieces.items() if p.startswith(SPACE)}
-        self.kept: dict[str, list[int]] = {}
-        self.said: dict[str, str] = {}
-        self.shown: dict[str, str] = {}
+        self.kept, self.texts = Recent(), Recent()
         self.numerals = [str(i) for i in range(self.size)]
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,8 +244,8 @@ class PieceModel:
             keep[start + len(ids) : start + length] = False
         return symbols[keep], numbers[keep]
 
-    def _learn(self, words: set[str]) -> None:
-        """Merge words that are not known yet."""
+    def _ids(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Merge words; long ones part by part."""
         parts = {w: self._cut(w) for w in words if len(w) > LONG_WORD}
         fresh = dict.fromkeys(p for w in words for p in parts.get(w, [w]))
         todo, size, block = list(fresh), 0, []
@@ -237,45 +256,33 @@ class PieceModel:
                 fresh.update(zip(block, self._merge_words(block), strict=True))
                 size, block = 0, []
         for w in words:
-            self.kept[w] = list(chain.from_iterable(map(fresh.__getitem__, parts[w]))) if w in parts else fresh[w]
-
-    def split(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
-        """Cut texts into words that no piece goes beyond, and learn their ids. Return the words by text and each once; those of earlier calls are forgotten when they get too many."""
-        if len(self.kept) > KEPT_WORDS:
-            for known in (self.kept, self.said, self.shown):
-                known.clear()
-        words = [self.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        each = set(chain.from_iterable(words))
-        self._learn(each.difference(self.kept))
-        return words, each
-
-    def forget_long(self, words: set[str]) -> None:
-        """Forget words of unusual length, so that what is kept is bounded in size too."""
-        for w in [w for w in words if len(w) > LONG_WORD]:
-            for known in (self.kept, self.said, self.shown):
-                known.pop(w, None)
+            yield w, list(chain.from_iterable(map(fresh.__getitem__, parts[w]))) if w in parts else fresh[w]
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """Cut texts into words that no piece goes beyond."""
+        return [self.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Return the ids of each text, the end id last."""
-        words, each = self.split(texts)
-        out = [np.array([*chain.from_iterable(map(self.kept.__getitem__, part)), self.end], dtype=np.int64) for part in words]
-        self.forget_long(each)
-        return out
+        words = self.split(texts)
+        ids = self.kept.known(set(chain.from_iterable(words)), self._ids)
+        return [np.array([*chain.from_iterable(map(ids.__getitem__, part)), self.end], dtype=np.int64) for part in words]
+
+    def _said_and_shown(self, words: list[str]) -> Iterator[tuple[str, tuple[str, str]]]:
+        for w, ids in self._ids(words):
+            yield w, (" ".join(map(self.numerals.__getitem__, ids)), b"".join(map(self.surface.__getitem__, ids)).decode(errors="each_byte"))
 
     def encode_and_decode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Return the number of each text's ids, the ids as decimals joined by spaces, and the text that they decode to.
 
         Bytes of a character never go beyond a word, so words are decoded one by one, each once.
         """
-        (words, each), out = self.split(texts), []
-        for w in each.difference(self.said):
-            ids = self.kept[w]
-            self.said[w] = " ".join(map(self.numerals.__getitem__, ids))
-            self.shown[w] = b"".join(map(self.surface.__getitem__, ids)).decode(errors="each_byte")
+        words, out = self.split(texts), []
+        known = self.texts.known(set(chain.from_iterable(words)), self._said_and_shown)
         for part in words:
-            ids = " ".join([*map(self.said.__getitem__, part), self.numerals[self.end]])
-            out.append((ids.count(" ") + 1, ids, "".join(map(self.shown.__getitem__, part))[1:]))
-        self.forget_long(each)
+            said, shown = zip(*map(known.__getitem__, part), strict=True) if part else ((), ())
+            ids = " ".join((*said, self.numerals[self.end]))
+            out.append((ids.count(" ") + 1, ids, "".join(shown)[1:]))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
