@@ -62,8 +62,22 @@ SELECT CAST(floor(c_custkey / 4) AS BIGINT) AS trip, c_custkey AS seq, c_name AS
        20.0 + CAST((CAST(floor(c_custkey / 4) AS BIGINT) * 91) % 2500 AS DOUBLE) / 100.0 + 0.01 * ((c_custkey * 3) % 5) + 0.0002 AS lat
 FROM customer
 """
-SQL_NAMES = {"spots": SPOTS, "points": POINTS, "lines": LINES, "places": PLACES, "routes": ROUTES, "tracks": TRACKS, "ways": WAYS, "stops": STOPS}
-SOURCES = {"spots": "customer", "points": "supplier", "lines": "supplier", "places": "nation", "routes": "part", "tracks": "customer", "ways": "orders", "stops": "customer"}
+#: Short corridors, six to a square degree, their stations by name, and trips that call near each of the six.
+RAILS = """
+SELECT c AS corridor, j AS seq, CAST(75 + g % 40 AS DOUBLE) + 0.1 * k + j * (0.03 + 0.005 * ((c * 7) % 4)) AS lng, CAST(5 + floor(g / 40) AS DOUBLE) + 0.1 * ((k * 5) % 3) + j * (0.0075 * ((c * 3) % 5) - 0.015) AS lat
+FROM (SELECT c_custkey AS c, c_custkey % 6 AS k, CAST(floor(c_custkey / 6) AS BIGINT) AS g, j FROM customer CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS v) AS r
+"""
+STATIONS = """
+SELECT c AS corridor, pos, concat(CASE WHEN pos = 2 THEN 'M' ELSE 'H' END, CAST(g AS VARCHAR(9)), '-', CAST(CASE pos WHEN 0 THEN k WHEN 2 THEN (c * 7) % 5 ELSE k + 1 + c % 3 END AS VARCHAR(9))) AS name
+FROM (SELECT c_custkey AS c, c_custkey % 6 AS k, CAST(floor(c_custkey / 6) AS BIGINT) AS g, pos FROM customer CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 2 UNION ALL SELECT 4) AS v) AS r
+"""
+CALLS = """
+SELECT g AS trip, CAST(k AS INT) AS idx, CASE WHEN c % 2 = 0 THEN concat('H', CAST(g AS VARCHAR(9)), '-', CAST(k AS VARCHAR(9))) ELSE concat('S', CAST(c AS VARCHAR(9))) END AS name,
+       CAST(75 + g % 40 AS DOUBLE) + 0.1 * k + 0.03 + 0.005 * ((c * 7) % 4) + 0.002 AS lng, CAST(5 + floor(g / 40) AS DOUBLE) + 0.1 * ((k * 5) % 3) + 0.0075 * ((c * 3) % 5) - 0.015 + 0.003 AS lat
+FROM (SELECT c_custkey AS c, c_custkey % 6 AS k, CAST(floor(c_custkey / 6) AS BIGINT) AS g FROM customer) AS r
+"""
+SQL_NAMES = {"spots": SPOTS, "points": POINTS, "lines": LINES, "places": PLACES, "routes": ROUTES, "tracks": TRACKS, "ways": WAYS, "stops": STOPS, "rails": RAILS, "stations": STATIONS, "calls": CALLS}
+SOURCES = {"spots": "customer", "points": "supplier", "lines": "supplier", "places": "nation", "routes": "part", "tracks": "customer", "ways": "orders", "stops": "customer", "rails": "customer", "stations": "customer", "calls": "customer"}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
