@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.plans import catalogue, corridors, geometry, journeys, links, network, places, roads, routes
+from wayfold.plans import catalogue, cleaning, corridors, geometry, journeys, links, network, places, roads, routes
 
-MODULES = (geometry, catalogue, journeys, places, links, network, roads, routes, corridors)
+MODULES = (geometry, catalogue, journeys, places, links, network, roads, routes, corridors, cleaning)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
