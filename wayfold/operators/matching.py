@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.functions.geo import haversine_km
 from wayfold.operators.graph import components
 from wayfold.sources.scratch import stored
 
@@ -96,3 +97,47 @@ def ordered_chains(items: DataFrame, links: DataFrame, weights: tuple[str, ...]
     of = [F.struct("p", "p_side", "side", "pos", *[f"before_{w}" for w in weights]).alias("o")]
     first = state.groupBy("item", "chain").agg(F.min(of[0]).alias("o"))
     return first.select("chain", "item", "o.pos", (F.col("o.side") == 1).alias("backward"), *[F.col(f"o.before_{w}") for w in weights])
+
+
+#: Kilometres of a degree, a little less and a little more than true, so that cells are safe.
+_LESS, _MORE = 110.5, 111.4
+
+
+def greedy_cover(items: DataFrame, km: float) -> DataFrame:
+    """Keep items in order of rank unless a kept one of their group lies within a distance: id, kept_by (null if kept, else the first kept one near).
+
+    items: id (long), grp, rank (any ordered type; equal ranks go by id), lng, lat. The same as going through the items one by one, in
+    rounds over cells so small that a cell keeps one item at most: only the first open item of each cell is tried, and
+    meets the cells around it. An item is met by some thirty cells, so a group of any size and density makes linear work.
+    """
+    tall = 0.7 * km / _MORE
+    row = F.floor((F.col("lat") + 90) / tall).cast("long")
+    edge = lambda y, far: (F.greatest if far else F.least)(F.abs(y * tall - 90), F.abs((y + 1) * tall - 90))
+    wide = lambda y: 0.7 * km / (_MORE * F.cos(F.radians(F.least(edge(y, False), F.lit(89.0)))))
+    column = lambda x, y: F.floor((x + 180) / wide(y)).cast("long")
+    pad = lambda y: km / (_LESS * F.cos(F.radians(F.least(edge(y, True), F.lit(89.0)))))
+    items = items.dropna(subset=["id", "lng", "lat"]).select("id", "grp", F.struct("rank", "id").alias("o"), "lng", "lat", row.alias("y"))
+    items = stored(items.withColumn("x", column(F.col("lng"), F.col("y"))), "items")
+
+    def around(df: DataFrame, names: str) -> DataFrame:
+        """Rows with the cells within reach: as y, x; what they had is named with the prefix."""
+        out = df.select("grp", *[F.col(c).alias(f"{names}{c}") for c in ("id", "o", "lng", "lat")], F.explode(F.sequence(F.col("y") - 2, F.col("y") + 2)).alias("y"))
+        return out.withColumn("x", F.explode(F.sequence(column(F.col(f"{names}lng") - pad(F.col("y")), F.col("y")), column(F.col(f"{names}lng") + pad(F.col("y")), F.col("y")))))
+
+    def near(df: DataFrame) -> DataFrame:
+        return df.where(haversine_km(F.col("lng"), F.col("lat"), F.col("t_lng"), F.col("t_lat")) <= km)
+
+    open_, kept = items, None
+    while not open_.isEmpty():
+        tops = open_.groupBy("grp", "y", "x").agg(F.min(F.struct("o", "id", "lng", "lat")).alias("t")).select("grp", "y", "x", "t.*")
+        reach = stored(around(tops, "t_"), "tops")
+        beaten = near(reach.join(open_, ["grp", "y", "x"])).where("o < t_o").select("t_id").distinct()
+        now = stored(tops.join(beaten, F.col("id") == F.col("t_id"), "left_anti"), "kept")
+        kept = now if kept is None else stored(kept.unionByName(now), "kept")
+        gone = near(around(now, "t_").join(open_, ["grp", "y", "x"])).select("id").distinct()
+        open_ = stored(open_.join(gone, "id", "left_anti"), "open")
+    if kept is None:
+        return items.select("id", F.lit(None).cast("long").alias("kept_by"))
+    hits = near(around(kept, "t_").join(items, ["grp", "y", "x"])).groupBy("id").agg(F.min(F.struct("t_o", "t_id")).alias("h"))
+    own = kept.select("id", F.lit(True).alias("is_kept"))
+    return hits.join(own, "id", "left").select("id", F.when(F.col("is_kept").isNull(), F.col("h.t_id")).alias("kept_by"))

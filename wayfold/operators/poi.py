@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from wayfold.functions import geo
 from wayfold.operators.graph import components
+from wayfold.operators.matching import greedy_cover, greedy_keep
+from wayfold.sources.scratch import stored
 
 #: Country tags that count as inside; name endings left out of a core name; boxes of islands and of a border band.
 INSIDE_TAGS = "(?i)^(CN|CHN|China|PRC|HK|MO|TW|中国|中华人民共和国|中国香港|香港|中国澳门|澳门|中国台湾|台湾)$"
-NAME_ENDINGS = "(国家考古遗址公园|考古遗址公园|国家地质公园|地质公园|森林公园|国家公园|风景名胜区|风景区|景区|博物院|博物馆|纪念馆|美术馆|展览馆|陈列馆|观光厅|观景台|瞭望台|主峰|峰)$"
+NAME_ENDINGS = "(国家考古遗址公园|考古遗址公园|国家地质公园|地质公园|森林公园|国家公园|风景名胜区|风景区|景区|博物院|博物馆|纪念馆|美术馆|展览馆|陈列馆|观光厅|观景台|觀景台|瞭望台|瞭望點|主峰|峰)$"
 ISLANDS = ((118.2, 24.16, 118.55, 24.55), (119.85, 25.9, 120.55, 26.45))
 BAND = ((80.0, 26.2, 88.35, 28.15), (88.35, 26.4, 92.2, 27.72))
 CJK = "[一-鿿]"
@@ -102,3 +104,51 @@ def coverage(cities: DataFrame, routes: DataFrame) -> DataFrame:
     p = F.col("status") == "published"
     per = routes.groupBy("city").agg(F.max(p & F.col("anchor")).alias("a"), F.max(p).alias("b"))
     return cities.join(per, "city", "left").select("city", F.when(F.col("a"), "covered").when(F.col("b"), "partial").otherwise("todo").alias("state"))
+
+
+#: Km within which an equal name is the same place; km of an equal core name, and of a core name inside another; size of the cells that are compared.
+SAME_NAME_KM, SAME_CORE_KM, INSIDE_KM, NEAR_DEG = 25.0, 1.5, 0.35, 0.02
+#: Names that are no places of interest, and places of amusement.
+NO_PLACE = r"^(景点|观景台|观景点|停车场|服务区|公厕|厕所|游客中心|售票处|大门|门楼|牌坊|广场|步行街|商业街)$|^\d+$|[A-Za-z]{6,}"
+AMUSEMENT = "奇航|漂流|过山车|矿山车|娱乐天地|摩天轮|旋转木马|碰碰车|游乐场|水上乐园|动物园|海洋馆|水族"
+
+
+def spot_rank(score: Column, source: Column, has_wiki: Column, name: Column) -> Column:
+    """Rank among near duplicates: the score, more for hand-picked ones, known ones and short names."""
+    short = F.greatest(F.lit(0), 12 - F.coalesce(F.char_length(name), F.lit(12))) * 0.15
+    return F.coalesce(score, F.lit(0.0)) + F.when(F.coalesce(source, F.lit("")).startswith("hand-curated"), 20.0).otherwise(0.0) + F.when(F.coalesce(has_wiki, F.lit(False)), 5.0).otherwise(0.0) + short
+
+
+def backfill(spots: DataFrame, kept_by: DataFrame, fields: list[str], rating: str | None = None) -> DataFrame:
+    """Return the kept spots, their empty fields filled from those that they stand for, the highest rank first.
+
+    spots: id, rank and the fields; kept_by: id, kept_by. Empty is null or a blank string; the rating is empty unless above 0.
+    """
+    j = spots.join(kept_by, "id").withColumn("_to", F.coalesce("kept_by", "id"))
+    order = F.struct(F.col("kept_by").isNotNull().alias("other"), (-F.col("rank")).alias("r"), "id")
+    held = lambda c: (F.col(c) > 0) if c == rating else (F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
+    # Where nothing is held, a field keeps the spot's own value, empty as it is.
+    best = [F.coalesce(F.min_by(F.when(held(c), F.col(c)), F.when(held(c), order)), F.first(F.when(F.col("kept_by").isNull(), F.col(c)), ignorenulls=True)).alias(c) for c in fields]
+    filled = j.groupBy("_to").agg(*best)
+    rest = [c for c in spots.columns if c not in fields]
+    return spots.join(kept_by.where("kept_by IS NULL").select("id"), "id", "left_semi").select(*rest).join(filled, F.col("id") == F.col("_to")).select(*spots.columns)
+
+
+def same_name(spots: DataFrame, km: float = SAME_NAME_KM) -> DataFrame:
+    """Settle places told more than once: id, kept_by, null or the kept spot of the same name within 25 km. Higher ranks first. spots: id, name, rank, lng, lat."""
+    return greedy_cover(spots.where("name IS NOT NULL").select("id", F.col("name").alias("grp"), (-F.col("rank")).alias("rank"), "lng", "lat"), km)
+
+
+def near_name(spots: DataFrame) -> DataFrame:
+    """Settle places with like names in neighbouring cells: id, kept_by, null or the first kept spot that it is; names that are no places are left out.
+
+    Like are equal core names within 1.5 km, and core names within each other within 0.35 km. Higher ranks first. spots: id, name, rank, lng, lat.
+    """
+    s = spots.dropna(subset=["id", "name", "lng", "lat"]).where(~F.col("name").rlike(NO_PLACE) & ~F.col("name").rlike(AMUSEMENT) & F.col("name").rlike(CJK))
+    s = stored(s.select("id", core_name(F.col("name")).alias("core"), "rank", "lng", "lat").withColumns({"cx": geo.cell(F.col("lng"), 0.0, NEAR_DEG), "cy": geo.cell(F.col("lat"), 0.0, NEAR_DEG)}), "named")
+    around = F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    own = s.select("id", "core", "lng", "lat", around.alias("_c")).select("id", "core", "lng", "lat", "_c.*")
+    other = s.select("cx", "cy", F.col("id").alias("b"), F.col("core").alias("b_core"), F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat"))
+    j = own.join(other, ["cx", "cy"]).where("id < b").withColumn("km", geo.haversine_km(F.col("lng"), F.col("lat"), F.col("o_lng"), F.col("o_lat")))
+    like = ((F.col("km") <= SAME_CORE_KM) & (F.col("core") != "") & (F.col("core") == F.col("b_core"))) | ((F.col("km") <= INSIDE_KM) & (F.col("core").contains(F.col("b_core")) | F.col("b_core").contains(F.col("core"))))
+    return greedy_keep(s.select("id", (-F.col("rank")).alias("rank")), j.where(like).select(F.col("id").alias("a"), "b"))

@@ -76,8 +76,16 @@ SELECT g AS trip, CAST(k AS INT) AS idx, CASE WHEN c % 2 = 0 THEN concat('H', CA
        CAST(75 + g % 40 AS DOUBLE) + 0.1 * k + 0.03 + 0.005 * ((c * 7) % 4) + 0.002 AS lng, CAST(5 + floor(g / 40) AS DOUBLE) + 0.1 * ((k * 5) % 3) + 0.0075 * ((c * 3) % 5) - 0.015 + 0.003 AS lat
 FROM (SELECT c_custkey AS c, c_custkey % 6 AS k, CAST(floor(c_custkey / 6) AS BIGINT) AS g FROM customer) AS r
 """
-SQL_NAMES = {"spots": SPOTS, "points": POINTS, "lines": LINES, "places": PLACES, "routes": ROUTES, "tracks": TRACKS, "ways": WAYS, "stops": STOPS, "rails": RAILS, "stations": STATIONS, "calls": CALLS}
-SOURCES = {"spots": "customer", "points": "supplier", "lines": "supplier", "places": "nation", "routes": "part", "tracks": "customer", "ways": "orders", "stops": "customer", "rails": "customer", "stations": "customer", "calls": "customer"}
+#: Six-cornered regions of seven sizes, every third with a square hole, every fourth with a second, detached part.
+CORNERS = """
+SELECT s AS region, poly, ring, seq, x + r * dx + CASE WHEN poly = 1 THEN 3.0 ELSE 0.0 END AS lng, y + r * dy AS lat
+FROM (SELECT s_suppkey AS s, 80.0 + CAST((s_suppkey * 6007) % 40000 AS DOUBLE) / 1000.0 AS x, 20.0 + CAST((s_suppkey * 3571) % 30000 AS DOUBLE) / 1000.0 AS y, 0.5 + 0.4 * CAST(s_suppkey % 7 AS DOUBLE) AS r FROM supplier) AS o
+CROSS JOIN (SELECT 0 AS poly, 0 AS ring, 0 AS seq, 1.0 AS dx, 0.0 AS dy UNION ALL SELECT 0, 0, 1, 0.5, 0.87 UNION ALL SELECT 0, 0, 2, -0.5, 0.87 UNION ALL SELECT 0, 0, 3, -1.0, 0.0 UNION ALL SELECT 0, 0, 4, -0.5, -0.87 UNION ALL SELECT 0, 0, 5, 0.5, -0.87
+ UNION ALL SELECT 0, 1, 0, 0.3, 0.3 UNION ALL SELECT 0, 1, 1, -0.3, 0.3 UNION ALL SELECT 0, 1, 2, -0.3, -0.3 UNION ALL SELECT 0, 1, 3, 0.3, -0.3 UNION ALL SELECT 1, 0, 0, 0.2, 0.1 UNION ALL SELECT 1, 0, 1, -0.2, 0.3 UNION ALL SELECT 1, 0, 2, 0.0, -0.4) AS v
+WHERE ring = 0 AND poly = 0 OR ring = 1 AND s % 3 = 0 OR poly = 1 AND s % 4 = 0
+"""
+SQL_NAMES = {"spots": SPOTS, "points": POINTS, "lines": LINES, "places": PLACES, "routes": ROUTES, "tracks": TRACKS, "ways": WAYS, "stops": STOPS, "rails": RAILS, "stations": STATIONS, "calls": CALLS, "corners": CORNERS}
+SOURCES = {"spots": "customer", "points": "supplier", "lines": "supplier", "places": "nation", "routes": "part", "tracks": "customer", "ways": "orders", "stops": "customer", "rails": "customer", "stations": "customer", "calls": "customer", "corners": "supplier"}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
