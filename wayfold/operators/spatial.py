@@ -39,10 +39,10 @@ def project(lng: Column, lat: Column) -> dict[str, Column]:
     return {"_bx": bx, "_by": by, "_sx": sx, "_sy": sy}
 
 
-def nearest_segment(pairs: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+def nearest_segment(pairs: DataFrame, keys: list[str], carry: list[str], rounded: bool = True) -> DataFrame:
     """Of candidate (point, segment) rows keep each key's nearest segment, the first on a tie, with its projection.
 
-    Adds along_km (2 decimals), dist_km (3 decimals), cross_km2, heading_deg, extrapolated_km and outside.
+    Adds along_km (2 decimals), dist_km (3 decimals; both as they are if not rounded), cross_km2, heading_deg, extrapolated_km and outside.
     """
     p = pairs.withColumns(project(F.col("lng"), F.col("lat")))
     l2 = F.col("_bx") * F.col("_bx") + F.col("_by") * F.col("_by")
@@ -57,8 +57,9 @@ def nearest_segment(pairs: DataFrame, keys: list[str], carry: list[str]) -> Data
     end = (F.col("seg") == 1) | F.col("last")
     over = F.abs(F.col("_raw") - t) * F.sqrt("_l2")
     ex, ey = F.col("_sx") - F.col("_bx") * F.col("_raw"), F.col("_sy") - F.col("_by") * F.col("_raw")
+    along = F.col("cum_a") + (F.col("cum_b") - F.col("cum_a")) * t
     best = best.withColumns({
-        "along_km": geo.js_round(F.col("cum_a") + (F.col("cum_b") - F.col("cum_a")) * t, 2), "dist_km": geo.js_round(dist, 3), "cross_km2": F.col("_bx") * ey - F.col("_by") * ex,
+        "along_km": geo.js_round(along, 2) if rounded else along, "dist_km": geo.js_round(dist, 3) if rounded else dist, "cross_km2": F.col("_bx") * ey - F.col("_by") * ex,
         "heading_deg": F.degrees(F.atan2("_bx", "_by")), "outside": end & (over > geo.OUTSIDE_KM), "extrapolated_km": F.when(end, geo.js_round(over, 2)).otherwise(0.0),
     })
     return best.drop("seg", "last", "a_lng", "a_lat", "b_lng", "b_lat", "cum_a", "cum_b", "_bx", "_by", "_sx", "_sy", "_l2", "_raw", "_t")

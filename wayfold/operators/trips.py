@@ -6,15 +6,19 @@ Each has a small step function in Python; Spark groups by trip or line, so a gro
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfold.operators.lines import line_stats, segments
+from wayfold.operators.spatial import nearest_segment
+
 
 def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted non-decreasing fit with least squares; weights not above 0 count as 1, values that are not finite as 0."""
@@ -31,14 +35,117 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat(mean, count)
 
 
+def with_per_key(rows: DataFrame, key: str, order: str, added: dict[str, str], step: Callable[[dict[str, np.ndarray]], tuple]) -> DataFrame:
+    """Add columns that a step over each key's rows in order gives: step(columns) returns an array, or one value, for each added column.
+
+    A partition is sorted and read as a stream, many keys a batch; what is held is a batch and the rows of the key
+    that goes on in the next one. Columns of rows named like added ones are replaced.
+    """
+    rows = rows.drop(*added)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, types = rows.columns, {"double": pa.float64(), "string": pa.string(), "long": pa.int64()}
+
+    def finish(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        columns = {n: table.column(n).to_numpy() for n in names}
+        out: dict[str, list] = {n: [] for n in added}
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            for (n, held), got in zip(out.items(), step({c: v[a:b] for c, v in columns.items()}), strict=True):
+                held.extend(got.tolist() if isinstance(got, np.ndarray) else [got] * (b - a))
+        whole = table.slice(0, bounds[-1]).combine_chunks()
+        extra = [pa.array(out[n], types[t], from_pandas=True) for n, t in added.items()]
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in whole.columns), *extra], names=[*names, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            codes = pa.chunked_array([b.column(names.index(key)) for b in held]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            ends = (np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()
+            if ends:
+                table = pa.Table.from_batches(held)
+                yield finish(table, [0, *ends])
+                held = table.slice(ends[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield finish(table, [0, table.num_rows])
+
+    schema = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes] + [f"{n} {t}" for n, t in added.items()])
+    return rows.repartition(parts, key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
 def isotonic(rows: DataFrame, key: str, order: str, value: str, weight: str) -> DataFrame:
     """Add fitted, the isotonic regression of value over order within each key."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(fitted=pool_adjacent(pdf[value].to_numpy(float), pdf[weight].to_numpy(float)))
+    return with_per_key(rows, key, order, {"fitted": "double"}, lambda c: (pool_adjacent(c[value].astype(float), c[weight].astype(float)),))
+
+
+#: Metres between stops at least; metres off the line of a stop without a place, and what is added to it in a weight.
+LEAST_M, UNKNOWN_M, WEIGHT_M = 200.0, 1000.0, 200.0
+
 
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", fitted double"
-    return rows.groupBy(key).applyInPandas(fit, schema)
+def _filled(raw: np.ndarray, time: np.ndarray) -> np.ndarray:
+    """Fill what is not finite between known values in proportion to time, else to position; beyond them the nearest holds, or 0."""
+    known = np.flatnonzero(np.isfinite(raw))
+    out = raw.copy()
+    for i in np.flatnonzero(~np.isfinite(raw)).tolist():
+        k = int(np.searchsorted(known, i))
+        if 0 < k < len(known):
+            a, b = known[k - 1], known[k]
+            timed = np.isfinite(time[[a, i, b]]).all() and time[b] != time[a]
+            out[i] = raw[a] + (raw[b] - raw[a]) * ((time[i] - time[a]) / (time[b] - time[a]) if timed else (i - a) / (b - a))
+        elif len(known):
+            out[i] = raw[known[0] if k == 0 else known[-1]]
+        else:
+            out[i] = 0.0
+    return out
+
+
+def axis_of(along: np.ndarray, off: np.ndarray, time: np.ndarray, placed: np.ndarray, length: float) -> tuple:
+    """Metres of a trip's stops along its line, their metres off it, their weights, and how the axis is degraded.
+
+    along, off: metres of the stops' projections, NaN where a stop has no place; time: seconds, NaN if unknown; placed: which stops have a
+    place; length: metres of the line, NaN or 0 if there is none. The first stop is at 0, the last at the end; others keep their order and
+    lie at least 200 m apart, as far as there is room.
+    """
+    n = len(along)
+    even = np.arange(n) / max(1, n - 1) * (length if length > 0 else 0.0)
+    if not length > 0:
+        return even, np.zeros(n), np.ones(n), "zero_length"
+    if not placed.any():
+        return even, np.zeros(n), np.ones(n), "all_missing"
+    raw, dist = along.astype(float).copy(), off.astype(float).copy()
+    raw[0], dist[0] = 0.0, 0.0
+    if n > 1:
+        raw[-1], dist[-1] = length, 0.0
+    weights = 1 / (np.where(np.isfinite(dist), dist, UNKNOWN_M) + WEIGHT_M)
+    fit = pool_adjacent(_filled(raw, time), weights)
+    fit[0] = 0.0
+    fit[-1] = length if n > 1 else 0.0
+    fit = spread_apart(fit, LEAST_M)
+    falls = int((np.diff(fit) < -1).sum())
+    return fit, dist, weights, "severe_disorder" if falls > n * 0.3 else "none"
+
+
+def mileage_axis(stops: DataFrame, points: DataFrame) -> DataFrame:
+    """Lay each trip's stops on one axis: stops with axis_m, off_m (null without a place), weight and degradation.
+
+    stops: trip, idx, at (a time, may be null), lng, lat; points: line_id (the trip), seq, lng, lat. Stops are projected onto their trip's
+    line, gaps are filled by the timetable, order is restored by isotonic regression with less weight for
+    stops off the line, ends are pinned and neighbours spread. A trip without a line has zero length, one without any place is even.
+    """
+    total = line_stats(points).where("n_points > 1").select(F.col("line_id").alias("trip"), (F.col("length_km") * 1000).alias("_length"))
+    inner = stops.where("lng IS NOT NULL AND lat IS NOT NULL").select(F.col("trip").alias("line_id"), "idx", "lng", "lat")
+    on = nearest_segment(inner.join(segments(points), "line_id"), ["line_id", "idx"], ["lng", "lat"], rounded=False).select(F.col("line_id").alias("trip"), "idx", (F.col("along_km") * 1000).alias("_along"), (F.col("dist_km") * 1000).alias("_off"))
+    j = stops.join(on, ["trip", "idx"], "left").join(total, "trip", "left")
+    j = j.withColumns({"_time": F.col("at").cast("double"), "_placed": (F.col("lng").isNotNull() & F.col("lat").isNotNull()).cast("double"), "_length": F.coalesce("_length", F.lit(0.0))})
+
+    def step(c: dict[str, np.ndarray]) -> tuple:
+        return axis_of(c["_along"].astype(float), c["_off"].astype(float), c["_time"].astype(float), c["_placed"] > 0, float(c["_length"][0]))
+
+    keep = ["trip", "idx", "_along", "_off", "_time", "_placed", "_length"]
+    out = with_per_key(j.select(*keep), "trip", "idx", {"axis_m": "double", "off_m": "double", "weight": "double", "degradation": "string"}, step)
+    return stops.join(out.select("trip", "idx", "axis_m", "off_m", "weight", "degradation"), ["trip", "idx"])
 
 
 def spread_apart(values: np.ndarray, least: float) -> np.ndarray:
