@@ -288,3 +288,52 @@ def test_network_without_rows(spark):
     assert network.nearest_node(points, nodes.limit(0)).count() == 0
     roads = nodes.select(F.col("node").alias("key"), "lng", "lat")
     assert network.nearest_roads(points, roads).collect()[0]["keys"] == [7, 8]
+
+
+def test_percentiles_of_skewed_values(spark):
+    """One outlier and many equal values: no range holds nearly all of them."""
+    rows = [("a", 1e12)] + [("a", float(i % 50)) for i in range(2000)] + [(None, 3.0), (None, 5.0)] + [("b", 7.0)] * 500
+    out = catalogue.lower_percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", (50, 100), buckets=5).collect()
+    assert {(r["g"], r["percent"]): r["v"] for r in out} == {("a", 50): 25.0, ("a", 100): 1e12, (None, 50): 5.0, (None, 100): 5.0, ("b", 50): 7.0, ("b", 100): 7.0}
+
+
+def test_also_in(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "SPLIT_ROWS", 3)
+    rng = random.Random(8)
+    rows = [(rng.randrange(30), rng.choice([0, 0, 0, 1, 2, 3, 4, 5])) for _ in range(120)] + [(None, 1), (3, None)]
+    keys = {}
+    for i, k in rows:
+        if i is not None and k is not None:
+            keys.setdefault(i, set()).add(k)
+    want = {(a, b): len(keys[a] & keys[b]) for a in keys for b in keys if a != b and keys[a] & keys[b]}
+    got = catalogue.also_in(spark.createDataFrame(rows, "item long, key int"), "item", "key")
+    assert {(r["item"], r["other"]): r["shared"] for r in got.collect()} == want
+
+
+def test_mileage_axis(spark):
+    """Disorder is pooled, gaps are filled by time, ends are pinned, neighbours are spread, and degraded trips are told."""
+    line = [(t, i, 100 + i / 10, 0.0) for t in (1, 2, 4) for i in range(11)] + [(3, 0, 100.0, 0.0)]
+    at = lambda x: (100 + x / 10, 0.0)
+    stops = [(1, 0, 0, *at(0)), (1, 1, 60, *at(6)), (1, 2, 120, *at(4)), (1, 3, 180, None, None), (1, 4, 240, *at(10))]
+    stops += [(2, 0, 0, *at(1)), (2, 1, 50, *at(5)), (2, 2, 60, *at(5)), (2, 3, 100, *at(9))]
+    stops += [(3, 0, 0, *at(0)), (3, 1, 50, *at(5))] + [(4, i, i, None, None) for i in range(3)]
+    df = spark.createDataFrame(stops, "trip long, idx int, at long, lng double, lat double")
+    got = {}
+    for r in trips.mileage_axis(df, spark.createDataFrame(line, "line_id long, seq int, lng double, lat double")).orderBy("trip", "idx").collect():
+        got.setdefault(r["trip"], []).append((r["axis_m"], r["degradation"]))
+    whole = got[1][-1][0]
+    assert whole == pytest.approx(111_194.9, rel=1e-4)
+    assert [x / whole for x, _ in got[1]] == pytest.approx([0, 0.5, 0.5 + 200 / whole, 0.7, 1], abs=0.003)
+    assert got[2][0][0] == 0 and got[2][-1][0] == whole and got[2][2][0] - got[2][1][0] == pytest.approx(200)
+    assert got[3] == [(0, "zero_length"), (0, "zero_length")] and [x for x, _ in got[4]] == pytest.approx([0, whole / 2, whole]) and got[4][0][1] == "all_missing"
+
+
+def test_per_key_steps_over_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(k, i, float(i * 7 % 5)) for k in ("a", "b", None, "c") for i in range(8)]
+        out = trips.with_per_key(spark.createDataFrame(rows, "k string, i int, v double"), "k", "i", {"top": "double"}, lambda c: (np.maximum.accumulate(c["v"]),))
+        got = {(r["k"], r["i"]): r["top"] for r in out.collect()}
+        assert got == {(k, i): max(float(j * 7 % 5) for j in range(i + 1)) for k, i, _ in rows}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)

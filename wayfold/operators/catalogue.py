@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfold.sources.scratch import stored
+
 #: The order in which layers take turns in the recommended ranking, two places a turn.
 ROTATION, STEP = ("L3", "L4", "L2", "L1", "L5"), 2
 LAYERS = ("L1", "L2", "L3", "L4", "L5")
@@ -103,21 +105,41 @@ def element_percentile(values: Column, percent: float) -> Column:
     return F.get(a, F.least(F.size(a) - 1, F.floor(F.size(a) * percent / 100).cast("int")))
 
 
-def lower_percentiles(rows: DataFrame, group: str, value: str, percents: tuple[int, ...], buckets: int = 4_096) -> DataFrame:
+#: Rows of a key that meet the others in one task, about; keys with more are split.
+SPLIT_ROWS = 1_000
+
+
+def also_in(items: DataFrame, item: str, key: str) -> DataFrame:
+    """Return each two items that share a key, both ways round: item, other, and shared, the number of keys they share. Nulls share nothing.
+
+    A key of many items is dealt to many tasks: one side by a salt, the other to all salts. The result itself has as many rows as there are such pairs.
+    """
+    held = items.select(F.col(item).alias("item"), F.col(key).alias("key")).dropna().distinct()
+    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / SPLIT_ROWS).cast("int").alias("_salts"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    dealt = held.join(sizes, "key")
+    one = dealt.select("key", "item", F.pmod(F.xxhash64("item"), F.col("_salts")).cast("int").alias("_salt"))
+    all_ = dealt.select("key", F.col("item").alias("other"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    pairs = one.join(all_, ["key", "_salt"]).where("item <> other")
+    return pairs.groupBy(F.col("item").alias(item), "other").agg(F.count("*").alias("shared"))
+
+
+def lower_percentiles(rows: DataFrame, group: str, value: str, percents: tuple[int, ...], buckets: int = 64) -> DataFrame:
     """Return exact percentiles of each group without interpolation: group, percent, value, the one at floor(n * percent / 100) from 0.
 
-    Counts per bucket of a group's span find the bucket of each rank, and only those are sorted, so no
-    group is one task's. Null values are left out; a group without values has no row. rows is read three times.
+    Equal values are counted first, so many of them are one row. The counts are dealt to ranges of (group, value) by a
+    sample of them, so outliers crowd nothing; sums per range find the range of each rank, and only those are
+    gone through. Null values are left out; a group without values has no row.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
-    span = rows.groupBy("_g").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count("*").alias("_n"))
-    at = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col("_v") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * buckets), F.lit(buckets - 1))).otherwise(0)
-    placed = rows.join(span, "_g").withColumn("_k", at.cast("int"))
-    counts = placed.groupBy("_g", "_n", "_k").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_g").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    dealt = stored(counts.repartitionByRange(buckets, "_g", "_v").withColumn("_k", F.spark_partition_id()), "value-counts")
+    sums = dealt.groupBy("_g", "_k").agg(F.sum("_c").alias("_c"))  # a row per range of a group
+    line = Window.partitionBy("_g").orderBy("_k")
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_c").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy("_g"))})
     ranks = F.array(*[F.struct(F.lit(p).alias("percent"), F.least(F.col("_n") - 1, F.floor(F.col("_n") * p / 100)).cast("long").alias("rank")) for p in percents])
-    wanted = counts.withColumn("_before", before).withColumn("_r", F.explode(ranks)).where((F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_before") + F.col("_c")))
-    nr = F.row_number().over(Window.partitionBy("_g", "_k").orderBy("_v"))
-    held = placed.join(wanted.select("_g", "_k").distinct(), ["_g", "_k"], "left_semi").withColumn("_nr", nr)
-    hit = held.select("_g", "_k", "_v", "_nr").join(wanted.select("_g", "_k", (F.col("_r.rank") - F.col("_before") + 1).alias("_nr"), F.col("_r.percent").alias("percent")), ["_g", "_k", "_nr"])
-    return hit.select(F.col("_g").alias(group), "percent", F.col("_v").alias(value))
+    wanted = sums.withColumn("_r", F.explode(ranks)).where((F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_before") + F.col("_c")))
+    wanted = wanted.select("_g", "_k", (F.col("_r.rank") - F.col("_before")).alias("_rank"), F.col("_r.percent").alias("percent"))
+    held = dealt.join(wanted.select("_g", "_k").distinct(), [dealt["_g"].eqNullSafe(wanted["_g"]), dealt["_k"] == wanted["_k"]], "left_semi")
+    up_to = F.sum("_c").over(Window.partitionBy("_g", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_upto", up_to).select(F.col("_g").alias("_hg"), F.col("_k").alias("_hk"), "_v", "_c", "_upto")
+    hit = held.join(wanted, [F.col("_hg").eqNullSafe(F.col("_g")), F.col("_hk") == F.col("_k")]).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+    return hit.select(F.col("_hg").alias(group), "percent", F.col("_v").alias(value))

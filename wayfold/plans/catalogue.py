@@ -146,10 +146,13 @@ def exact_dedupe(spark, d):
 
 
 def shared_boards(spark, d):
-    """Orders as boards of parts: of each board how many parts other boards have too, and how often, from the boards per part."""
-    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("board"), F.col("l_partkey").alias("part")).distinct()
-    also = b.groupBy("part").agg((F.count("*") - 1).alias("others"))
-    return b.join(also, "part").groupBy("board").agg(F.count_if(F.col("others") > 0).alias("shared"), F.sum("others").alias("also_in"))
+    """Orders as boards of parts: of each board how many of its parts are on other boards, and how many other boards those are."""
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("board"), F.col("l_partkey").alias("part"))
+    also = cat.also_in(b, "board", "part").groupBy("board").agg(F.count("*").alias("also_in"))
+    held = b.distinct()
+    many = held.groupBy("part").agg((F.count("*") > 1).alias("many"))
+    shared = held.join(many, "part").groupBy("board").agg(F.count_if(F.col("many")).alias("shared"))
+    return shared.join(also, "board", "left").select("board", "shared", F.coalesce("also_in", F.lit(0)).cast("long").alias("also_in"))
 
 
 def _ends(spark, d):
@@ -237,7 +240,7 @@ SELECT l_partkey, first(q ORDER BY prio) FILTER (WHERE q IS NOT NULL) AS quantit
 r AS (SELECT *, row_number() OVER (PARTITION BY day, priority ORDER BY (price IS NOT NULL)::INT + (status IS NOT NULL)::INT + CASE WHEN price > 0 THEN 5 ELSE 0 END DESC, no) AS nr FROM o)
 SELECT day, priority, max(no) FILTER (WHERE nr = 1) AS no, max(price) FILTER (WHERE nr = 1) AS price, max(status) FILTER (WHERE nr = 1) AS status, coalesce(string_agg(no, ',' ORDER BY no) FILTER (WHERE nr > 1), '') AS variants FROM r GROUP BY 1, 2""",
     "exact_dedupe": with_tables(["spots"], "SELECT * EXCLUDE (nr) FROM (SELECT CAST(floor(lng) AS BIGINT) AS x, CAST(floor(lat) AS BIGINT) AS y, id, score, row_number() OVER (PARTITION BY floor(lng), floor(lat) ORDER BY score DESC, id) AS nr FROM spots) WHERE nr = 1"),
-    "shared_boards": "WITH b AS (SELECT DISTINCT l_orderkey AS board, l_partkey AS part FROM lineitem), n AS (SELECT part, count(*) - 1 AS others FROM b GROUP BY 1) SELECT board, count(*) FILTER (WHERE others > 0) AS shared, CAST(sum(others) AS BIGINT) AS also_in FROM b JOIN n USING (part) GROUP BY 1",
+    "shared_boards": "WITH b AS (SELECT DISTINCT l_orderkey AS board, l_partkey AS part FROM lineitem), n AS (SELECT part, count(*) AS boards FROM b GROUP BY 1), o AS (SELECT a.board, count(DISTINCT c.board) AS also_in FROM b a JOIN b c ON a.part = c.part AND a.board <> c.board GROUP BY 1) SELECT board, count(*) FILTER (WHERE boards > 1) AS shared, coalesce(any_value(also_in), 0) AS also_in FROM b JOIN n USING (part) LEFT JOIN o USING (board) GROUP BY 1",
     "both_ends": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
     "only_one_end": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
     "eta_errors": """WITH e AS (SELECT event_type, list_sort(list(abs(value - 50))) AS v, round(avg(abs(value - 50)), 6) AS mae FROM events GROUP BY 1)

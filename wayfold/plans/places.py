@@ -136,7 +136,9 @@ def direct_or_retro(spark, d):
 def meteors(spark, d):
     """Showers within two days of each week of events, dimmed by the moon: an interval join with a small fixed table."""
     weeks = table(spark, d, "events").groupBy(F.floor(epoch_ms("ts") / 604800000).alias("week")).agg(F.count("*").alias("n"))
-    years = spark.range(1994, 2030).select(F.col("id").alias("y"))
+    # The years of the events and those beside them: as many rows as there are years.
+    first = F.year(F.timestamp_millis(F.col("week") * 604800000))
+    years = weeks.select(F.explode(F.sequence(first - 1, first + 1)).alias("y")).distinct()
     shower = F.inline(F.array(*[F.struct(F.lit(n).alias("shower"), F.lit(m).alias("m"), F.lit(day).alias("dd"), F.lit(z).alias("zhr")) for n, m, day, z in sky.SHOWERS]))
     peaks = years.select("y", shower).withColumn("peak", (F.unix_date(F.make_date(F.col("y").cast("int"), "m", "dd")).cast("long") * 86400000 + 4 * 3600000))
     window = 2 * 86400000
@@ -240,7 +242,7 @@ SELECT l_orderkey, l_linenumber, len, round(share / sum(share) OVER (PARTITION B
     "board_intersection": """WITH o AS (SELECT o_custkey, o_orderpriority AS p, epoch_ms(o_orderdate) // 86400000 AS day FROM orders)
 SELECT o_custkey, count(*) AS n FROM o x WHERE p = '1-URGENT' AND EXISTS (SELECT 1 FROM o y WHERE y.p = '2-HIGH' AND y.o_custkey = x.o_custkey AND y.day BETWEEN x.day AND x.day + 3) GROUP BY 1""",
     "direct_or_retro": "SELECT o_custkey % 400 AS train, coalesce(min(o_orderkey) FILTER (WHERE o_orderstatus = 'F'), min(o_orderkey)) AS departs, NOT bool_or(o_orderstatus = 'F') AS retro FROM orders GROUP BY 1",
-    "meteors": f"""WITH w AS (SELECT DISTINCT epoch_ms(ts) // 604800000 AS week FROM events), s(shower, m, dd, zhr) AS (VALUES {", ".join(str(x) for x in sky.SHOWERS)}), p AS (SELECT shower, zhr, y, epoch_ms(make_timestamp(y, m, dd, 4, 0, 0.0)) AS peak FROM s, range(1994, 2030) r(y)),
+    "meteors": f"""WITH w AS (SELECT DISTINCT epoch_ms(ts) // 604800000 AS week FROM events), s(shower, m, dd, zhr) AS (VALUES {", ".join(str(x) for x in sky.SHOWERS)}), p AS (SELECT shower, zhr, y, epoch_ms(make_timestamp(y, m, dd, 4, 0, 0.0)) AS peak FROM s, (SELECT unnest(range(min(year(ts)) - 2, max(year(ts)) + 3)) AS y FROM events)),
 j AS (SELECT *, fmod(fmod((peak - 947182440000.0) / 86400000.0, 29.530588853) + 29.530588853, 29.530588853) AS age FROM w JOIN p ON peak + 172800000 >= week * 604800000 AND peak - 172800000 <= (week + 1) * 604800000)
 SELECT week, shower, y, CAST(floor(least(100.0, zhr / 150 * 100) * (1 - (1 - cos(2 * pi() * age / 29.530588853)) / 2 * 0.75) + 0.5) AS INTEGER) AS score FROM j""",
     "road_paths": """WITH RECURSIVE e0 AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_orderkey FROM lineitem),
