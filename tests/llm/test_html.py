@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from wayfold.llm.html_text import Weights, best_part, default_weights, extract, labelled_pages, labelled_parts, main_text, op1_html_text, read_page
+from wayfold.llm.html_text import bare_pages, Weights, best_part, default_weights, extract, labelled_pages, labelled_parts, main_text, op1_html_text, read_page
 
 W = default_weights()
 
@@ -89,7 +89,7 @@ def test_held_out_layouts():
     assert right / wanted > 0.97 and right / found > 0.97
 
 
-@pytest.mark.parametrize("piece", ["<a x", '<a x="', "<div></p>", "<div></span>", "<ul><li>", "<!--", "<script>", "<p><div>", "<b><i>", "& ", "<"])
+@pytest.mark.parametrize("piece", ["<a x", '<a x="', "<div></p>", "<div></span>", "<ul><li>", "<!--", "<script>", "<p><div>", "<b><i>", "& ", "<", "<textarea>", "<title>", "<noscript>", "<template>", "<iframe>", "<svg>", "<TITLE x>"])
 def test_broken_markup_takes_linear_time(piece):
     source = piece * (1_000_000 // len(piece))
     start = time.process_time()
@@ -100,6 +100,33 @@ def test_broken_markup_takes_linear_time(piece):
     assert time.process_time() - start < 30 * small + 1
 
 
+BARE = [
+    ("Hello world this is a plain text page with no tags at all.", "Hello world this is a plain text page with no tags at all."),
+    ("<div>Hello world this is a plain text in a div.</div>", "Hello world this is a plain text in a div."),
+    ("<body>Hello world this is a text.<br>More of it follows here, and a little more besides</body>", "Hello world this is a text.\nMore of it follows here, and a little more besides"),
+    ("<body><h1>Title</h1>These are twenty odd words that stand straight in the body of a page, as old pages have them.", "Title\nThese are twenty odd words that stand straight in the body of a page, as old pages have them."),
+    ("word", "word"), ("<p>One.</p>", "One."), ('<a href="x">Home</a> | <a href="y">About</a>', ""),
+    ('<body><a href="x">Home</a> | <a href="y">About us</a><br><br>A text that is long enough to be an article by itself.<hr><a href="z">Top</a>', "A text that is long enough to be an article by itself."),
+    ("<ul><li>First point of a list.<li>Second point of it.</ul>", "First point of a list.\nSecond point of it."),
+]
+
+
+@pytest.mark.parametrize("source, text", BARE)
+def test_bare_pages_keep_their_text(source, text):
+    assert main_text(source, W) == text
+
+
+def test_held_out_bare_pages():
+    found = right = wanted = 0
+    for source in bare_pages(200, seed=77):
+        page = read_page(source)
+        want = [w for p, on in zip(page.parts, labelled_parts(page), strict=True) if on and not p.kind and not page.elements[p.element].hidden for w in p.text.split()]
+        got = main_text(source, W).split()
+        both = sum((Counter(want) & Counter(got)).values())
+        found, right, wanted = found + len(got), right + both, wanted + len(want)
+    assert right / wanted > 0.97 and right / found > 0.95
+
+
 def test_table(spark):
     rows = [(i, f"u{i}", h, "old") for i, (h, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string, text string")

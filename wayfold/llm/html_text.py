@@ -51,10 +51,11 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
     """Yield (kind, value, attributes) in page order: text, comment, open or close; in time linear in the page, however broken.
 
     A tag ends at the first > outside of quoted values; a quote that never closes is an ordinary
-    character, and where no > follows any more all is text. Scripts and the like are left out.
+    character, and where no > follows any more all is text. Scripts and the like are left out; those
+    that never end are searched for their end once, not at each start.
     """
     pos = at = 0
-    size, lone = len(source), set()
+    size, lone, endless = len(source), set(), set()
     while m := _START.search(source, pos):
         start = m.start()
         if m["comment"]:
@@ -88,7 +89,9 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
             yield "close", tag, ""
             continue
         if tag in RAW and not attrs.endswith("/"):
-            over = _RAW_END[tag].search(source, pos)
+            over = None if tag in endless else _RAW_END[tag].search(source, pos)
+            if not over:
+                endless.add(tag)
             if over or tag in ("script", "style"):
                 pos = at = over.start() if over else size
                 continue
@@ -208,6 +211,11 @@ def read_page(source: str) -> Page:
     return page
 
 
+def is_bare(page: Page) -> bool:
+    """Tell whether no element but text's markup is shown: nothing on the page says by tag or name what its parts are for."""
+    return all(e.hidden for e in page.elements[1:])
+
+
 def element_features(page: Page) -> list[list[str]]:
     """Return each element's own features: its tag, within an article or not, and its names; those of elements with over half of the page's words apart."""
     half = page.elements[0].words / 2
@@ -243,18 +251,23 @@ def block_features(page: Page, under_article: list[bool]) -> dict[int, list[tupl
 
 @dataclass(frozen=True)
 class Weights:
-    """Log-odds of being article text: by the features of the elements around, and added to that by those of the block. cost: of each tag, in words."""
+    """Log-odds of being article text: by the features of the elements around, and added to that by those of the block. cost: of each tag, in words.
+
+    bare: the log-odds by the features of a block alone, on bare pages.
+    """
 
     around: dict[str, float]
     block: dict[str, float]
     cost: dict[str, float]
+    bare: dict[str, float] = field(default_factory=dict)
 
 
 def evidence(page: Page, weights: Weights) -> list[float]:
     """Return the sum of the weights of an element and all around it: below 0, they speak against its words."""
     out: list[float] = []
+    bare = bool(weights.bare) and is_bare(page)
     for e, own in zip(page.elements, element_features(page), strict=True):
-        up = out[e.parent] if out else weights.around.get("", 0.0)
+        up = out[e.parent] if out else 0.0 if bare else weights.around.get("", 0.0)
         out.append(-math.inf if e.hidden else up + sum(weights.around.get(f, weights.around.get(f.rstrip("+"), 0.0)) for f in own))
     return out
 
@@ -275,7 +288,8 @@ def word_scores(page: Page, weights: Weights, against: list[float]) -> list[floa
     for e, own in zip(page.elements[1:], [against[i] - against[e.parent] for i, e in enumerate(page.elements) if i], strict=True):
         holds.append(holds[e.parent] or (own > 1 and against[len(holds)] > 1))
     blocks = block_features(page, _under_article(page, against))
-    of_block = {b: weights.block.get("", 0.0) + sum(weights.block.get(f, 0.0) * v for f, v in fs) for b, fs in blocks.items()}
+    own_weights = weights.bare if weights.bare and is_bare(page) else weights.block
+    of_block = {b: own_weights.get("", 0.0) + sum(own_weights.get(f, 0.0) * v for f, v in fs) for b, fs in blocks.items()}
     out = []
     for p in page.parts:
         if against[p.element] == -math.inf or against[p.element] < 0 and holds[p.element]:
@@ -351,7 +365,7 @@ def labelled_parts(page: Page) -> list[bool]:
     return out
 
 
-def learn_weights(labelled: tuple[str, ...]) -> Weights:
+def learn_weights(labelled: tuple[str, ...], bare: tuple[str, ...] = ()) -> Weights:
     """Fit weights on pages whose article text stands between the comments `begin` and `end`, a row per block.
 
     First what the elements around a block say by themselves, then what the block adds to that. A
@@ -384,7 +398,20 @@ def learn_weights(labelled: tuple[str, ...]) -> Weights:
     rows = [dict(blocks[id(page)][block]) for page, _, block in where]
     block = _fit(rows, y, np.array([against[id(page)][e] for page, e, _ in where]))
     cost = {t: max(LEAST_COST, (USED_COST if inside[t] else MOST_COST) * (outside[t] / (outside[t] + inside[t])) ** 2) for t in inside | outside}
-    return Weights(weights.around, block, cost)
+    return Weights(weights.around, block, cost, learn_bare(bare))
+
+
+def learn_bare(labelled: tuple[str, ...]) -> dict[str, float]:
+    """Fit the weights of blocks of bare pages, from the features of the blocks alone."""
+    rows, labels = [], []
+    for page in map(read_page, labelled):
+        features, seen = block_features(page, [False] * len(page.elements)), set()
+        for p, label in zip(page.parts, labelled_parts(page), strict=True):
+            if not p.kind and p.text.strip() and p.block not in seen and not page.elements[p.element].hidden:
+                seen.add(p.block)
+                rows.append(dict(features[p.block]))
+                labels.append(float(label))
+    return _fit(rows, np.array(labels), np.zeros(len(rows))) if rows else {}
 
 
 #: Names that page templates give to what is not article text, to article text, and to wrappers of both.
@@ -501,9 +528,35 @@ def labelled_pages(n: int = LABELLED_PAGES, seed: int = 11) -> tuple[str, ...]:
     return tuple(page(i) for i in range(n))
 
 
+def bare_pages(n: int = LABELLED_PAGES // 2, seed: int = 12) -> tuple[str, ...]:
+    """Make labelled bare pages by rule: text with no markup but its own, and rows of links above and below, with or without lines between."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(("ba", "le", "mi", "no", "ru", "sta", "ter", "ven", "do", "ka")) for _ in range(rng.randint(1, 4)))
+    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    sentence = lambda: words(2, 18).capitalize() + rng.choice((".", ".", "!", "?", ""))
+    prose = lambda: " ".join(sentence() + f' <a href="/x">{word()}</a>' * (rng.random() < 0.1) + f" <b>{word()}</b>" * (rng.random() < 0.1) for _ in range(rng.randint(1, 6)))
+
+    def links() -> str:
+        some = [f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(rng.randint(1, 8))]
+        return rng.choice((" | ".join(some), " ".join(some), "<br>".join(some), "<ul>" + "".join(f"<li>{x}</li>" for x in some) + "</ul>", "<table><tr>" + "".join(f"<td>{x}</td>" for x in some) + "</tr></table>"))
+
+    def page() -> str:
+        parts = [prose() for _ in range(rng.choice((1, 1, 2, 4, 9)))]
+        text = rng.choice((lambda: "<br>".join(parts), lambda: "<br><br>".join(parts), lambda: "".join(f"<p>{x}</p>" for x in parts), lambda: "".join(f"<div>{x}</div>" for x in parts), lambda: " ".join(parts), lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in parts) + "</ul>", lambda: f"<pre>{' '.join(parts)}</pre>", lambda: "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in parts) + "</table>"))()
+        text = rng.choice(("", "", f"<h1>{words(1, 8)}</h1>", f"<center><b>{words(1, 8)}</b></center>", f"<h2>{words(1, 6)}</h2><p>")) + text
+        if rng.random() < 0.15:
+            text = rng.choice((words(1, 3), f"<p>{words(1, 4)}</p>", f"<h1>{words(1, 4)}</h1>"))
+        between = rng.choice(("<hr>", "<br><br>", "<br>"))
+        above, below = links() + between if rng.random() < 0.4 else "", between + links() if rng.random() < 0.4 else ""
+        text = f"{above}<!--begin-->{text}<!--end-->{below}" if rng.random() < 0.93 else links()
+        return rng.choice((text, f"<body>{text}</body>", f"<div>{text}</div>", f"<html><head><title>{words(1, 4)}</title></head><body>{text}</body></html>"))
+
+    return tuple(page() for _ in range(n))
+
+
 @lru_cache(maxsize=4)
 def default_weights(n: int = LABELLED_PAGES) -> Weights:
-    return learn_weights(labelled_pages(n))
+    return learn_weights(labelled_pages(n), bare_pages(n // 2))
 
 
 def extract(pages: DataFrame, weights: Weights | None = None, html_col: str = "html") -> DataFrame:
