@@ -107,6 +107,7 @@ BARE = [
     ("<body><h1>Title</h1>These are twenty odd words that stand straight in the body of a page, as old pages have them.", "Title\nThese are twenty odd words that stand straight in the body of a page, as old pages have them."),
     ("word", "word"), ("<p>One.</p>", "One."), ('<a href="x">Home</a> | <a href="y">About</a>', ""),
     ('<body><a href="x">Home</a> | <a href="y">About us</a><br><br>A text that is long enough to be an article by itself.<hr><a href="z">Top</a>', "A text that is long enough to be an article by itself."),
+    ("<div hidden><p>Not <ul><li>shown here.</ul></div><p>Shown here, a sentence.", "Shown here, a sentence."),
     ("<ul><li>First point of a list.<li>Second point of it.</ul>", "First point of a list.\nSecond point of it."),
 ]
 

@@ -34,6 +34,7 @@ NEVER_TEXT = frozenset("button select option datalist audio video canvas object
 TEXT_LEVEL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr table thead tbody tfoot caption pre blockquote figure figcaption address center hr br".split())
 #: Elements that say nothing but by their names.
 PLAIN = TEXT_LEVEL | INLINE | frozenset("div html body".split())
+LISTS = frozenset("ul ol dl".split())
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
 #: Labelled pages that are made, at most; what a tag costs in words: at most, at most if articles use it too, at least.
@@ -212,8 +213,8 @@ def read_page(source: str) -> Page:
 
 
 def is_bare(page: Page) -> bool:
-    """Tell whether no element but text's markup is shown: nothing on the page says by tag or name what its parts are for."""
-    return all(e.hidden for e in page.elements[1:])
+    """Tell whether no element but text's markup and lists without names is shown: nothing on the page says what its parts are for."""
+    return all(e.hidden or e.tag in LISTS and not e.names for e in page.elements[1:])
 
 
 def element_features(page: Page) -> list[list[str]]:
@@ -267,7 +268,10 @@ def evidence(page: Page, weights: Weights) -> list[float]:
     out: list[float] = []
     bare = bool(weights.bare) and is_bare(page)
     for e, own in zip(page.elements, element_features(page), strict=True):
-        up = out[e.parent] if out else 0.0 if bare else weights.around.get("", 0.0)
+        if bare:
+            out.append(-math.inf if e.hidden or out and out[e.parent] == -math.inf else 0.0)
+            continue
+        up = out[e.parent] if out else weights.around.get("", 0.0)
         out.append(-math.inf if e.hidden else up + sum(weights.around.get(f, weights.around.get(f.rstrip("+"), 0.0)) for f in own))
     return out
 
