@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import corridors
+from wayfold.operators import corridor_match, corridors
 from wayfold.plans.tables import derived, hav, rounded, with_tables
 
 #: The corridors here are a few kilometres long, so the distances are a fifth of the usual ones.
@@ -38,7 +38,43 @@ def bare_stops(spark, d):
     return rounded(corridors.stop_points(stops, derived(spark, d, "rails"), derived(spark, d, "stations")).select("trip", "idx", "lng", "lat", "corridor"), 6)
 
 
-QUERIES = {f.__name__: f for f in (corridor_links, stops_on_corridors, corridor_chains, bare_stops)}
+def _rides(spark, d):
+    """A ride over each corridor, every other one backwards, with stops beside its points, those at stations by their names."""
+    r, s, c, seq = derived(spark, d, "rails"), derived(spark, d, "stations"), F.col("corridor"), F.col("seq")
+    j = r.join(s.select("corridor", F.col("pos").alias("seq"), "name"), ["corridor", "seq"], "left")
+    return j.select(
+        c.alias("trip"), F.when(c % 2 == 0, seq).otherwise(4 - seq).cast("int").alias("idx"), F.coalesce("name", F.concat(F.lit("X"), c.cast("string"), F.lit("-"), seq.cast("string"))).alias("name"),
+        (F.col("lng") + 0.06 * ((c * 3 + seq * 7) % 5 - 2)).alias("lng"), (F.col("lat") + 0.02 * ((c + seq) % 3)).alias("lat"),
+    )
+
+
+def _scores(spark, d):
+    return corridor_match.match_scores(_rides(spark, d), derived(spark, d, "rails"), derived(spark, d, "stations"))
+
+
+def corridor_scores(spark, d):
+    """How well corridors match trips, by the places and the names of the stops."""
+    return rounded(_scores(spark, d).select("trip", "corridor", "score", "hits"), 6)
+
+
+def corridor_choice(spark, d):
+    """The corridor that each trip's stops lie on best."""
+    return rounded(corridor_match.best_corridor(_scores(spark, d)), 6)
+
+
+def corridor_slices(spark, d):
+    """What the gates say of the stretch of its corridor that each trip runs over."""
+    chosen = corridor_match.best_corridor(_scores(spark, d)).select("trip", "corridor")
+    return corridor_match.slices(_rides(spark, d), chosen, derived(spark, d, "rails"), derived(spark, d, "stations"))[1]
+
+
+def slice_points(spark, d):
+    """The points of these stretches, in the trips' direction."""
+    chosen = corridor_match.best_corridor(_scores(spark, d)).select("trip", "corridor")
+    return rounded(corridor_match.slices(_rides(spark, d), chosen, derived(spark, d, "rails"), derived(spark, d, "stations"))[0], 6)
+
+
+QUERIES = {f.__name__: f for f in (corridor_scores, corridor_choice, corridor_slices, slice_points, corridor_links, stops_on_corridors, corridor_chains, bare_stops)}
 
 _LINKS = f"""RECURSIVE tp AS (SELECT *, pos = min(pos) OVER w OR pos = max(pos) OVER w AS tip, row_number() OVER (PARTITION BY corridor ORDER BY pos) - 1 AS i, count(*) OVER w AS n FROM stations WINDOW w AS (PARTITION BY corridor)),
 hb AS (SELECT a.corridor AS a, b.corridor AS b, arg_min(a.name, (NOT (a.tip OR b.tip), b.pos)) AS hub FROM tp a JOIN tp b ON a.name = b.name AND a.corridor < b.corridor GROUP BY 1, 2),
@@ -78,7 +114,18 @@ lb(trip, corridor, ids, hubs, cost, x, y, covered, here) AS (
  LEFT JOIN (SELECT trip, name, min(idx) AS idx FROM calls GROUP BY 1, 2) h ON h.trip = r.trip AND h.name = s.hub WHERE NOT list_contains(r.ids, s.b) AND len(r.ids) < 8),
 fi AS (SELECT trip, min({{cost: round(cost + {hav('x', 'y', 't.x', 't.y')}, 6), hops: len(ids), ids: ids, hubs: hubs}}) AS m FROM lb JOIN go USING (trip, corridor) JOIN fl USING (trip) WHERE len(ids) > 1 GROUP BY trip)"""
 
+#: No name here ends in a side, so no stop has a rival.
+_RIDES = """calls AS (SELECT r.corridor AS trip, CAST(CASE WHEN r.corridor % 2 = 0 THEN r.seq ELSE 4 - r.seq END AS INT) AS idx, coalesce(s.name, 'X' || r.corridor || '-' || r.seq) AS name, r.lng + 0.06 * ((r.corridor * 3 + r.seq * 7) % 5 - 2) AS lng, r.lat + 0.02 * ((r.corridor + r.seq) % 3) AS lat FROM rails r LEFT JOIN stations s ON s.corridor = r.corridor AND s.pos = r.seq)"""
+_SCORES = f"""RECURSIVE {_RIDES}, {_ON}, lk2 AS (SELECT DISTINCT c.name, s.corridor FROM (SELECT DISTINCT name FROM calls) c JOIN stations s ON contains(c.name, s.name) OR contains(s.name, c.name)),
+fl AS (SELECT trip, min(idx) AS first, max(idx) AS last, count(*) AS n FROM calls GROUP BY trip),
+us AS (SELECT c.trip, c.idx, r.corridor, l.name IS NOT NULL AS named, ds.km FROM calls c CROSS JOIN (SELECT DISTINCT corridor FROM rails) r LEFT JOIN lk2 l ON l.name = c.name AND l.corridor = r.corridor LEFT JOIN ds ON ds.trip = c.trip AND ds.idx = c.idx AND ds.corridor = r.corridor WHERE l.name IS NOT NULL OR ds.km <= 20),
+pc AS (SELECT trip, corridor, n, count(*) FILTER (WHERE (idx = first OR idx = last) AND (named OR km <= 15)) AS ends, count(*) FILTER (WHERE (idx = first OR idx = last) AND named) AS named_ends, count(*) FILTER (WHERE named) AS hits, count(*) FILTER (WHERE km <= 20) AS near FROM us JOIN fl USING (trip) GROUP BY ALL),
+sc AS (SELECT trip, corridor, near / n * 0.65::DOUBLE + hits / n * 0.35::DOUBLE AS score, hits, 5 AS points FROM pc WHERE ends = 2 AND (near / n >= 0.5 OR (named_ends = 2 AND hits >= 2) OR (hits >= 3 AND hits / n >= 0.35)))"""
+
 ORACLES = {
+    "corridor_scores": with_tables(["rails", "stations"], f"{_SCORES} SELECT trip, corridor, round(score, 6) AS score, hits FROM sc"),
+    "corridor_choice": with_tables(["rails", "stations"], f"""{_SCORES}, ls AS (SELECT trip, list({{corridor: corridor, score: score, hits: hits}} ORDER BY corridor) AS c FROM sc GROUP BY trip)
+SELECT trip, b.corridor AS corridor, round(b.score, 6) AS score FROM (SELECT trip, list_reduce(c, lambda a, x: CASE WHEN x.score > a.score + 0.05 OR (abs(x.score - a.score) <= 0.05 AND x.hits > a.hits) THEN x ELSE a END) AS b FROM ls)"""),
     "corridor_links": with_tables(["rails", "stations"], f"{_LINKS} SELECT a, b, kind, hub, round(km, 6) AS km, round(ap.x, 6) AS a_lng, round(bp.y, 6) AS b_lat FROM lk"),
     "stops_on_corridors": with_tables(["rails", "stations", "calls"], f"{_LINKS}, {_ON} SELECT trip, idx, corridor FROM md"),
     "corridor_chains": with_tables(["rails", "stations", "calls"], f"{_CHAINS} SELECT trip, round(m.cost, 4) AS cost, CAST(m.hops AS INT) AS hops, array_to_string(m.ids, ',') AS corridors, array_to_string(m.hubs, ',') AS hubs FROM fi"),
