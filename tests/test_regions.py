@@ -82,3 +82,10 @@ def test_backfill_fills_only_what_is_empty(spark):
     kept = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, None)], "id long, kept_by long")
     got = {r["id"]: (r["tel"], r["url"], r["rating"]) for r in poi.backfill(spots, kept, ["tel", "url", "rating"], "rating").collect()}
     assert got == {1: ("x", "z", 3.0), 4: (None, None, 0.0)}
+
+
+def test_peaks_of_a_family_are_one(spark):
+    rows = [(1, "洛子峰", 100.0, 30.0, "nature.mountain"), (2, "洛子中一峰", 100.02, 30.0, "nature.mountain"), (3, "洛子东", 100.0, 30.02, "culture.temple"), (4, "洛子西峰", 100.2, 30.0, "nature.mountain"), (5, "别山", 100.001, 30.0, "nature.canyon")]
+    df = spark.createDataFrame(rows, "id long, name string, lng double, lat double, category string")
+    assert {r["id"]: r["group"] for r in poi.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r["id"]: r["group"] for r in poi.near_duplicates(df.drop("category")).collect()} == {i: i for i in range(1, 6)}

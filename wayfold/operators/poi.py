@@ -17,6 +17,8 @@ NAME_ENDINGS = "(国家考古遗址公园|考古遗址公园|国家地质公园|
 ISLANDS = ((118.2, 24.16, 118.55, 24.55), (119.85, 25.9, 120.55, 26.45))
 BAND = ((80.0, 26.2, 88.35, 28.15), (88.35, 26.4, 92.2, 27.72))
 CJK = "[一-鿿]"
+#: Categories of peaks, whose neighbours of a like name are one family.
+PEAKS = ("nature.mountain", "nature.canyon")
 
 
 def admissible(lng: Column, lat: Column, name: Column, country: Column) -> Column:
@@ -39,19 +41,23 @@ def near_duplicates(spots: DataFrame, size: float = 0.025) -> DataFrame:
     """Group spots that are the same place: id, group (least id), by transitive closure over pairs in neighbouring cells.
 
     A pair is one place with equal names within 2 km, equal core names within 1.5 km, or a core name
-    of three letters or more inside the other's within 1 km. spots: id, name, lng, lat.
+    of three letters or more inside the other's within 1 km; where spots have a category, also two peaks with
+    one's core name of two letters or more inside the other's within 2.5 km. spots: id, name, lng, lat, and category if known.
     """
-    s = spots.where(geo.in_box(F.col("lng"), F.col("lat"), (-180.0, -80.0, 180.0, 80.0))).select("id", F.regexp_replace("name", r"\s+", "").alias("name"), core_name(F.col("name")).alias("core"), "lng", "lat")
+    peak = F.coalesce(F.col("category").isin(*PEAKS), F.lit(False)) if "category" in spots.columns else F.lit(False)
+    s = spots.where(geo.in_box(F.col("lng"), F.col("lat"), (-180.0, -80.0, 180.0, 80.0))).select("id", F.regexp_replace("name", r"\s+", "").alias("name"), core_name(F.col("name")).alias("core"), "lng", "lat", peak.alias("peak"))
     s = s.withColumns({"cx": geo.cell(F.col("lng"), -180.0, size), "cy": geo.cell(F.col("lat"), -90.0, size)})
-    # Cells shrink towards the poles: as many neighbours to either side as 2 km may reach.
-    reach = F.ceil(2.0 / (geo.KM_PER_LNG * F.cos(F.radians(F.col("lat"))) * size)).cast("int")
+    # Cells shrink towards the poles: as many neighbours to either side as the farthest rule may reach.
+    reach = F.ceil(2.5 / (geo.KM_PER_LNG * F.cos(F.radians(F.col("lat"))) * size)).cast("int")
     left = s.withColumn("cx", F.explode(F.transform(F.sequence(-reach, reach), lambda i: F.col("cx") + i)))
     left = left.withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])))
-    right = s.select("cx", "cy", *[F.col(c).alias(f"{c}_b") for c in ("id", "name", "core", "lng", "lat")])
+    right = s.select("cx", "cy", *[F.col(c).alias(f"{c}_b") for c in ("id", "name", "core", "lng", "lat", "peak")])
     pairs = left.join(right, ["cx", "cy"]).where("id < id_b").withColumn("km", geo.haversine_km(F.col("lng"), F.col("lat"), F.col("lng_b"), F.col("lat_b")))
     long = (F.char_length("core") >= 3) & (F.char_length("core_b") >= 3)
     same = ((F.col("name") == F.col("name_b")) & (F.col("name") != "") & (F.col("km") <= 2)) | ((F.col("core") == F.col("core_b")) & (F.char_length("core") >= 2) & (F.col("km") <= 1.5))
     same = same | (long & (F.col("km") <= 1) & (F.col("core").contains(F.col("core_b")) | F.col("core_b").contains(F.col("core"))))
+    family = F.col("peak") & F.col("peak_b") & (F.col("km") <= 2.5) & (F.char_length("core") >= 2) & (F.char_length("core_b") >= 2)
+    same = same | (family & (F.col("core").contains(F.col("core_b")) | F.col("core_b").contains(F.col("core"))))
     labels = components(pairs.where(same), "id", "id_b")
     return spots.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("group"))
 
