@@ -46,24 +46,26 @@ codecs.register_error("each_byte", _each_byte)
 
 
 class Recent:
-    """What is known of words lately met: two generations of bounded size, the older one forgotten but for what is met again."""
-
-    def __init__(self):
-        self.now, self.before = {}, {}
-
-    def known(self, words: set[str], learn: Callable[[list[str]], Iterator[tuple]]) -> dict:
-        """Return a dictionary that holds the words, learning new ones; words of unusual length are not kept."""
-        if len(self.now) > KEPT_WORDS // 2:
-            self.now, self.before = {}, self.now
-        new, long = [], {}
-        for w in words.difference(self.now):
-            if w in self.before:
-                self.now[w] = self.before[w]
-            else:
-                new.append(w)
-        for w, value in learn(new):
-            (self.now if len(w) <= LONG_WORD else long)[w] = value
-        return self.now | long if long else self.now
+    """What is known of words lately met, in as many dictionaries as there are things to know: two generations of bounded size, the older one forgotten but for what is met again."""
+
+    def __init__(self, things: int):
+        self.now, self.before = ([{} for _ in range(things)] for _ in range(2))
+
+    def known(self, words: set[str], learn: Callable[[list[str]], tuple[list, ...]]) -> list[dict]:
+        """Return dictionaries that hold the words, learning new ones; words of unusual length are not kept."""
+        if len(self.now[0]) > KEPT_WORDS // 2:
+            self.now, self.before = [{} for _ in self.now], self.now
+        new = words.difference(self.now[0])
+        again = list(new.intersection(self.before[0]))
+        for now, before in zip(self.now, self.before, strict=True):
+            now.update(zip(again, map(before.__getitem__, again), strict=True))
+        new.difference_update(again)
+        short, long = [w for w in new if len(w) <= LONG_WORD], [w for w in new if len(w) > LONG_WORD]
+        for now, values in zip(self.now, learn(short), strict=True):
+            now.update(zip(short, values, strict=True))
+        if not long:
+            return self.now
+        return [now | dict(zip(long, values, strict=True)) for now, values in zip(self.now, learn(long), strict=True)]
 
 
 class PieceModel:
@@ -113,8 +115,10 @@ class PieceModel:
             self.surface[i] = bytes([int(library.id_to_piece(i)[3:5], 16)]) if library.is_byte(i) else b"" if library.is_control(i) else library.decode([i]).encode()
         self.silent = np.array([library.is_control(i) for i in range(self.size)])
         self.fronted = {i for p, i in pieces.items() if p.startswith(SPACE)}
-        self.kept, self.texts = Recent(), Recent()
-        self.numerals = [str(i) for i in range(self.size)]
+        self.kept, self.texts = Recent(1), Recent(2)
+        # After the last id, what parts words: neither sign is in what it parts, as 0xFF is in no UTF-8 text.
+        self.numerals = [*map(str, range(self.size)), "\n"]
+        self.surface.append(b"\xff")
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Return rank and merged id of pairs of symbols; rank NONE where they make no piece."""
@@ -214,7 +218,8 @@ class PieceModel:
         bounds = [0, *ends.tolist(), len(word)]
         return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _merge_words(self, words: list[str]) -> list[list[int]]:
+    def _merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Return the ids of all words, end to end, and where each one ends."""
         points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
         numbers = np.repeat(np.arange(len(words)), [len(w) for w in words])
         symbols, numbers = self.rounds(self.char[points], numbers)
@@ -227,8 +232,7 @@ class PieceModel:
             filled = self.bytes[np.frombuffer("".join(map(chr, points[unknown].tolist())).encode(), dtype=np.uint8)]
             symbols, numbers = np.repeat(symbols, times), np.repeat(numbers, times)
             symbols[np.repeat(unknown, times)] = filled
-        flat, bounds = symbols.tolist(), np.searchsorted(numbers, np.arange(len(words) + 1)).tolist()
-        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return symbols, np.searchsorted(numbers, np.arange(1, len(words) + 1))
 
     def _merge_runs(self, symbols: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put the pieces of runs in the place of runs of single spaces."""
@@ -244,19 +248,24 @@ class PieceModel:
             keep[start + len(ids) : start + length] = False
         return symbols[keep], numbers[keep]
 
-    def _ids(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Merge words; long ones part by part."""
-        parts = {w: self._cut(w) for w in words if len(w) > LONG_WORD}
-        fresh = dict.fromkeys(p for w in words for p in parts.get(w, [w]))
-        todo, size, block = list(fresh), 0, []
-        for n, w in enumerate(todo):
+    def _blocks(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Merge words in blocks of bounded size: words, ids end to end, ends."""
+        block, size = [], 0
+        for n, w in enumerate(words):
             block.append(w)
             size += len(w)
-            if size > FLAT_SYMBOLS or n == len(todo) - 1:
-                fresh.update(zip(block, self._merge_words(block), strict=True))
-                size, block = 0, []
-        for w in words:
-            yield w, list(chain.from_iterable(map(fresh.__getitem__, parts[w]))) if w in parts else fresh[w]
+            if size > FLAT_SYMBOLS or n == len(words) - 1:
+                yield block, *self._merge_words(block)
+                block, size = [], 0
+
+    def _ids(self, words: list[str]) -> tuple[list[list[int]]]:
+        """Return the ids of words; long ones part by part."""
+        parts = {w: self._cut(w) for w in words if len(w) > LONG_WORD}
+        fresh: dict[str, list[int]] = {}
+        for block, ids, ends in self._blocks(list(dict.fromkeys(p for w in words for p in parts.get(w, [w])))):
+            flat, bounds = ids.tolist(), [0, *ends.tolist()]
+            fresh.update(zip(block, [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+        return ([list(chain.from_iterable(map(fresh.__getitem__, parts[w]))) if w in parts else fresh[w] for w in words],)
 
     def split(self, texts: list[str]) -> list[list[str]]:
         """Cut texts into words that no piece goes beyond."""
@@ -265,12 +274,20 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Return the ids of each text, the end id last."""
         words = self.split(texts)
-        ids = self.kept.known(set(chain.from_iterable(words)), self._ids)
+        (ids,) = self.kept.known(set(chain.from_iterable(words)), self._ids)
         return [np.array([*chain.from_iterable(map(ids.__getitem__, part)), self.end], dtype=np.int64) for part in words]
 
-    def _said_and_shown(self, words: list[str]) -> Iterator[tuple[str, tuple[str, str]]]:
-        for w, ids in self._ids(words):
-            yield w, (" ".join(map(self.numerals.__getitem__, ids)), b"".join(map(self.surface.__getitem__, ids)).decode(errors="each_byte"))
+    def _said_and_shown(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Return each word's ids as decimals, and the text that they decode to."""
+        if any(len(w) > LONG_WORD for w in words):
+            (ids,) = self._ids(words)
+            return [" ".join(map(self.numerals.__getitem__, x)) for x in ids], [b"".join(map(self.surface.__getitem__, x)).decode() for x in ids]
+        said, shown = [], []
+        for _, ids, ends in self._blocks(words):
+            marked = np.insert(ids, ends, self.size).tolist()
+            said += " ".join(map(self.numerals.__getitem__, marked))[:-2].split(" \n ")
+            shown += b"".join(map(self.surface.__getitem__, marked)).decode(errors="surrogateescape")[:-1].split("\udcff")
+        return said, shown
 
     def encode_and_decode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Return the number of each text's ids, the ids as decimals joined by spaces, and the text that they decode to.
@@ -278,11 +295,10 @@ class PieceModel:
         Bytes of a character never go beyond a word, so words are decoded one by one, each once.
         """
         words, out = self.split(texts), []
-        known = self.texts.known(set(chain.from_iterable(words)), self._said_and_shown)
+        said, shown = self.texts.known(set(chain.from_iterable(words)), self._said_and_shown)
         for part in words:
-            said, shown = zip(*map(known.__getitem__, part), strict=True) if part else ((), ())
-            ids = " ".join((*said, self.numerals[self.end]))
-            out.append((ids.count(" ") + 1, ids, "".join(shown)[1:]))
+            ids = " ".join([*map(said.__getitem__, part), self.numerals[self.end]])
+            out.append((ids.count(" ") + 1, ids, "".join(map(shown.__getitem__, part))[1:]))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
