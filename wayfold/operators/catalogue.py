@@ -19,15 +19,28 @@ def resolve_layer(layer: Column, tier: Column, days: Column) -> Column:
     return F.coalesce(layer, F.when(tier == "national", "L1").when(tier == "regional", "L2").when(d <= 2, "L4").otherwise("L3"))
 
 
-def matches(keyword: str | None = None, layer: str | None = None, tier: str | None = None, most_days: int | None = None, most_km: float | None = None, most_difficulty: int | None = None, text: tuple[str, ...] = ("name", "anchor_city", "tag")) -> Column:
-    """Predicate of a catalogue query; drafts show only in keyword searches. Keywords are case-sensitive."""
+def matches(keyword: str | None = None, layer: str | None = None, tier: str | None = None, most_days: int | None = None, most_km: float | None = None, most_difficulty: int | None = None, text: tuple[str, ...] = ("name", "anchor_city", "tag"), lists: tuple[str, ...] = (), province: str | None = None, city: str | None = None, mode: str | None = None, shape: str | None = None, month: int | None = None) -> Column:
+    """Predicate of a catalogue query; drafts show only in keyword searches. Keywords are case-sensitive and looked for in text columns and in the entries of lists.
+
+    province, city, mode and month must be in the arrays provinces, cities (or be the anchor_city), modes and best_season; a null array holds nothing.
+    """
     keyword = (keyword or "").strip()
     p = F.lit(True) if keyword else F.col("status") == "published"
     if keyword:
         hit = F.lit(False)
         for c in text:
             hit = hit | F.coalesce(F.col(c).contains(keyword), F.lit(False))
+        for c in lists:
+            hit = hit | F.coalesce(F.exists(c, lambda x: F.coalesce(x.contains(keyword), F.lit(False))), F.lit(False))
         p = p & hit
+    in_list = lambda c, x: F.coalesce(F.array_contains(c, F.lit(x)), F.lit(False))
+    for column, value in (("provinces", province), ("modes", mode), ("best_season", month)):
+        if value is not None and value != "":
+            p = p & in_list(column, value)
+    if city:
+        p = p & (in_list("cities", city) | F.coalesce(F.col("anchor_city") == city, F.lit(False)))
+    if shape:
+        p = p & F.coalesce(F.col("shape") == shape, F.lit(False))
     if layer:
         p = p & (resolve_layer(F.col("layer"), F.col("tier"), F.col("days")) == layer)
     if tier:
@@ -49,6 +62,17 @@ def recommended(routes: DataFrame, layer: str = "layer", rank: str = "editor_ran
     return routes.withColumns({"_turn": turn, "_pos": position}).withColumn("place", F.row_number().over(Window.orderBy("_turn", "_pos", rank, key))).drop("_turn", "_pos")
 
 
+def named_sort(sort: str, ordinal: str = "ordinal") -> list[Column]:
+    """Order of a named sort: km-desc, km-asc, days-asc, days-desc or layer (editor's rank, longer first); ties keep the order in which routes were loaded.
+
+    The recommended order is that of recommended().
+    """
+    orders = {"km-desc": [F.desc("total_km")], "km-asc": [F.asc("total_km")], "days-asc": [F.asc("days")], "days-desc": [F.desc("days")], "layer": [F.asc("editor_rank"), F.desc("total_km")]}
+    if sort not in orders:
+        raise ValueError(f"no sort named {sort}: {', '.join(orders)}")
+    return [*orders[sort], F.asc(ordinal)]
+
+
 def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int = 0) -> DataFrame:
     """Sort and cut out a page; limit 0 or less means all. Adds total, the number of rows before the cut."""
     out = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total")))).orderBy(*order).offset(max(0, offset))

@@ -155,6 +155,33 @@ def shared_boards(spark, d):
     return shared.join(also, "board", "left").select("board", "shared", F.coalesce("also_in", F.lit(0)).cast("long").alias("also_in"))
 
 
+def _wide_routes(spark, d):
+    """Routes with the lists that a query may ask of: provinces, cities, ways of travel, months and road numbers."""
+    i = F.col("id")
+    text = lambda letter, n: F.concat(F.lit(letter), (i % n).cast("string"))
+    return _routes(spark, d).withColumns({
+        "provinces": F.array(text("P", 5), text("P", 3)), "cities": F.when(i % 4 != 0, F.array(text("C", 6))), "modes": F.array(F.element_at(F.array(F.lit("drive"), F.lit("rail"), F.lit("walk")), (i % 3 + 1).cast("int"))),
+        "shape": F.when(i % 2 == 0, "loop").otherwise("line"), "best_season": F.sequence((i % 6 + 1).cast("int"), (i % 6 + 4).cast("int")), "road_refs": F.array(F.concat(F.lit("G"), (i % 40).cast("string"))),
+    })
+
+
+def wide_filter(spark, d):
+    """Routes by province, city, way of travel, shape and month at once."""
+    return _wide_routes(spark, d).where(cat.matches(province="P1", city="C1", mode="rail", shape="line", month=5)).select("id")
+
+
+def list_search(spark, d):
+    """Routes by a word in any of their lists, drafts too."""
+    return _wide_routes(spark, d).where(cat.matches(keyword="G3", lists=("provinces", "cities", "road_refs"))).select("id", "status")
+
+
+def sorted_routes(spark, d):
+    """The first thirty routes by length, and by rank, ties as they were loaded."""
+    r = _wide_routes(spark, d)
+    top = lambda sort: r.orderBy(*cat.named_sort(sort, "id")).limit(30).select("id", F.lit(sort).alias("sort"))
+    return top("km-desc").unionByName(top("layer")).unionByName(top("days-asc"))
+
+
 def _ends(spark, d):
     l = table(spark, d, "lineitem")
     pair = lambda flag: l.where(F.col("l_returnflag") == flag).select("l_partkey", "l_suppkey").distinct()
@@ -198,7 +225,7 @@ _CANON = "CASE WHEN regexp_full_match(ref, 'G\\d{4}') THEN ref WHEN regexp_full_
 _LAYERED = "lr AS (SELECT * EXCLUDE (layer), coalesce(layer, CASE WHEN tier = 'national' THEN 'L1' WHEN tier = 'regional' THEN 'L2' WHEN CASE WHEN days > 0 THEN days ELSE 2 END <= 2 THEN 'L4' ELSE 'L3' END) AS layer FROM routes)"
 
 QUERIES = {
-    f.__name__: f for f in (route_search, route_filter, route_layers, route_recommended, route_page, route_facets, route_layer_counts, corpus_overview, ref_classes, ref_canonical, ref_keys, ref_lists, road_register, census,
+    f.__name__: f for f in (wide_filter, list_search, sorted_routes, route_search, route_filter, route_layers, route_recommended, route_page, route_facets, route_layer_counts, corpus_overview, ref_classes, ref_canonical, ref_keys, ref_lists, road_register, census,
                             network_stats, train_classes, search_scores, suggest, months, merged_records, codeshares, exact_dedupe, shared_boards, both_ends, only_one_end, eta_errors, catalogue_issues)
 }
 
@@ -240,6 +267,9 @@ SELECT l_partkey, first(q ORDER BY prio) FILTER (WHERE q IS NOT NULL) AS quantit
 r AS (SELECT *, row_number() OVER (PARTITION BY day, priority ORDER BY (price IS NOT NULL)::INT + (status IS NOT NULL)::INT + CASE WHEN price > 0 THEN 5 ELSE 0 END DESC, no) AS nr FROM o)
 SELECT day, priority, max(no) FILTER (WHERE nr = 1) AS no, max(price) FILTER (WHERE nr = 1) AS price, max(status) FILTER (WHERE nr = 1) AS status, coalesce(string_agg(no, ',' ORDER BY no) FILTER (WHERE nr > 1), '') AS variants FROM r GROUP BY 1, 2""",
     "exact_dedupe": with_tables(["spots"], "SELECT * EXCLUDE (nr) FROM (SELECT CAST(floor(lng) AS BIGINT) AS x, CAST(floor(lat) AS BIGINT) AS y, id, score, row_number() OVER (PARTITION BY floor(lng), floor(lat) ORDER BY score DESC, id) AS nr FROM spots) WHERE nr = 1"),
+    "wide_filter": with_tables(["routes"], "SELECT id FROM routes WHERE status = 'published' AND (id % 5 = 1 OR id % 3 = 1) AND ((id % 4 <> 0 AND id % 6 = 1) OR anchor_city = 'C1') AND id % 3 = 1 AND id % 2 = 1 AND 5 BETWEEN id % 6 + 1 AND id % 6 + 4"),
+    "list_search": with_tables(["routes"], "SELECT id, status FROM routes WHERE contains(name, 'G3') OR contains(anchor_city, 'G3') OR contains(tag, 'G3') OR id % 40 = 3 OR id % 40 BETWEEN 30 AND 39"),
+    "sorted_routes": with_tables(["routes"], "SELECT id, 'km-desc' AS sort FROM (SELECT id FROM routes ORDER BY total_km DESC, id LIMIT 30) UNION ALL SELECT id, 'layer' FROM (SELECT id FROM routes ORDER BY editor_rank, total_km DESC, id LIMIT 30) UNION ALL SELECT id, 'days-asc' FROM (SELECT id FROM routes ORDER BY days NULLS FIRST, id LIMIT 30)"),
     "shared_boards": "WITH b AS (SELECT DISTINCT l_orderkey AS board, l_partkey AS part FROM lineitem), n AS (SELECT part, count(*) AS boards FROM b GROUP BY 1), o AS (SELECT a.board, count(DISTINCT c.board) AS also_in FROM b a JOIN b c ON a.part = c.part AND a.board <> c.board GROUP BY 1) SELECT board, count(*) FILTER (WHERE boards > 1) AS shared, coalesce(any_value(also_in), 0) AS also_in FROM b JOIN n USING (part) LEFT JOIN o USING (board) GROUP BY 1",
     "both_ends": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
     "only_one_end": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
