@@ -16,20 +16,32 @@ INSIDE_TAGS = "(?i)^(CN|CHN|China|PRC|HK|MO|TW|中国|中华人民共和国|中
 NAME_ENDINGS = "(国家考古遗址公园|考古遗址公园|国家地质公园|地质公园|森林公园|国家公园|风景名胜区|风景区|景区|博物院|博物馆|纪念馆|美术馆|展览馆|陈列馆|观光厅|观景台|觀景台|瞭望台|瞭望點|主峰|峰)$"
 ISLANDS = ((118.2, 24.16, 118.55, 24.55), (119.85, 25.9, 120.55, 26.45))
 BAND = ((80.0, 26.2, 88.35, 28.15), (88.35, 26.4, 92.2, 27.72))
+#: Words of names beyond the border band, whole words in any case.
+FOREIGN_WORDS = ("Nepal", "Kathmandu", "Pokhara", "Namche", "Lukla", "Sikkim", "Gangtok", "Thimphu", "Paro", "Hanuman", "Chorten", "Melamchi", "Lobuche", "Kongma", "Chukhung", "Everest viewpoint", "Haa valley", "Bahrabise", "Nasim Pati")
 CJK = "[一-鿿]"
 #: Categories of peaks, whose neighbours of a like name are one family.
 PEAKS = ("nature.mountain", "nature.canyon")
 
 
 def admissible(lng: Column, lat: Column, name: Column, country: Column) -> Column:
-    """Inside the land box, off the islands, no other country's tag, and a local name in the border band."""
+    """Inside the land box, off the islands, no other country's tag, and a local name in the border band or with a word from beyond it.
+
+    The northern edges of the band and the line between its two boxes belong to what lies north and east.
+    """
     inside = geo.in_box(lng, lat)
     for box in ISLANDS:
         inside = inside & ~geo.in_box(lng, lat, box)
-    band = geo.in_box(lng, lat, BAND[0]) | geo.in_box(lng, lat, BAND[1])
+    west, east = BAND
+    band = ((lng >= west[0]) & (lng < west[2]) & (lat >= west[1]) & (lat < west[3])) | ((lng >= east[0]) & (lng <= east[2]) & (lat >= east[1]) & (lat < east[3]))
+    foreign = F.coalesce(name.rlike(rf"(?i)\b({'|'.join(FOREIGN_WORDS)})\b"), F.lit(False))
     local = F.coalesce(name.rlike(CJK), F.lit(False))
     home = F.coalesce(country, F.lit("")) == ""
-    return inside & (home | F.coalesce(F.trim(country).rlike(INSIDE_TAGS), F.lit(False))) & (~band | local)
+    return inside & (home | F.coalesce(F.trim(country).rlike(INSIDE_TAGS), F.lit(False))) & (~(band | foreign) | local)
+
+
+def split_by_land(spots: DataFrame) -> DataFrame:
+    """Add kept, whether a spot is admitted, so that what is dropped can be told too. spots: lng, lat, name, country; without coordinates none is kept."""
+    return spots.withColumn("kept", F.coalesce(admissible(F.col("lng"), F.col("lat"), F.col("name"), F.col("country")), F.lit(False)))
 
 
 def core_name(name: Column) -> Column:

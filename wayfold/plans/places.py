@@ -19,6 +19,13 @@ def admitted(spark, d):
     return s.where(poi.admissible(F.col("lng"), F.col("lat"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("山"), F.col("name"))).otherwise(F.col("name")), country)).select("id")
 
 
+def land_split(spark: SparkSession, d: str) -> DataFrame:
+    """Points by whether they are admitted, some of them with names from beyond the border."""
+    i = F.col("id")
+    name = F.when(i % 9 == 0, "Paro gate").when(i % 9 == 1, "Paro 门").when(i % 9 == 2, "Parochial hall").otherwise(F.col("name"))
+    return poi.split_by_land(derived(spark, d, "spots").select("id", "lng", "lat", name.alias("name"), F.when(i % 11 == 0, "Nepal").alias("country"))).select("id", "kept")
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
     """Spots drawn together, a few names among many."""
     s = derived(spark, d, "spots")
@@ -186,7 +193,7 @@ def box_overlaps(spark, d):
 
 
 QUERIES = {
-    f.__name__: f for f in (admitted, poi_groups, poi_best, station_merge, cascade, orphan_chains, coverage, whole_trips, stop_gates, segment_gates, network_gates, key_issues, chapters, chapter_widths, clock_durations, board_intersection,
+    f.__name__: f for f in (admitted, land_split, poi_groups, poi_best, station_merge, cascade, orphan_chains, coverage, whole_trips, stop_gates, segment_gates, network_gates, key_issues, chapters, chapter_widths, clock_durations, board_intersection,
                             direct_or_retro, meteors, sunrises, road_paths, od_slices, box_overlaps)
 }
 
@@ -209,7 +216,9 @@ en AS (SELECT line_id, max(cum_b - cum_a) AS jump, max(cum_b) AS length, arg_min
 SELECT line_id, CASE WHEN greatest({hav('ax', 'ay', 'x0', 'y0')}, {hav('bx', 'bby', 'x1', 'y1')}) > 12 THEN 'od_anchor' WHEN off > 10 THEN 'stop_off_path' WHEN back > 0 THEN 'backtrack' WHEN jump > 60 THEN 'jump'
 WHEN chord >= 50 AND (length / chord < 1 OR length / chord > 1.7) THEN 'length_ratio' ELSE 'ok' END AS stage FROM per JOIN en USING (line_id)"""),
     "admitted": with_tables(["spots"], """SELECT id FROM spots WHERE lng BETWEEN 73.5 AND 134.77 AND lat BETWEEN 17.5 AND 53.56 AND NOT (lng BETWEEN 118.2 AND 118.55 AND lat BETWEEN 24.16 AND 24.55) AND NOT (lng BETWEEN 119.85 AND 120.55 AND lat BETWEEN 25.9 AND 26.45)
-AND id % 7 <> 0 AND (id % 2 = 0 OR NOT ((lng BETWEEN 80 AND 88.35 AND lat BETWEEN 26.2 AND 28.15) OR (lng BETWEEN 88.35 AND 92.2 AND lat BETWEEN 26.4 AND 27.72)))"""),
+AND id % 7 <> 0 AND (id % 2 = 0 OR NOT ((lng >= 80 AND lng < 88.35 AND lat >= 26.2 AND lat < 28.15) OR (lng >= 88.35 AND lng <= 92.2 AND lat >= 26.4 AND lat < 27.72)))"""),
+    "land_split": with_tables(["spots"], """SELECT id, lng BETWEEN 73.5 AND 134.77 AND lat BETWEEN 17.5 AND 53.56 AND NOT (lng BETWEEN 118.2 AND 118.55 AND lat BETWEEN 24.16 AND 24.55) AND NOT (lng BETWEEN 119.85 AND 120.55 AND lat BETWEEN 25.9 AND 26.45)
+AND id % 11 <> 0 AND (id % 9 = 1 OR NOT (id % 9 = 0 OR (lng >= 80 AND lng < 88.35 AND lat >= 26.2 AND lat < 28.15) OR (lng >= 88.35 AND lng <= 92.2 AND lat >= 26.4 AND lat < 27.72))) AS kept FROM spots"""),
     "poi_groups": with_tables(["spots"], f'{_GROUPS} SELECT id, "group" FROM gr').replace("WITH spots", "WITH RECURSIVE spots", 1),
     "poi_best": with_tables(["spots"], f'{_GROUPS}, b AS (SELECT nm.*, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, length(name), id) AS nr FROM nm JOIN gr USING (id)) SELECT id, name, score FROM b WHERE nr = 1').replace("WITH spots", "WITH RECURSIVE spots", 1),
     "station_merge": """WITH f AS (SELECT s_name AS name, s_suppkey AS k, unnest(range(1, s_suppkey % 3 + 2)) AS nr FROM supplier WHERE s_suppkey % 5 <> 1), g AS (SELECT name, k, 100 + nr * CASE WHEN k % 2 = 0 THEN 0.001 ELSE 0.1 END AS lng FROM f),
