@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.functions.geo import KM_PER_LAT, cell, haversine_km
+from wayfold.functions.geo import haversine_km
 from wayfold.functions.names import same_station
+from wayfold.operators.corridors import near_segments
 from wayfold.operators.lines import at_km, line_stats, segments, with_cum_km
-from wayfold.operators.spatial import nearest_segment, segment_cells
+from wayfold.operators.spatial import nearest_segment
 from wayfold.sources.scratch import stored
 
 #: Km within which a stop counts as on the line, an end does, an end of another name is at the line's end; progress between which it is midway.
@@ -50,12 +51,9 @@ def _rivals(stops: DataFrame, stations: DataFrame) -> DataFrame:
     return apart.join(own, ["corridor", "_n"], "left_anti").select("name", "corridor")
 
 
-def _projected(stops: DataFrame, rails: DataFrame, km: float) -> DataFrame:
+def _projected(stops: DataFrame, rails: DataFrame, km: float, window_deg: float | None = None) -> DataFrame:
     """Stops with a place within a distance of corridors: trip, idx, corridor, off (km), along (km)."""
-    size = max(0.05, 2 * km / KM_PER_LAT)
-    s = stops.where("lng IS NOT NULL AND lat IS NOT NULL").select(F.struct("trip", "idx").alias("id"), "lng", "lat")
-    s = s.withColumns({"cx": cell(F.col("lng"), -180.0, size), "cy": cell(F.col("lat"), -90.0, size)})
-    pairs = s.join(segment_cells(segments(rails.withColumnRenamed("corridor", "line_id")), km, size), ["cx", "cy"])
+    pairs = near_segments(stops, rails, km, window_deg)
     near = nearest_segment(pairs, ["line_id", "id"], ["lng", "lat"], rounded=False).where(F.col("dist_km") <= km)
     return near.select("id.trip", "id.idx", F.col("line_id").alias("corridor"), F.col("dist_km").alias("off"), F.col("along_km").alias("along"))
 
@@ -65,7 +63,7 @@ def _tips(rails: DataFrame) -> DataFrame:
     return rails.groupBy("corridor").agg(F.min_by(place, "seq").alias("s"), F.max_by(place, "seq").alias("t"), F.count("*").alias("points"))
 
 
-def match_scores(stops: DataFrame, rails: DataFrame, stations: DataFrame) -> DataFrame:
+def match_scores(stops: DataFrame, rails: DataFrame, stations: DataFrame, window_deg: float | None = None) -> DataFrame:
     """Score corridors for trips: trip, corridor, score, hits, points. stops: trip, idx, name, lng, lat; rails: corridor, seq, lng, lat; stations: corridor, pos, name.
 
     Both end stops must belong to the corridor: by name, or within 15 km of the line; a stop whose town has a station of another side there counts only
@@ -75,7 +73,7 @@ def match_scores(stops: DataFrame, rails: DataFrame, stations: DataFrame) -> Dat
     stops = stored(stops.select("trip", F.col("idx").cast("int").alias("idx"), "name", "lng", "lat"), "stops")
     length = line_stats(rails.withColumnRenamed("corridor", "line_id")).select(F.col("line_id").alias("corridor"), "length_km")
     enough = stations.groupBy("corridor").agg(F.countDistinct("name").alias("_names")).where("_names > 1").select("corridor")
-    near = stored(_projected(stops, rails, FIT_KM).join(enough, "corridor", "left_semi"), "near")
+    near = stored(_projected(stops, rails, FIT_KM, window_deg).join(enough, "corridor", "left_semi"), "near")
     named = stops.select("trip", "idx", "name").join(like_names(stops, stations), "name").join(stations.select("corridor", F.col("name").alias("station")), "station").select("trip", "idx", "corridor").distinct().join(enough, "corridor", "left_semi")
     named = stored(named.withColumn("named", F.lit(True)), "named")
     ends = stops.groupBy("trip").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n")).where("first < last")

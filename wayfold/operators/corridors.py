@@ -24,14 +24,25 @@ GOAL_STALE, STALE, WEAK_START, NO_START = 120.0, 850.0, 220.0, 500.0
 
 
 def _near_pairs(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
-    """Join points with those of other corridors with greater ids within a distance: a, b, km, a_pt, b_pt. a, b: corridor, lng, lat."""
-    size = km / KM_PER_LAT
-    pad = F.lit(km) / (KM_PER_LNG * 0.99 * F.cos(F.radians(F.least(F.abs("lat") + 2 * size, F.lit(88.0)))))
-    around = lambda c, d: F.explode(F.sequence(cell(F.col(c) - d, -180.0, size), cell(F.col(c) + d, -180.0, size)))
-    own = a.select(F.col("corridor").alias("a"), "lng", "lat").withColumn("x", around("lng", pad)).withColumn("y", around("lat", F.lit(size)))
-    other = b.select(F.col("corridor").alias("b"), F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat"), cell(F.col("lng"), -180.0, size).alias("x"), cell(F.col("lat"), -180.0, size).alias("y"))
+    """Join points with those of other corridors with greater ids within a distance: a, b, km, a_pt, b_pt. a, b: corridor, lng, lat.
+
+    Columns of cells are as wide as the distance at their row's edge nearest to a pole, so neighbours suffice; rows next to a pole have one column.
+    Both sides are shuffled: what a point's cells make of a small table is no small table.
+    """
+    size = 1.1 * km / KM_PER_LAT
+    cosine = lambda y: F.cos(F.radians(y * size))
+    column = F.when(F.col("_e") < 0.001, 0).otherwise(F.floor(F.col("lng") * F.col("_e") * (KM_PER_LNG * 0.98 / km))).cast("long")
+    row = F.floor(F.col("lat") / size).cast("long")
+
+    def columns(df: DataFrame) -> DataFrame:
+        c = df.withColumns({"_c0": cosine(F.col("y")), "_c1": cosine(F.col("y") + 1)})
+        return c.withColumn("_e", F.when(F.col("_c0") * F.col("_c1") <= 0, 0.0).otherwise(F.least(F.abs("_c0"), F.abs("_c1")))).withColumn("x", column)
+
+    own = columns(a.select(F.col("corridor").alias("a"), "lng", "lat", F.explode(F.sequence(row - 1, row + 1)).alias("y")))
+    own = own.select("a", "lng", "lat", "y", F.explode(F.when(F.col("_e") < 0.001, F.array("x")).otherwise(F.sequence(F.col("x") - 1, F.col("x") + 1))).alias("x"))
+    other = columns(b.select(F.col("corridor").alias("b"), F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat"), "lng", row.alias("y"))).select("b", "o_lng", "o_lat", "x", "y")
     d = haversine_km(F.col("lng"), F.col("lat"), F.col("o_lng"), F.col("o_lat"))
-    j = own.join(other, ["x", "y"]).where("a < b").withColumn("km", F.round(d, 9)).where(F.col("km") <= km)
+    j = own.hint("merge").join(other, ["x", "y"]).where("a < b").withColumn("km", F.round(d, 9)).where(F.col("km") <= km)
     return j.select("a", "b", "km", F.struct("lng", "lat").alias("a_pt"), F.struct(F.col("o_lng").alias("lng"), F.col("o_lat").alias("lat")).alias("b_pt"))
 
 
@@ -59,13 +70,24 @@ def hub_links(rails: DataFrame, stations: DataFrame, ends_km: float = ENDS_KM, c
     return found.unionByName(nearest(_near_pairs(rails, rails, cross_km), "cross", found))
 
 
-def on_corridors(stops: DataFrame, rails: DataFrame, stations: DataFrame, km: float) -> DataFrame:
-    """Return trip, idx, corridor where a stop's name is a station of the corridor or the stop lies within a distance of its line."""
-    named = stops.select("trip", "idx", "name").join(stations.select("corridor", "name"), "name").select("trip", "idx", "corridor")
+def near_segments(stops: DataFrame, rails: DataFrame, km: float, window_deg: float | None = None) -> DataFrame:
+    """Pairs of stops (id: trip, idx) and segments of corridors (line_id) in cells within a distance; with a window only segments that begin less than so many degrees away.
+
+    Both sides are shuffled, as cells make many rows of a small table.
+    """
     size = max(0.05, 2 * km / KM_PER_LAT)
     s = stops.where("lng IS NOT NULL AND lat IS NOT NULL").select(F.struct("trip", "idx").alias("id"), "lng", "lat")
     s = s.withColumns({"cx": cell(F.col("lng"), -180.0, size), "cy": cell(F.col("lat"), -90.0, size)})
-    pairs = s.join(segment_cells(segments(rails.withColumnRenamed("corridor", "line_id")), km, size), ["cx", "cy"])
+    pairs = s.hint("merge").join(segment_cells(segments(rails.withColumnRenamed("corridor", "line_id")), km, size), ["cx", "cy"])
+    if window_deg is None:
+        return pairs
+    return pairs.where((F.abs(F.col("lat") - F.col("a_lat")) < window_deg) & (F.abs(F.col("lng") - F.col("a_lng")) < window_deg))
+
+
+def on_corridors(stops: DataFrame, rails: DataFrame, stations: DataFrame, km: float, window_deg: float | None = None) -> DataFrame:
+    """Return trip, idx, corridor where a stop's name is a station of the corridor or the stop lies within a distance of its line, in the window of near_segments."""
+    named = stops.select("trip", "idx", "name").join(stations.select("corridor", "name"), "name").select("trip", "idx", "corridor")
+    pairs = near_segments(stops, rails, km, window_deg)
     near = nearest_segment(pairs, ["line_id", "id"], ["lng", "lat"]).where(F.col("dist_km") <= km)
     return named.unionByName(near.select("id.trip", "id.idx", F.col("line_id").alias("corridor"))).distinct()
 
@@ -119,7 +141,7 @@ def _changes(links: DataFrame, rails: DataFrame, stations: DataFrame) -> DataFra
     return both.select("a", "b", "kind", "hub", "km", at.alias("pt"), F.coalesce(F.col("_a_tip") | F.col("_b_tip"), F.lit(False)).alias("tip"))
 
 
-def cheapest_chains(stops: DataFrame, rails: DataFrame, stations: DataFrame, links: DataFrame, end_km: float = END_KM, mid_km: float = MID_KM, bridge_km: float = BRIDGE_KM, hops: int = MOST_HOPS) -> DataFrame:
+def cheapest_chains(stops: DataFrame, rails: DataFrame, stations: DataFrame, links: DataFrame, end_km: float = END_KM, mid_km: float = MID_KM, bridge_km: float = BRIDGE_KM, hops: int = MOST_HOPS, window_deg: float | None = None) -> DataFrame:
     """Return each trip's cheapest chain of two to eight corridors from its first stop to its last: trip, cost, hops, corridors, hubs.
 
     Cost: the great-circle way from the first stop over the places of change to the last; changes (a hub that the stops call for 0, at a
@@ -134,10 +156,10 @@ def cheapest_chains(stops: DataFrame, rails: DataFrame, stations: DataFrame, lin
     if it can still reach the goal within the hops.
     """
     stops = stored(stops.select("trip", F.col("idx").cast("int").alias("idx"), "name", "lng", "lat"), "stops")
-    mid = stored(on_corridors(stops, rails, stations, mid_km), "mid")
+    mid = stored(on_corridors(stops, rails, stations, mid_km, window_deg), "mid")
     ends = stops.groupBy("trip").agg(F.min_by(F.struct("idx", "lng", "lat"), "idx").alias("s"), F.max_by(F.struct("idx", "lng", "lat"), "idx").alias("t"))
     ends = stored(ends.select("trip", F.col("s.idx").alias("first"), F.col("t.idx").alias("last"), F.struct("s.lng", "s.lat").alias("start"), F.struct("t.lng", "t.lat").alias("goal")), "ends")
-    terminal = on_corridors(stops.join(ends.select("trip", "first", "last"), "trip").where("idx = first OR idx = last").select("trip", "idx", "name", "lng", "lat"), rails, stations, end_km)
+    terminal = on_corridors(stops.join(ends.select("trip", "first", "last"), "trip").where("idx = first OR idx = last").select("trip", "idx", "name", "lng", "lat"), rails, stations, end_km, window_deg)
     terminal = stored(terminal.join(ends.select("trip", "first", "last"), "trip"), "terminal")
     goals = terminal.where("idx = last").select("trip", "corridor").distinct()
     covers = mid.groupBy("trip", "corridor").agg(F.sort_array(F.collect_set("idx")).alias("on"))
