@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,36 +51,107 @@ def core_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", ""), NAME_ENDINGS, "")
 
 
-def near_duplicates(spots: DataFrame, size: float = 0.025) -> DataFrame:
+def _parts(core: Column, lengths: list[int]) -> Column:
+    """All parts of a name of certain lengths, shorter than the name."""
+    n = F.char_length(core)
+
+    def of(k: int) -> Column:
+        return F.when(n > k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(core, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*[of(k) for k in lengths])))
+
+
+def _buckets(s: DataFrame, size: float, by: list[str]) -> DataFrame:
+    """Gather spots of one name in a cell: its number b (the least id) and its box; size 0 gathers spots in one place."""
+    x, y = (geo.cell(F.col("lng"), -180.0, size), geo.cell(F.col("lat"), -90.0, size)) if size else (F.col("lng"), F.col("lat"))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("lng", "lat") for n, f in (("lo", F.min), ("hi", F.max))]
+    return s.groupBy(*by, x.alias("cx"), y.alias("cy")).agg(F.min("id").alias("b"), *ends)
+
+
+def _gaps(pairs: DataFrame) -> DataFrame:
+    """Add near and far, bounds in km of the distances between the spots of two buckets; of two places both are the distance itself."""
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(f"o_hi_{c}"), F.col(f"o_lo_{c}") - F.col(f"hi_{c}"))
+    span = lambda c: F.greatest(f"hi_{c}", f"o_hi_{c}") - F.least(f"lo_{c}", f"o_lo_{c}")
+    north = F.greatest(*[F.abs(c) for c in ("lo_lat", "hi_lat", "o_lo_lat", "o_hi_lat")])
+    south = F.least(*[F.abs(c) for c in ("lo_lat", "hi_lat", "o_lo_lat", "o_hi_lat")])
+    south = F.when(F.least("lo_lat", "o_lo_lat") * F.greatest("hi_lat", "o_hi_lat") <= 0, 0.0).otherwise(south)
+    deg = geo.EARTH_KM * math.pi / 180
+    flat = lambda x, y, lat: F.sqrt(F.pow(x * F.cos(F.radians(lat)), 2) + F.pow(y, 2)) * deg
+    exact = geo.haversine_km(F.col("lo_lng"), F.col("lo_lat"), F.col("o_lo_lng"), F.col("o_lo_lat"))
+    single = (F.col("lo_lng") == F.col("hi_lng")) & (F.col("lo_lat") == F.col("hi_lat")) & (F.col("o_lo_lng") == F.col("o_hi_lng")) & (F.col("o_lo_lat") == F.col("o_hi_lat"))
+    return pairs.withColumns({"near": F.when(single, exact).otherwise(flat(gap("lng"), gap("lat"), north) * 0.999), "far": F.when(single, exact).otherwise(flat(span("lng"), span("lat"), south) * 1.001)})
+
+
+def near_duplicates(spots: DataFrame, size: float = 0.0125) -> DataFrame:
     """Group spots that are the same place: id, group (least id), by transitive closure over pairs in neighbouring cells.
 
     A pair is one place with equal names within 2 km, equal core names within 1.5 km, or a core name
     of three letters or more inside the other's within 1 km; where spots have a category, also two peaks with
     one's core name of two letters or more inside the other's within 2.5 km. spots: id, name, lng, lat, and category if known.
+
+    Spots of one name in a cell, which is under 2 km across, are one place without comparing them. Of two such buckets with like names the boxes
+    tell most: all within the distance, or none. Only what they leave open, and what is not yet one place by other ways, is compared in
+    smaller cells, in the end place by place, so many spots in one area make no pairs of all. Like names meet by equal core names, or by a core name's parts.
     """
     peak = F.coalesce(F.col("category").isin(*PEAKS), F.lit(False)) if "category" in spots.columns else F.lit(False)
     s = spots.where(geo.in_box(F.col("lng"), F.col("lat"), (-180.0, -80.0, 180.0, 80.0))).select("id", F.regexp_replace("name", r"\s+", "").alias("name"), core_name(F.col("name")).alias("core"), "lng", "lat", peak.alias("peak"))
-    s = s.withColumns({"cx": geo.cell(F.col("lng"), -180.0, size), "cy": geo.cell(F.col("lat"), -90.0, size)})
+    s = s.where("name <> ''")
+    top = ["name", "core", "peak"]
+    buckets = stored(_buckets(s, size, top), "buckets")
+
+    core = buckets.where(F.char_length("core") >= 2).select("core").distinct()
+    lengths = sorted(r[0] for r in core.select(F.char_length("core")).distinct().collect())  # so many as there are lengths of names
+    inner = core.select("core", F.explode(_parts(F.col("core"), lengths)).alias("part")).join(core.select(F.col("core").alias("part")), "part") if lengths else None
     # Cells shrink towards the poles: as many neighbours to either side as the farthest rule may reach.
-    reach = F.ceil(2.5 / (geo.KM_PER_LNG * F.cos(F.radians(F.col("lat"))) * size)).cast("int")
-    left = s.withColumn("cx", F.explode(F.transform(F.sequence(-reach, reach), lambda i: F.col("cx") + i)))
-    left = left.withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])))
-    right = s.select("cx", "cy", *[F.col(c).alias(f"{c}_b") for c in ("id", "name", "core", "lng", "lat", "peak")])
-    pairs = left.join(right, ["cx", "cy"]).where("id < id_b").withColumn("km", geo.haversine_km(F.col("lng"), F.col("lat"), F.col("lng_b"), F.col("lat_b")))
-    long = (F.char_length("core") >= 3) & (F.char_length("core_b") >= 3)
-    same = ((F.col("name") == F.col("name_b")) & (F.col("name") != "") & (F.col("km") <= 2)) | ((F.col("core") == F.col("core_b")) & (F.char_length("core") >= 2) & (F.col("km") <= 1.5))
-    same = same | (long & (F.col("km") <= 1) & (F.col("core").contains(F.col("core_b")) | F.col("core_b").contains(F.col("core"))))
-    family = F.col("peak") & F.col("peak_b") & (F.col("km") <= 2.5) & (F.char_length("core") >= 2) & (F.char_length("core_b") >= 2)
-    same = same | (family & (F.col("core").contains(F.col("core_b")) | F.col("core_b").contains(F.col("core"))))
-    labels = components(pairs.where(same), "id", "id_b")
-    return spots.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("group"))
+    reach = F.ceil(2.5 / (geo.KM_PER_LNG * 0.99 * F.cos(F.radians(F.greatest(F.abs("lo_lat"), F.abs("hi_lat")) + 0.05)) * size)).cast("int")
+    left = buckets.withColumn("cx", F.explode(F.transform(F.sequence(-reach, reach), lambda i: F.col("cx") + i)))
+    left = left.withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-2, -1, 0, 1, 2)])))
+    right = buckets.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in buckets.columns if c not in ("cx", "cy")])
+    equal = left.hint("merge").join(right.withColumn("core", F.col("o_core")), ["core", "cx", "cy"]).where("b < o_b")
+    peaks = F.col("peak") & F.col("o_peak") & (F.char_length("core") >= 2) & (F.char_length("o_core") >= 2)
+    km = F.when(F.col("name") == F.col("o_name"), 2.0).when(F.char_length("core") >= 2, 1.5).otherwise(0.0)
+    cols = ["b", "o_b", *[f"{o}{n}_{c}" for o in ("", "o_") for c in ("lng", "lat") for n in ("lo", "hi")], "km"]
+    pairs = equal.withColumn("km", F.when(peaks, 2.5).otherwise(km)).select(*cols)
+    if inner is not None:
+        within = left.hint("merge").join(inner, "core").hint("merge").join(right.withColumn("part", F.col("o_core")), ["part", "cx", "cy"])
+        long = (F.char_length("core") >= 3) & (F.char_length("o_core") >= 3)
+        pairs = pairs.unionByName(within.withColumn("km", F.when(peaks, 2.5).when(long, 1.0).otherwise(0.0)).select(*cols))
+    open_ = stored(_gaps(pairs.where("km > 0")).where("near <= km"), "pairs")
+    links = stored(open_.where("far <= km").select(F.col("b").alias("lo"), F.col("o_b").alias("hi")), "links")
+    open_, parents = open_.where("far > km").select(F.struct("b", "o_b").alias("pair"), "b", "o_b", "km"), None
+    for finer in (size / 8, 0.0):
+        label = components(links)
+        named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))  # noqa: B023, E731
+        rest = open_.join(named("b"), "b", "left").join(named("o_b"), "o_b", "left").where(F.coalesce("l_b", "b") != F.coalesce("l_o_b", "o_b")).select("b", "o_b", "km")
+        rest = stored(rest, "open")
+        if rest.isEmpty():
+            break
+        asked = rest.select(F.explode(F.array("b", "o_b")).alias("parent")).distinct()
+        home = buckets.select(*top, "cx", "cy", F.col("b").alias("parent")).join(asked, "parent", "left_semi")
+        of = s.withColumns({"cx": geo.cell(F.col("lng"), -180.0, size), "cy": geo.cell(F.col("lat"), -90.0, size)}).join(home, [*top, "cx", "cy"])
+        if parents is not None:  # the smaller cells of the last round
+            of = s.withColumns({"fx": geo.cell(F.col("lng"), -180.0, size / 8), "fy": geo.cell(F.col("lat"), -90.0, size / 8)}).join(parents.select(*top, F.col("cx").alias("fx"), F.col("cy").alias("fy"), F.col("b").alias("parent")).join(asked, "parent", "left_semi"), [*top, "fx", "fy"])
+        small = stored(_buckets(of.select(*top, "parent", "id", "lng", "lat"), finer, [*top, "parent"]), "small")
+        # Spots of one bucket are one place already; so the smaller ones stand beside it.
+        links = links.unionByName(small.where("b <> parent").select(F.col("parent").alias("lo"), F.col("b").alias("hi")))
+        one = small.drop(*top, "cx", "cy")
+        other = one.select(F.col("parent").alias("o_parent"), *[F.col(c).alias(f"o_{c}") for c in one.columns if c != "parent"])
+        j = rest.select(F.col("b").alias("parent"), F.col("o_b").alias("o_parent"), "km").join(one, "parent").join(other, "o_parent")
+        j = stored(_gaps(j).where("near <= km").select("b", "o_b", "km", "far"), "pairs")
+        links = stored(links.unionByName(j.where("far <= km").select(F.col("b").alias("lo"), F.col("o_b").alias("hi"))).distinct(), "links")
+        open_, parents = j.where("far > km").select("b", "o_b", "km"), small
+    labels = components(links)
+    own = s.withColumns({"cx": geo.cell(F.col("lng"), -180.0, size), "cy": geo.cell(F.col("lat"), -90.0, size)}).join(buckets.select(*top, "cx", "cy", "b"), [*top, "cx", "cy"]).select("id", "b")
+    own = own.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").select("id", F.coalesce("label", "b").alias("label"))
+    return spots.select("id").join(own, "id", "left").select("id", F.coalesce("label", "id").alias("group"))
 
 
 def best_of_groups(spots: DataFrame, groups: DataFrame) -> DataFrame:
-    """Keep each group's spot of the highest score; ties go to shorter names, then lower ids."""
+    """Keep each group's spot of the highest score; ties go to shorter names, then lower ids. A group of any size is no task's alone."""
     j = spots.join(groups, "id")
-    w = Window.partitionBy("group").orderBy(F.col("score").desc(), F.char_length("name"), "id")
-    return j.withColumn("_nr", F.row_number().over(w)).where("_nr = 1").drop("_nr", "group")
+    nan = F.isnan(F.col("score").cast("double"))
+    order = F.struct(F.col("score").isNull().alias("none"), (~F.coalesce(nan, F.lit(False))).alias("number"), (-F.col("score")).alias("score"), F.char_length("name").alias("long"), "id")
+    return j.groupBy("group").agg(F.min_by(F.struct(*spots.columns), order).alias("_b")).select("_b.*")
 
 
 def merge_stations(known: DataFrame, found: DataFrame, most_km: float = 2.0) -> DataFrame:
