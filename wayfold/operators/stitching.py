@@ -35,12 +35,15 @@ def connections(ways: DataFrame, within_deg: float = CONNECT_DEG) -> DataFrame:
     around = F.explode(F.array(*[F.struct((at("lng") + dx).alias("x"), (at("lat") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
     own = ends.select("way", "side", "lng", "lat", around.alias("_c")).select("way", "side", "lng", "lat", "_c.*")
     other = ends.select(F.col("way").alias("o"), F.col("side").alias("o_side"), F.col("km").alias("w"), F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat"), at("lng").alias("x"), at("lat").alias("y"))
-    j = own.join(other, ["x", "y"]).where((F.col("way") != F.col("o")) & (F.sqrt(F.pow(F.col("lng") - F.col("o_lng"), 2) + F.pow(F.col("lat") - F.col("o_lat"), 2)) < within_deg))
+    j = own.hint("merge").join(other, ["x", "y"]).where((F.col("way") != F.col("o")) & (F.sqrt(F.pow(F.col("lng") - F.col("o_lng"), 2) + F.pow(F.col("lat") - F.col("o_lat"), 2)) < within_deg))
     return j.select((2 * F.col("way") + F.col("side")).alias("node"), (2 * F.col("o") + 1 - F.col("o_side")).alias("to"), "w").distinct()
 
 
 def _nearest_vertex(places: DataFrame, points: DataFrame, snap_km: float) -> DataFrame:
-    """The nearest vertex of a way to each place, by great-circle distance, then way, then place on it: id, way, at (from 0). places: id, lng, lat."""
+    """The nearest vertex of a way to each place, by great-circle distance, then way, then place on it: id, way, at (from 0). places: id, lng, lat.
+
+    Both sides are shuffled, as cells make many rows of a small table.
+    """
     order = Window.partitionBy("way").orderBy("seq")
     v = points.dropna(subset=["way", "seq", "lng", "lat"]).withColumn("at", F.row_number().over(order) - 1)
     size = snap_km / KM_PER_LAT
@@ -48,7 +51,7 @@ def _nearest_vertex(places: DataFrame, points: DataFrame, snap_km: float) -> Dat
     around = lambda c, d: F.explode(F.sequence(cell(F.col(c) - d, -180.0, size), cell(F.col(c) + d, -180.0, size)))
     p = places.dropna().withColumn("x", around("lng", pad)).withColumn("y", around("lat", F.lit(size)))
     v = v.select("way", "at", F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat"), cell(F.col("lng"), -180.0, size).alias("x"), cell(F.col("lat"), -180.0, size).alias("y"))
-    j = p.join(v, ["x", "y"]).withColumn("km", haversine_km(F.col("lng"), F.col("lat"), F.col("o_lng"), F.col("o_lat"))).where(F.col("km") <= snap_km)
+    j = p.hint("merge").join(v, ["x", "y"]).withColumn("km", haversine_km(F.col("lng"), F.col("lat"), F.col("o_lng"), F.col("o_lat"))).where(F.col("km") <= snap_km)
     return j.groupBy("id").agg(F.min(F.struct("km", "way", "at")).alias("b")).select("id", "b.way", "b.at")
 
 
@@ -70,9 +73,9 @@ def way_paths(points: DataFrame, pairs: DataFrame, snap_km: float = SNAP_KM, wit
     both = lambda c: F.explode(F.array(2 * F.col(c), 2 * F.col(c) + 1))
     first = ends.select("a").distinct().join(ways.select(F.col("way").alias("a"), "km"), "a").select(begin("a").alias("node"), both("a").alias("to"), F.col("km").alias("w"))
     last = ends.select("b").distinct().select(both("b").alias("node"), arrive("b").alias("to"), F.lit(1.0).alias("w"))
-    arcs = stored(connections(ways, within_deg).unionByName(first).unionByName(last).withColumn("g", F.lit(0)), "arcs")
+    arcs = stored(connections(ways, within_deg).unionByName(first).unionByName(last).withColumn("g", F.lit(0)), "arcs", sort=False)
     asked = ends.where("a <> b").select(F.lit(0).alias("g"), begin("a").alias("origin"), arrive("b").alias("dest")).distinct()
-    best = stored(settle(arcs, asked), "best")
+    best = settle(arcs, asked)
     front = stored(best.withColumnRenamed("node", "dest").join(asked, ["g", "origin", "dest"]).select("origin", "dest", F.col("dest").alias("node"), "cost"), "front")
     found = None
     back = arcs.select(F.col("to").alias("node"), F.col("node").alias("_n"), "w")
