@@ -33,11 +33,11 @@ def _parts(c: Column) -> Column:
 
 
 def like_names(stops: DataFrame, stations: DataFrame) -> DataFrame:
-    """Return name, station: which stop names mean which stations. A join on parts of names, of each name once."""
+    """Return name, station: which stop names mean which stations. A join on parts of names, of each name once; both sides are shuffled, as parts are many."""
     a = stops.select("name").where("name IS NOT NULL").distinct().withColumn("_a", _plain(F.col("name"))).where("_a <> ''")
     b = stations.select(F.col("name").alias("station")).where("station IS NOT NULL").distinct().withColumn("_b", _plain(F.col("station"))).where("_b <> ''")
-    inside = a.join(b.withColumn("_a", F.explode(F.array_distinct(_parts(F.col("_b"))))), "_a").select("name", "station")
-    around = b.join(a.withColumn("_b", F.explode(F.array_distinct(_parts(F.col("_a"))))), "_b").select("name", "station")
+    inside = a.hint("merge").join(b.withColumn("_a", F.explode(F.array_distinct(_parts(F.col("_b"))))), "_a").select("name", "station")
+    around = b.hint("merge").join(a.withColumn("_b", F.explode(F.array_distinct(_parts(F.col("_a"))))), "_b").select("name", "station")
     return inside.unionByName(around).distinct().where(same_station(F.col("name"), F.col("station")))
 
 
@@ -46,7 +46,7 @@ def _rivals(stops: DataFrame, stations: DataFrame) -> DataFrame:
     stem = lambda c: F.regexp_replace(c, _SIDE, "")
     a = stops.select("name").where("name IS NOT NULL").distinct().withColumn("_n", _plain(F.col("name"))).withColumn("_stem", stem(F.col("_n"))).where(F.char_length("_stem") >= 2)
     b = stations.select("corridor", _plain(F.col("name")).alias("_h")).withColumn("_stem", stem(F.col("_h")))
-    apart = a.join(b, "_stem").where((F.col("_n") != F.col("_h")) & (F.col("_n").rlike(_SIDE) | F.col("_h").rlike(_SIDE))).select("name", "_n", "corridor").distinct()
+    apart = a.hint("merge").join(b, "_stem").where((F.col("_n") != F.col("_h")) & (F.col("_n").rlike(_SIDE) | F.col("_h").rlike(_SIDE))).select("name", "_n", "corridor").distinct()
     own = b.select("corridor", F.col("_h").alias("_n"))
     return apart.join(own, ["corridor", "_n"], "left_anti").select("name", "corridor")
 
@@ -70,6 +70,7 @@ def match_scores(stops: DataFrame, rails: DataFrame, stations: DataFrame, window
     at the line's end or midway on it. The score is 0.65 of the share of placed stops on the line and 0.35 of the share of named ones. Where a fifth of the
     stops have such rivals and few have names of the line, it is ruled out, and so is a corridor with little of either.
     """
+    rails, stations = rails.hint("merge"), stations.hint("merge")  # they grow with the input, however small their files are
     stops = stored(stops.select("trip", F.col("idx").cast("int").alias("idx"), "name", "lng", "lat"), "stops")
     length = line_stats(rails.withColumnRenamed("corridor", "line_id")).select(F.col("line_id").alias("corridor"), "length_km")
     enough = stations.groupBy("corridor").agg(F.countDistinct("name").alias("_names")).where("_names > 1").select("corridor")
@@ -124,6 +125,7 @@ def slices(stops: DataFrame, chosen: DataFrame, rails: DataFrame, stations: Data
     off the line put on. Verdicts: trip, corridor, stage: ok, no_end, off_line, no_length, stops (fewer than 55 in 100 within 40 km of the slice) or
     length (under 45 in 100 of the way over the stops, if that is over 80 km). Only ok trips have points.
     """
+    rails, stations = rails.hint("merge"), stations.hint("merge")
     order = Window.partitionBy("corridor")
     st = stations.withColumns({"_i": F.row_number().over(order.orderBy("pos")), "_n": F.count("*").over(order)})
     tips = _tips(rails)

@@ -56,7 +56,7 @@ def hub_links(rails: DataFrame, stations: DataFrame, ends_km: float = ENDS_KM, c
     s = stations.withColumn("tip", (F.col("pos") == F.min("pos").over(last)) | (F.col("pos") == F.max("pos").over(last)))
     a = s.select(F.col("corridor").alias("a"), "name", F.col("tip").alias("_a"))
     b = s.select(F.col("corridor").alias("b"), "name", F.col("tip").alias("_b"), "pos")
-    shared = a.join(b, "name").where("a < b").groupBy("a", "b").agg(F.min_by("name", F.struct((~(F.col("_a") | F.col("_b"))).alias("inner"), "pos")).alias("hub"))
+    shared = a.hint("merge").join(b, "name").where("a < b").groupBy("a", "b").agg(F.min_by("name", F.struct((~(F.col("_a") | F.col("_b"))).alias("inner"), "pos")).alias("hub"))
     point = F.struct(F.lit(None).cast("double").alias("lng"), F.lit(None).cast("double").alias("lat"))
     hubs = stored(shared.select("a", "b", F.lit("hub").alias("kind"), "hub", F.lit(0.0).alias("km"), point.alias("a_pt"), point.alias("b_pt")), "hubs")
 
@@ -78,7 +78,7 @@ def near_segments(stops: DataFrame, rails: DataFrame, km: float, window_deg: flo
     size = max(0.05, 2 * km / KM_PER_LAT)
     s = stops.where("lng IS NOT NULL AND lat IS NOT NULL").select(F.struct("trip", "idx").alias("id"), "lng", "lat")
     s = s.withColumns({"cx": cell(F.col("lng"), -180.0, size), "cy": cell(F.col("lat"), -90.0, size)})
-    pairs = s.hint("merge").join(segment_cells(segments(rails.withColumnRenamed("corridor", "line_id")), km, size), ["cx", "cy"])
+    pairs = s.hint("merge").join(segment_cells(segments(rails.withColumnRenamed("corridor", "line_id")), km, size, window_deg), ["cx", "cy"])
     if window_deg is None:
         return pairs
     return pairs.where((F.abs(F.col("lat") - F.col("a_lat")) < window_deg) & (F.abs(F.col("lng") - F.col("a_lng")) < window_deg))
@@ -86,7 +86,7 @@ def near_segments(stops: DataFrame, rails: DataFrame, km: float, window_deg: flo
 
 def on_corridors(stops: DataFrame, rails: DataFrame, stations: DataFrame, km: float, window_deg: float | None = None) -> DataFrame:
     """Return trip, idx, corridor where a stop's name is a station of the corridor or the stop lies within a distance of its line, in the window of near_segments."""
-    named = stops.select("trip", "idx", "name").join(stations.select("corridor", "name"), "name").select("trip", "idx", "corridor")
+    named = stops.select("trip", "idx", "name").hint("merge").join(stations.select("corridor", "name"), "name").select("trip", "idx", "corridor")
     pairs = near_segments(stops, rails, km, window_deg)
     near = nearest_segment(pairs, ["line_id", "id"], ["lng", "lat"]).where(F.col("dist_km") <= km)
     return named.unionByName(near.select("id.trip", "id.idx", F.col("line_id").alias("corridor"))).distinct()
@@ -133,7 +133,7 @@ def _changes(links: DataFrame, rails: DataFrame, stations: DataFrame) -> DataFra
     """Links both ways: a, b, kind, hub, km, pt (where a is left), tip (the hub ends either corridor), blind (what stands for a way from an unknown place)."""
     both = links.select("a", "b", "kind", "hub", "km", F.col("a_pt").alias("pt")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", "hub", "km", F.col("b_pt").alias("pt")))
     last = Window.partitionBy("corridor")
-    where = station_points(rails, stations).withColumn("tip", (F.col("pos") == F.min("pos").over(last)) | (F.col("pos") == F.max("pos").over(last)))
+    where = station_points(rails, stations).hint("merge").withColumn("tip", (F.col("pos") == F.min("pos").over(last)) | (F.col("pos") == F.max("pos").over(last)))
     own = where.select(F.col("corridor").alias("a"), F.col("name").alias("hub"), F.struct("lng", "lat").alias("_own"), F.col("tip").alias("_a_tip"))
     other = where.select(F.col("corridor").alias("b"), F.col("name").alias("hub"), F.col("tip").alias("_b_tip"))
     both = both.join(own, ["a", "hub"], "left").join(other, ["b", "hub"], "left")
@@ -155,6 +155,7 @@ def cheapest_chains(stops: DataFrame, rails: DataFrame, stations: DataFrame, lin
     place of entry the cheapest. Rounds are as many as hops; a label goes on if what is left by air cannot exceed the best chain found, and
     if it can still reach the goal within the hops.
     """
+    rails, stations = rails.hint("merge"), stations.hint("merge")  # they grow with the input, however small their files are
     stops = stored(stops.select("trip", F.col("idx").cast("int").alias("idx"), "name", "lng", "lat"), "stops")
     mid = stored(on_corridors(stops, rails, stations, mid_km, window_deg), "mid")
     ends = stops.groupBy("trip").agg(F.min_by(F.struct("idx", "lng", "lat"), "idx").alias("s"), F.max_by(F.struct("idx", "lng", "lat"), "idx").alias("t"))
