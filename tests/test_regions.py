@@ -51,6 +51,26 @@ def test_points_in_regions(spark, size):
     assert {tuple(r) for r in got.collect()} == plain(points, shapes)
 
 
+def test_first_regions_are_those_of_all_regions(spark, monkeypatch):
+    """Regions upon each other: a point meets the first of those that hold its cell, not all of them."""
+    rng, tables, kept = random.Random(8), {}, regions.stored
+    monkeypatch.setattr(regions, "stored", lambda df, name, **k: tables.setdefault(name, kept(df, name, **k)))
+    corners = [(r, 0, 0, k, x, y) for r in range(60) for k, (x, y) in enumerate(star(rng, 100 + rng.uniform(-0.3, 0.3), 30 + rng.uniform(-0.3, 0.3), 0.8, 7))]
+    corners += [(r, 0, 1, k, 100 + 0.05 * x, 30 + 0.05 * y) for r in range(0, 60, 3) for k, (x, y) in enumerate([(1, 1), (-1, 1), (-1, -1), (1, -1)])]
+    corners = spark.createDataFrame(corners, "region long, poly long, ring long, seq long, lng double, lat double")
+    points = spark.createDataFrame([(i, 100 + rng.uniform(-1.2, 1.2), 30 + rng.uniform(-1.2, 1.2)) for i in range(400)], "id long, lng double, lat double")
+    area = {r: None if r == 7 else float(r * 5 % 4) for r in range(60) if r != 11}
+    named = spark.createDataFrame(list(area.items()), "region long, area double")
+    got = {tuple(r) for r in regions.first_regions(points, corners, named).collect()}
+    assert tables["open-cells"].count() < 0.7 * tables["cover"].where("NOT whole").count()
+    tables.clear()
+    held = {}
+    for id_, region in (tuple(r) for r in regions.points_in_regions(points, corners).collect()):
+        if region in area:
+            held.setdefault(id_, []).append((area[region] is not None, area[region] or 0.0, region))
+    assert got == {(i, min(v)[2]) for i, v in held.items()} and len(got) > 100
+
+
 def test_seats_and_empty_tables(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, 20.0, 0.0), (4, None, 0.0)], "id long, lng double, lat double")
     seats = spark.createDataFrame([("near", "A", 0.1, 0.0), ("far", "A", 12.9, 0.0), ("wide", "W", 25.5, 0.0)], "place string, province string, lng double, lat double")
