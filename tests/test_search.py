@@ -53,3 +53,19 @@ def test_paths_need_no_rounds(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(300)], "lo long, hi long, w double")
     assert routing.cheapest_routes(edges, spark.createDataFrame([(0, 300)], "origin long, dest long")).count() == 301
     assert graph.shortest_paths(edges, spark.range(1).select(F.col("id").alias("node"))).count() == 301
+
+
+def test_components_of_what_lies_close(spark, monkeypatch):
+    """Stars of a few edges each, and rounds over those that share nodes only: the same as rounds over all."""
+    monkeypatch.setattr(search, "AT_HAND", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rng = random.Random(9)
+    edges = [(i, i + rng.choice([1, 2, 3])) for i in range(0, 400, 2)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(40)] + [(-10 - i, 5 * i) for i in range(90)] + [(7, 7), (1000, 1000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rounds, seen = graph.components, []
+    want = {tuple(r) for r in rounds(df, "a", "b").collect()}
+    monkeypatch.setattr(graph, "components", lambda e, *a: seen.append(e.distinct().count()) or rounds(e, *a))
+    got = graph.near_components(df, "a", "b").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and 0 < seen[0] < len(edges)
+    assert graph.near_components(df.limit(0), "a", "b").count() == 0
