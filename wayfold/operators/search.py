@@ -247,3 +247,95 @@ def paths(edges: DataFrame, asked: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PATHS, strict=True)], schema=_PATHS)
 
     return edges.select("job", "g", "a", "b", "w", "id").groupBy("job").cogroup(asked.select("job", "g", "origin", "dest").groupBy("job")).applyInArrow(search, "g int, origin long, dest long, back long, node long, cost double, edge long")
+
+
+class Ways:
+    """Ways of a task by the places of their ends. A node is 2 * way + the side on which the way is left, ways in order of their ids."""
+
+    def __init__(self, ways: pa.Table, within: float) -> None:
+        ids, first = np.unique(ways["id"].to_numpy(), return_index=True)
+        self.ids, self.km = ids, ways["w"].to_numpy()[first].tolist()
+        ends = np.stack([np.stack([ways[f"{e}_{c}"].to_numpy()[first] for c in ("lng", "lat")], 1) for e in "st"], 1).reshape(-1, 2)
+        xy, at = np.unique(ends, axis=0, return_inverse=True)
+        self.place = at.ravel().tolist()
+        self.ends_at: list[list[int]] = [[] for _ in xy]
+        for node, place in enumerate(self.place):
+            self.ends_at[place].append(node)
+        cells: dict[tuple[int, int], list[int]] = {}
+        keys = [tuple(k) for k in np.floor(xy / within).astype(np.int64).tolist()]
+        for place, key in enumerate(keys):
+            cells.setdefault(key, []).append(place)
+        xy = xy.tolist()
+        self.near = [[q for dx in (-1, 0, 1) for dy in (-1, 0, 1) for q in cells.get((kx + dx, ky + dy), ()) if math.sqrt((x - xy[q][0]) ** 2 + (y - xy[q][1]) ** 2) < within] for (x, y), (kx, ky) in zip(xy, keys, strict=True)]
+
+    def costs(self, origin: int, dests: set[int]) -> tuple[dict[int, float], dict[int, int]]:
+        """Least costs of nodes from a way on, as far as the ways wanted need, and the order in which they were settled.
+
+        Of all that leave a way near a place the first is the cheapest, so what begins there is looked at once; only the first one's own
+        way, which it may not enter again, waits for the next.
+        """
+        done, order, best = {}, {}, {2 * origin: self.km[origin], 2 * origin + 1: self.km[origin]}
+        heap, first, closed, left, bound = [(c, n) for n, c in best.items()], {}, set(), set(dests), math.inf
+        while heap:
+            c, v = heapq.heappop(heap)
+            if v in done:
+                continue
+            if c + 1.0 > bound:
+                break
+            done[v], order[v], way = c, len(order), v // 2
+            left.discard(way)
+            if not left and bound == math.inf:
+                bound = c + 1.0
+            for q in self.near[self.place[v]]:
+                if q not in first:
+                    first[q] = way
+                    on = [e for e in self.ends_at[q] if e // 2 != way]
+                elif first[q] != way and q not in closed:
+                    closed.add(q)
+                    on = [e for e in self.ends_at[q] if e // 2 == first[q]]
+                else:
+                    continue
+                for e in on:
+                    u, d = e ^ 1, c + self.km[e // 2]
+                    if d < best.get(u, math.inf):
+                        best[u] = d
+                        heapq.heappush(heap, (d, u))
+        return done, order
+
+    def back(self, done: dict[int, float], order: dict[int, int], origin: int, dest: int) -> list[tuple[int, float]]:
+        """The nodes of the cheapest path to a way with their costs, from its end; the lesser node where ways are equally cheap."""
+        ends = [(done[n] + 1.0, n) for n in (2 * dest, 2 * dest + 1) if n in done]
+        if not ends:
+            return []
+        v = min(ends)[1]
+        path = [(v, done[v])]
+        while not (v // 2 == origin and done[v] == self.km[origin]):
+            way, c = v // 2, done[v]
+            before = (n for p in self.near[self.place[v ^ 1]] for n in self.ends_at[p] if n // 2 != way and n in done and done[n] + self.km[way] == c and order[n] < order[v])
+            v = min(before)
+            path.append((v, done[v]))
+        return path
+
+
+_WAYS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("nr", pa.int32()), ("way", pa.int64()), ("backward", pa.bool_()), ("km", pa.float64())])
+
+
+def way_paths(ways: DataFrame, asked: DataFrame, within: float) -> DataFrame:
+    """Cheapest paths of ways as in stitching.way_paths: a, b, nr, way, backward, km. ways (id, w, s_lng, s_lat, t_lng, t_lat), asked (from, to, ways): as `deal` gives them."""
+
+    def search(ways: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in _WAYS]
+        if ways.num_rows and asked.num_rows:
+            net = Ways(ways, within)
+            ids, wanted = net.ids.tolist(), {}
+            for a, b in zip(*(np.searchsorted(net.ids, asked[c].to_numpy()).tolist() for c in ("from", "to")), strict=True):
+                wanted.setdefault(a, set()).add(b)
+            for a, dests in wanted.items():
+                done, order = net.costs(a, dests)
+                for b in dests:
+                    for nr, (v, c) in enumerate(reversed(net.back(done, order, a, b))):
+                        for column, x in zip(out, (ids[a], ids[b], nr, ids[v // 2], v % 2 == 0, c), strict=True):
+                            column.append(x)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _WAYS, strict=True)], schema=_WAYS)
+
+    return ways.select("job", "id", "w", "s_lng", "s_lat", "t_lng", "t_lat").groupBy("job").cogroup(asked.select("job", "from", "to").groupBy("job")).applyInArrow(search, "a long, b long, nr int, way long, backward boolean, km double")

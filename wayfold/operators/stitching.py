@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions.geo import KM_PER_LAT, cell, haversine_km
-from wayfold.operators.graph import components
-from wayfold.operators.network import nearest_node
+from wayfold.operators import search
+from wayfold.operators.graph import near_components
+from wayfold.operators.network import _in_square, nearest_node
 from wayfold.operators.routing import routes, settle
 from wayfold.sources.scratch import stored
 
@@ -42,17 +43,27 @@ def connections(ways: DataFrame, within_deg: float = CONNECT_DEG) -> DataFrame:
 def _nearest_vertex(places: DataFrame, points: DataFrame, snap_km: float) -> DataFrame:
     """The nearest vertex of a way to each place, by great-circle distance, then way, then place on it: id, way, at (from 0). places: id, lng, lat.
 
-    Both sides are shuffled, as cells make many rows of a small table.
+    Both sides are shuffled, as cells make many rows of a small table. Of vertices in one place the first counts; small squares are looked at before wide ones.
     """
     order = Window.partitionBy("way").orderBy("seq")
     v = points.dropna(subset=["way", "seq", "lng", "lat"]).withColumn("at", F.row_number().over(order) - 1)
+    v = v.groupBy(F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat")).agg(F.min(F.struct("way", "at")).alias("_v")).select("o_lng", "o_lat", "_v.*")
     size = snap_km / KM_PER_LAT
+    km = haversine_km(F.col("lng"), F.col("lat"), F.col("o_lng"), F.col("o_lat"))
+    v, left, out = stored(v, "vertices"), stored(places.dropna(), "places"), None
+    for part in (16, 4):
+        reach = size / part
+        edge = reach * KM_PER_LAT * 0.99 * F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(90.0))))
+        found = _in_square(left, v, reach, 1).groupBy("id", "lat").agg(F.min(F.struct(km.alias("km"), "way", "at")).alias("b")).where(F.col("b.km") <= edge)
+        found = stored(found.select("id", "b.way", "b.at"), "near")
+        out = found if out is None else out.unionByName(found)
+        left = stored(left.join(found.select("id"), "id", "left_anti"), "left")
     pad = F.lit(snap_km) / (110.0 * F.cos(F.radians(F.least(F.abs("lat") + 2 * size, F.lit(88.0)))))
     around = lambda c, d: F.explode(F.sequence(cell(F.col(c) - d, -180.0, size), cell(F.col(c) + d, -180.0, size)))
-    p = places.dropna().withColumn("x", around("lng", pad)).withColumn("y", around("lat", F.lit(size)))
-    v = v.select("way", "at", F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat"), cell(F.col("lng"), -180.0, size).alias("x"), cell(F.col("lat"), -180.0, size).alias("y"))
-    j = p.hint("merge").join(v, ["x", "y"]).withColumn("km", haversine_km(F.col("lng"), F.col("lat"), F.col("o_lng"), F.col("o_lat"))).where(F.col("km") <= snap_km)
-    return j.groupBy("id").agg(F.min(F.struct("km", "way", "at")).alias("b")).select("id", "b.way", "b.at")
+    p = left.withColumn("x", around("lng", pad)).withColumn("y", around("lat", F.lit(size)))
+    v = v.select("way", "at", "o_lng", "o_lat", cell(F.col("o_lng"), -180.0, size).alias("x"), cell(F.col("o_lat"), -180.0, size).alias("y"))
+    j = p.hint("merge").join(v, ["x", "y"]).withColumn("km", km).where(F.col("km") <= snap_km)
+    return out.unionByName(j.groupBy("id").agg(F.min(F.struct("km", "way", "at")).alias("b")).select("id", "b.way", "b.at"))
 
 
 def way_paths(points: DataFrame, pairs: DataFrame, snap_km: float = SNAP_KM, within_deg: float = CONNECT_DEG) -> DataFrame:
@@ -60,7 +71,7 @@ def way_paths(points: DataFrame, pairs: DataFrame, snap_km: float = SNAP_KM, wit
 
     points: way, seq, lng, lat; pairs: pair, a_lng, a_lat, b_lng, b_lat. A path begins and ends with the ways that the places snap to and may leave
     a way at either end, but enters the next one where they connect. Pairs that do not snap or connect have no rows.
-    Rounds are as many as the longest path has ways; there is no bound on them.
+    Ways that connect are searched in a task where they fit one (see search.py), else in rounds; there is no bound on paths.
     """
     ways = stored(_ways(points), "ways")
     sides = F.array(F.struct(F.lit("a").alias("end"), F.col("a_lng").alias("lng"), F.col("a_lat").alias("lat")), F.struct(F.lit("b").alias("end"), F.col("b_lng").alias("lng"), F.col("b_lat").alias("lat")))
@@ -68,6 +79,34 @@ def way_paths(points: DataFrame, pairs: DataFrame, snap_km: float = SNAP_KM, wit
     snapped = stored(_nearest_vertex(places, points, snap_km), "snapped").select("id.pair", "id.end", "way")
     ends = snapped.groupBy("pair").agg(F.max(F.when(F.col("end") == "a", F.col("way"))).alias("a"), F.max(F.when(F.col("end") == "b", F.col("way"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     ends = stored(ends, "pairs")
+    one = ends.where("a = b").join(ways.select(F.col("way").alias("a"), "km"), "a").select("pair", F.lit(0).alias("nr"), F.col("a").alias("way"), F.lit(False).alias("backward"), "km")
+    asked = ends.where("a <> b")
+    # Ways whose ends lie in the same or in neighbouring cells are dealt out together; what connects is among them.
+    number = lambda x, y: y * 4_294_967_296 + x + 2_147_483_648
+    at = lambda c: cell(F.col(c), 0.0, within_deg)
+    laid = ways.select("way", "km", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "st" for c in ("lng", "lat")]).withColumns({f"{e}_{c[0]}": at(f"{e}_{c[1]}") for e in "st" for c in (("x", "lng"), ("y", "lat"))})
+    laid = stored(laid.withColumns({e: number(F.col(f"{e}_x"), F.col(f"{e}_y")) for e in "st"}), "laid")
+    cells = stored(laid.select(F.explode(F.array(*[F.struct(F.col(f"{e}_x").alias("x"), F.col(f"{e}_y").alias("y")) for e in "st"])).alias("c")).select("c.*").distinct().withColumn("node", number(F.col("x"), F.col("y"))), "cells")
+    around = F.explode(F.array(*[number(F.col("x") + dx, F.col("y") + dy) for dx, dy in ((1, -1), (1, 0), (1, 1), (0, 1))])).alias("b")
+    beside = cells.select(F.col("node").alias("a"), around).join(cells.select(F.col("node").alias("b")), "b", "left_semi")
+    links = stored(laid.select(F.col("s").alias("a"), F.col("t").alias("b")).where("a <> b").unionByName(beside.select("a", "b")).distinct(), "links")
+    label = stored(cells.select("node").join(near_components(links, "a", "b"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    home = laid.select("way", F.col("s").alias("origin"))
+    by = [home.join(label.withColumnRenamed("node", "origin"), "origin").select(F.col("way").alias(c), F.col("origin").alias(f"{c}_cell"), F.col("label").alias("_l")) for c in "ab"]
+    near = stored(asked.select("a", "b").distinct().join(by[0], "a").join(by[1], ["b", "_l"]).select(F.lit(0).alias("g"), F.col("a_cell").alias("origin"), F.col("a").alias("from"), F.col("b").alias("to")), "asked")
+    edges = laid.select(F.lit(0).alias("g"), F.col("s").alias("a"), F.col("way").alias("id"), F.col("km").alias("w"), "s_lng", "s_lat", "t_lng", "t_lat")
+    dealt, wanted, large = search.deal(edges, near, label)
+    keyed = asked.join(search.way_paths(dealt, wanted, within_deg), ["a", "b"]).select("pair", "nr", "way", "backward", "km")
+    out = keyed.unionByName(one)
+    if large.isEmpty():
+        return out
+    rest = label.join(large, "label").select(F.col("node").alias("origin"))
+    some = stored(ways.join(home.join(rest, "origin").select("way"), "way", "left_semi"), "ways")
+    return out.unionByName(_paths_in_rounds(some, asked.join(some.select(F.col("way").alias("a")), "a", "left_semi"), within_deg))
+
+
+def _paths_in_rounds(ways: DataFrame, ends: DataFrame, within_deg: float) -> DataFrame:
+    """As way_paths, in rounds over whole tables: as many as the longest path has ways. ends: pair, a, b, ways that differ."""
     # Places stand outside of the ways: one leaves the first way at either end, and arrives on leaving the last one at either end.
     begin, arrive = (lambda c: -2 - 2 * F.col(c)), (lambda c: -3 - 2 * F.col(c))
     both = lambda c: F.explode(F.array(2 * F.col(c), 2 * F.col(c) + 1))
@@ -88,14 +127,13 @@ def way_paths(points: DataFrame, pairs: DataFrame, snap_km: float = SNAP_KM, wit
             break
         found = step if found is None else stored(found.unionByName(step), "found")
         front, nr = step.drop("back"), nr + 1
-    one = ends.where("a = b").join(ways.select(F.col("way").alias("a"), "km"), "a").select("pair", F.lit(0).alias("nr"), F.col("a").alias("way"), F.lit(False).alias("backward"), "km")
     if found is None:
-        return one
+        return ends.select("pair", F.lit(0).alias("nr"), F.col("a").alias("way"), F.lit(False).alias("backward"), F.lit(0.0).alias("km")).limit(0)
     on = found.where("node >= 0")
     length = on.groupBy("origin", "dest").agg(F.max("back").alias("_last"))
     path = on.join(length, ["origin", "dest"]).select("origin", "dest", (F.col("_last") - F.col("back")).alias("nr"), F.floor(F.col("node") / 2).cast("long").alias("way"), (F.col("node") % 2 == 0).alias("backward"), F.col("cost").alias("km"))
     keyed = ends.where("a <> b").select("pair", begin("a").alias("origin"), arrive("b").alias("dest"))
-    return keyed.join(path, ["origin", "dest"]).select("pair", "nr", "way", "backward", "km").unionByName(one)
+    return keyed.join(path, ["origin", "dest"]).select("pair", "nr", "way", "backward", "km")
 
 
 def stitched_lines(points: DataFrame, pairs: DataFrame, snap_km: float = SNAP_KM, within_deg: float = CONNECT_DEG) -> DataFrame:
@@ -154,11 +192,12 @@ def traces(controls: DataFrame, nodes: DataFrame, edges: DataFrame, snap_km: flo
     line, leg, back, node, from a control's node towards the next one's, back from the leg's end. Where the next control is on another part of
     the graph, the leg ends at the reachable node nearest to it, and a gap follows: line, leg, from_node, to_node, km.
     """
+    nodes = stored(nodes, "nodes")
     c = controls.withColumn("id", F.struct("line", "seq"))
     snap = nearest_node(c.select("id", "lng", "lat"), nodes, snap_km, size).select("id", "node")
     order = Window.partitionBy("line").orderBy("seq")
     legs = c.join(snap, "id").withColumns({"origin": F.lag("node").over(order), "leg": F.row_number().over(order) - 1}).where("origin IS NOT NULL")
-    label = components(edges, "a", "b")
+    label = stored(near_components(edges, "a", "b"), "labels")
     legs = legs.select("line", "leg", "origin", F.col("node").alias("goal"), "lng", "lat")
     legs = legs.join(label.select(F.col("node").alias("origin"), F.col("label").alias("o_label")), "origin", "left").join(label.select(F.col("node").alias("goal"), F.col("label").alias("g_label")), "goal", "left")
     legs = stored(legs.withColumn("joined", F.coalesce(F.col("o_label") == F.col("g_label"), F.col("origin") == F.col("goal"))), "legs")
